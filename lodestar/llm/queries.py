@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, mixing, pieces, token_counts
+from . import host_rules, improbable, mixing, pieces, token_counts
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model()))
 
@@ -34,7 +38,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op6_piece_codec, op8_host_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op3_source_mixing, op5_improbable_features, op6_piece_codec, op8_host_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
