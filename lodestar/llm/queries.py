@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, improbable, mixing, pieces, token_counts
+from . import host_rules, improbable, mixing, pieces, simhash, token_counts, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model()))
 
 
+def op7_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -38,7 +46,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mixing, op5_improbable_features, op6_piece_codec, op8_host_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op2_simhash_pivots, op3_source_mixing, op5_improbable_features, op6_piece_codec, op7_warc_dictionary, op8_host_rules, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
