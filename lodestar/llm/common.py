@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once per application, so that workers need no installation of it."""
+    app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parents[1]
+    if app in _shipped or not root.is_dir():
+        return
+    _shipped.add(app)
+    path = Path(tempfile.mkdtemp(prefix="lodestar-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    spark.sparkContext.addPyFile(str(path))
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that go to Python workers."""
+    """Bound the Arrow batches that go to Python workers, and make this package known to these."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -53,7 +72,7 @@ def pick(df: DataFrame, columns: dict[str, str], types: dict[str, str] | None =
 def arrow_schema(df: DataFrame, names: list[str], extra: list[tuple[str, pa.DataType]]) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kept = [pa.field(n, to_arrow_type(df.schema[n].dataType, timezone="UTC")) for n in names]
+    kept = [pa.field(n, to_arrow_type(df.schema[n].dataType)) for n in names]
     return pa.schema(kept + [pa.field(n, t) for n, t in extra])
 
 
