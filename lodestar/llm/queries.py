@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, improbable, mixing, pieces, simhash, token_counts, warc
+from . import host_rules, improbable, lm_scoring, mixing, pieces, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_against_labelled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_classes(table(spark, sf_dir, "documents"))
 
@@ -41,12 +45,17 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_host_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_pivots, op3_source_mixing, op5_improbable_features, op6_piece_codec, op7_warc_dictionary, op8_host_rules, op10_token_counts)}
+    return {f.__name__: f for f in (op1_cross_entropy_difference, op2_simhash_pivots, op3_source_mixing, op5_improbable_features, op6_piece_codec, op7_warc_dictionary, op8_host_rules, op9_ordinal_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
