@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, improbable, lm_scoring, mixing, pieces, simhash, token_counts, toxicity, warc
+from . import host_rules, improbable, lm_scoring, main_text, mixing, pieces, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return improbable.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cross_entropy_difference, op2_simhash_pivots, op3_source_mixing, op5_improbable_features, op6_piece_codec, op7_warc_dictionary, op8_host_rules, op9_ordinal_toxicity, op10_token_counts)}
+    return {f.__name__: f for f in (op1_cross_entropy_difference, op2_simhash_pivots, op3_source_mixing, op4_host_suffix_array, op5_improbable_features, op6_piece_codec, op7_warc_dictionary, op8_host_rules, op9_ordinal_toxicity, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
