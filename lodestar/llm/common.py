@@ -100,3 +100,13 @@ def map_texts(
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(got[n], t) for n, _, t in out)], schema=schema)
 
     return df.mapInArrow(run, ddl)
+
+
+def aliased(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under safe names, and the map back: names of computed columns cannot clash with any of them."""
+    back = {f"in_{i}": c for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in back.items()]), back
+
+
+def restored(df: DataFrame, back: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(c) for n, c in back.items()])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, pick
+from .common import WORD, aliased, cut, pick, restored
 
 #: rule -> SQL condition on the measured columns under which a document fails it.
 RULES = {
@@ -30,21 +30,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, host and the measured columns of each row (columns doc_id, host, text); null text has no words.
+def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "host")) -> DataFrame:
+    """The columns in `keep` and the measured ones of each row; null text has no words.
 
     A word is in a repeated window if one of the 3-word windows over it occurs twice or more in its text. Windows are
     compared by 64-bit hashes.
     """
-    d = docs.select("doc_id", "host", F.coalesce("text", F.lit("")).alias("t"))
-    d = d.select("doc_id", "host", "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
+    d = docs.select(*keep, F.coalesce("text", F.lit("")).alias("t"))
+    d = d.select(*keep, "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
     d = d.select(
-        "doc_id", "host", F.size("w").cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
+        *keep, F.size("w").cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.size("lines").cast("bigint").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.expr("case when size(w) >= 3 then transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) else array() end").alias("tri"),
     )
-    rest = ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
+    rest = [*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
     d = d.select(*rest, F.expr("case when size(array_distinct(tri)) < size(tri) then sort_array(transform(tri, (h, i) -> struct(h as h, i as p))) else array() end").alias("s"))
     d = d.select(*rest, F.expr("sort_array(transform(filter(s, (e, k) -> coalesce(e.h = get(s, k - 1).h, false) or coalesce(e.h = get(s, k + 1).h, false)), e -> e.p))").alias("p"))
     return d.select(*rest, F.expr("aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1) - x, 3))), 0L, (a, b) -> a + b)").alias("n_repeat_words"))
@@ -74,7 +74,7 @@ def judge(measured: DataFrame, verdicts: DataFrame, rules: dict[str, str] = RULE
     if bad.count() <= BROADCAST_HOSTS:
         j = m.join(F.broadcast(bad), ["_h", "_n"], "left")
     else:
-        m = m.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        m = m.withColumn("_s", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALTS)))
         j = m.join(bad.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["_h", "_n", "_s"], "left").drop("_s")
     failed = " or ".join(f"(coalesce(bad_{r}, false) and ({c}))" for r, c in rules.items())
     j = j.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("host_failed", F.expr(failed))
@@ -91,6 +91,18 @@ def apply_host_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return judge(measured, host_verdicts(measured, rules), rules).withColumnRenamed("doc_id", id_col)
 
 
+def reject_failed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: dict[str, str] = RULES) -> DataFrame:
+    """The rows of df, all columns as they are, that the rules keep. Documents are measured twice, for the verdicts and
+    for the rows, so that no text is shuffled or stored."""
+    d, back = aliased(df)
+    name = {c: n for n, c in back.items()}
+    d = d.withColumn("host", F.col(name[host_col])).withColumn("text", F.col(name[text_col]))
+    verdicts = host_verdicts(cut(measure(d, ("host",))), rules)
+    # the row number is not deterministic, so the optimizer leaves the filter above the measures and does not repeat them inside it
+    m = measure(d, ("host", *back)).withColumn("row_number", F.monotonically_increasing_id())
+    return restored(judge(m, verdicts, rules).where("kept and row_number >= 0"), back)
+
+
 def oracle_sql() -> str:
     sums = ", ".join(f"cast(sum(case when {c} then 1 else 0 end) as bigint) as f_{r}" for r, c in RULES.items())
     prior = ", ".join(f"sum(f_{r})::double / sum(n) as m_{r}, sum(pow(f_{r}::double / n, 2) * n)::double / sum(n) as q_{r}" for r in RULES)

@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, pick
+from .common import WORD, aliased, cut, pick, restored
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 #: Hex digits of the key that name its slice: 16^3 slices a source.
 SLICE_DIGITS = 3
+#: Up to so many sources (a hundred bytes each) their cuts are broadcast; beyond, the join is salted.
+BROADCAST_SOURCES, SALTS = 100_000, 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -45,13 +47,22 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     id of their own); rows with equal ids are ordered by size, so equal rows are interchangeable and reruns agree.
     Empty tables give empty results; further columns are not read.
     """
-    d = pick(df, {"doc_id": id_col, "source": source_col, "text": text_col})
-    d = d.select(
-        "doc_id", F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s"),
+    d = cut(sized(pick(df, {"doc_id": id_col, "source": source_col, "text": text_col}), seed))
+    d = dealt(d, weights, share, most)
+    return d.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", "epochs")
+
+
+def sized(d: DataFrame, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return d.select(
+        *keep, "doc_id", F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"),
     )
-    d = cut(d.withColumn("slice", F.substring("key", 1, SLICE_DIGITS)))
+
+
+def dealt(d: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """Prefix sums over the sized rows, and what the mix takes of each."""
+    d = d.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     targets = source_targets(d, weights, share, most)
     slices = d.groupBy("s_null", "s", "slice").agg(F.sum("size").alias("total"))
     offset = F.coalesce(F.sum("total").over(Window.partitionBy("s_null", "s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -61,8 +72,28 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     d = d.withColumn("upto", F.sum("size").over(inside)).join(slices, ["s_null", "s", "slice"])
     d = d.withColumn("budget", F.floor("target")).withColumn("before", F.col("offset") + F.col("upto") - F.col("size"))
     d = d.withColumn("epochs", F.expr("case when source_size > 0 then budget div source_size else 0 end"))
-    d = d.withColumn("taken", F.expr("epochs * size + greatest(0L, least(size, budget - epochs * source_size - before))"))
-    return d.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "taken", "epochs")
+    return d.withColumn("taken", F.expr("epochs * size + greatest(0L, least(size, budget - epochs * source_size - before))"))
+
+
+def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of df, all columns as they are, as often as the mix takes them: once for each whole epoch, and once more
+    up to the document where the source's budget is cut (that one whole). Each source's cut is one key, joined back to
+    the rows by source, so no text is shuffled."""
+    plain = pick(df, {"doc_id": id_col, "source": source_col, "text": text_col})
+    at = F.struct("key", "size", "doc_id")
+    taken = dealt(cut(sized(plain, seed)), weights, share, most)
+    cuts = cut(taken.groupBy("s_null", "s").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("taken") > F.col("epochs") * F.col("size"), at)).alias("last")))
+    d, back = aliased(df)
+    name = {c: n for n, c in back.items()}
+    d = sized(d.withColumn("doc_id", F.col(name[id_col])).withColumn("source", F.col(name[source_col])).withColumn("text", F.col(name[text_col])), seed, tuple(back))
+    if cuts.count() <= BROADCAST_SOURCES:
+        d = d.join(F.broadcast(cuts), ["s_null", "s"])
+    else:
+        d = d.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
+        d = d.join(cuts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["s_null", "s", "salt"])
+    times = F.col("epochs") + F.when(F.coalesce(at <= F.col("last"), F.lit(False)) & (F.col("size") > 0), 1).otherwise(0)
+    d = d.withColumn("n", F.explode(F.array_repeat(F.lit(1), times.cast("int"))))
+    return restored(d, back)
 
 
 def oracle_sql() -> str:

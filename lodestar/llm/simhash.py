@@ -268,6 +268,6 @@ def keep_one(df: DataFrame, labelled: DataFrame, id_col: str = "doc_id") -> Data
     """Rows of df whose id is the least of its class, one row each where rows repeat an id; rows with null ids stay."""
     keep = labelled.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_k")).distinct()
     ids = df.where(F.col(id_col).isNotNull())
-    first = Window.partitionBy(id_col).orderBy(*[c for c in df.columns if c != id_col])
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*df.columns))
     kept = ids.join(keep, ids[id_col] == keep["_k"], "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return kept.unionByName(df.where(F.col(id_col).isNull()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, pick
+from .common import aliased, map_texts, pick, restored
 
 #: Labelled rows that fitting sees at most, drawn by a hash of the id; and UTF-8 bytes of text in all.
 SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
@@ -158,12 +158,8 @@ def train(docs: DataFrame, labels: DataFrame) -> OrdinalModel:
     return fit([(t, grade(t, x, marked)) for t, x in rows])
 
 
-def severity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Per row: id, score, expected_severity (the sum over grades of P(grade >= k)), grade (the likeliest), toxic (P(grade >= 1) over the threshold).
-
-    Null and empty texts score 0 features. Ids pass through, nulls and repeats included, one row out per row in. Empty
-    tables give empty results; further columns are not read. The model is bounded by MAX_FEATURES.
-    """
+def scorer(model: OrdinalModel, threshold: float = 0.5):
+    """What map_texts() takes, and its columns: score, expected_severity, grade, toxic."""
     weights, thresholds = model.weights, model.thresholds
 
     def make():
@@ -197,5 +193,23 @@ def severity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_co
 
         return run
 
-    d = pick(df, {"doc_id": id_col, "text": text_col})
-    return map_texts(d, make, [("score", "double", pa.float64()), ("expected_severity", "double", pa.float64()), ("grade", "int", pa.int32()), ("toxic", "boolean", pa.bool_())]).withColumnRenamed("doc_id", id_col)
+    return make, [("score", "double", pa.float64()), ("expected_severity", "double", pa.float64()), ("grade", "int", pa.int32()), ("toxic", "boolean", pa.bool_())]
+
+
+def severity(df: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Per row: id, score, expected_severity (the sum over grades of P(grade >= k)), grade (the likeliest), toxic (P(grade >= 1) over the threshold).
+
+    Null and empty texts have no features and score 0. Ids pass through, nulls and repeats included, one row out per row
+    in. Empty tables give empty results; further columns are not read. The model is bounded by MAX_FEATURES.
+    """
+    make, out = scorer(model, threshold)
+    return map_texts(pick(df, {"doc_id": id_col, "text": text_col}), make, out).withColumnRenamed("doc_id", id_col)
+
+
+def reject_toxic(df: DataFrame, model: OrdinalModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of df, all columns as they are, whose text isn't toxic; nothing is shuffled."""
+    make, out = scorer(model, threshold)
+    d, back = aliased(df)
+    text = next(n for n, c in back.items() if c == text_col)
+    d = map_texts(d.withColumn("text", F.col(text)), make, out, keep=tuple(back))
+    return restored(d.where("not toxic"), back)
