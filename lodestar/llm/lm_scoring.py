@@ -12,6 +12,7 @@ more it reads like the target.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, pick, small_batches
+from .common import arrow_schema, cut, pick, shared_dir, small_batches
 
 VOCABULARY_SHARE, BIGRAM_SHARE, DISCOUNT = 2.0**-18, 2.0**-20, 0.5
 #: Distinct words, and bigrams, that a task holds before it hands its counts on.
 FLUSH_WORDS, FLUSH_BIGRAMS = 200_000, 1_500_000
+#: Bigram counts are shuffled in 2 ** BLOCK_BITS blocks.
+BLOCK_BITS = 9
 UNKNOWN = 0
 
 
@@ -90,9 +93,31 @@ def ids_of(words: list[bytes]) -> Ids:
     return _ids[id(words)]
 
 
+def packed(codes: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending codes and their counts in a few bytes each: differences and counts, byte planes apart, compressed."""
+    import zstandard
+
+    both = np.stack([np.diff(codes, prepend=0), n]).astype("<u8").view(np.uint8).reshape(2, -1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(both.transpose(0, 2, 1)).tobytes())
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(2, 8, -1)
+    both = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u8")[:, :, 0].astype(np.int64)
+    return np.cumsum(both[0]), both[1]
+
+
+def blocks_of(codes: np.ndarray) -> np.ndarray:
+    """The block of each code: a hash, so that the pairs of frequent words spread."""
+    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
+
+
 def count_bigrams(docs: DataFrame, words) -> DataFrame:
-    """code (previous id * (vocabulary + 2) + id) and n, in parts; pairs with an unknown word are left out."""
-    schema = pa.schema([("code", pa.int64()), ("n", pa.int64())])
+    """block, counts: packed codes (previous id * (vocabulary + 2) + id) and counts, in parts; pairs with an unknown word
+    are left out."""
+    schema = pa.schema([("block", pa.int64()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ids_of(words.value)
@@ -100,7 +125,12 @@ def count_bigrams(docs: DataFrame, words) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             codes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], schema=schema)
+            block = blocks_of(codes)
+            by = np.argsort(block, kind="stable")
+            codes, n, block = codes[by], n[by], block[by]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+            parts = [packed(codes[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)] if len(block) else []
+            return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]] if len(block) else [], pa.int64()), pa.array(parts, pa.binary())], schema=schema)
 
         for b in batches:
             before, now, _ = table.batch(b.column(0).to_pylist())
@@ -113,7 +143,44 @@ def count_bigrams(docs: DataFrame, words) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "code bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "block bigint, counts binary")
+
+
+def sum_bigrams(parts: DataFrame, least: tuple[float, float]) -> DataFrame:
+    """code, n0, n1 of the bigrams that reach `least` on either side. Memory: the distinct bigrams of one block."""
+    schema = pa.schema([("code", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(some: list[tuple]) -> tuple:
+            codes, at = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True)
+            n = np.zeros((2, len(codes)), dtype=np.int64)
+            np.add.at(n.T, at, np.concatenate([x.T for _, x in some]))
+            return codes, n
+
+        def kept(some: list[tuple]) -> pa.RecordBatch:
+            codes, n = summed(some)
+            k = (n[0] >= least[0]) | (n[1] >= least[1])
+            return pa.RecordBatch.from_arrays([pa.array(codes[k]), pa.array(n[0][k]), pa.array(n[1][k])], schema=schema)
+
+        held, size, last = [], 0, None
+        for b in batches:
+            for block, side, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and block != last:
+                    yield kept(held)
+                    held, size = [], 0
+                codes, n = unpacked(raw)
+                both = np.zeros((2, len(n)), dtype=np.int64)
+                both[side] = n
+                held.append((codes, both))
+                size, last = size + len(codes), block
+                if size > 4 * FLUSH_BIGRAMS:
+                    held = [summed(held)]
+                    size = 0
+        if held:
+            yield kept(held)
+
+    count = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.select("block", "side", "counts").repartition(count, "block").sortWithinPartitions("block").mapInArrow(run, "code bigint, n0 bigint, n1 bigint")
 
 
 class Matched:
@@ -159,7 +226,7 @@ def train(target: DataFrame, background: DataFrame, vocabulary_share: float = VO
     counts = np.stack([got.column(f"n{s}").to_numpy() for s in (0, 1)])[:, order] if got.num_rows else np.zeros((2, 0))
     sent = spark.sparkContext.broadcast(vocabulary)
     both = count_bigrams(target, sent).withColumn("side", F.lit(0)).unionByName(count_bigrams(background, sent).withColumn("side", F.lit(1)))
-    pairs = both.groupBy("code").agg(*sides).where((F.col("n0") >= max(2.0, bigram_share * total["t0"])) | (F.col("n1") >= max(2.0, bigram_share * total["t1"]))).toArrow()
+    pairs = sum_bigrams(both, (max(2.0, bigram_share * total["t0"]), max(2.0, bigram_share * total["t1"]))).toArrow()
     codes = pairs.column("code").to_numpy()
     by = np.argsort(codes, kind="stable")
     return Matched(vocabulary, counts, totals, docs, codes[by], np.stack([pairs.column(f"n{s}").to_numpy()[by] for s in (0, 1)]))
@@ -196,9 +263,12 @@ def score(df: DataFrame, model: Matched, id_col: str = "doc_id", text_col: str =
 
 
 def target_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of documents labelled good and not toxic. Documents without such a label are filtered before any shuffle where Spark sees fit."""
+    """Texts of documents labelled good and not toxic, joined once and written to the shared folder: two passes read them."""
     good = pick(labels, {"doc_id": "doc_id", "quality": "quality", "toxic": "toxic"}).where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    return pick(docs, {"doc_id": "doc_id", "text": "text"}).join(good, "doc_id", "left_semi").select("text")
+    texts = pick(docs, {"doc_id": "doc_id", "text": "text"}).where("doc_id is not null").join(good.hint("merge"), "doc_id", "left_semi").select("text")
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/target-{uuid.uuid4().hex}"
+    texts.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def score_against_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
