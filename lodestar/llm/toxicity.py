@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import aliased, map_texts, pick, restored
 
 #: Labelled rows that fitting sees at most, drawn by a hash of the id; and UTF-8 bytes of text in all.
-SAMPLE_ROWS, SAMPLE_BYTES = 6000, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 16 << 20
 #: Features must occur in so many sampled texts, and in toxic ones so much more or less often than in others that chance
 #: gives it to less than one feature in a million; so many are kept at most, the most telling first.
 MIN_TEXTS, MIN_CHI_SQUARE, MAX_FEATURES = 4, 24.0, 60_000
@@ -68,7 +68,7 @@ class OrdinalModel:
         return [1 / (1 + math.exp(min(50.0, max(-50.0, t - score)))) for t in self.thresholds]
 
 
-def fit(rows: list[tuple[str, int]], epochs: int = 60, l2: float = 1e-4, rate: float = 0.3, min_texts: int = MIN_TEXTS, max_features: int = MAX_FEATURES) -> OrdinalModel:
+def fit(rows: list[tuple[str, int]], epochs: int = 400, l2: float = 1e-4, rate: float = 0.5, min_texts: int = MIN_TEXTS, max_features: int = MAX_FEATURES) -> OrdinalModel:
     """Fit to (text, grade) rows with Adagrad over the whole sample, in a fixed order. Grades run from 0; with fewer than
     two grades among the rows nothing is learnt and every text has severity of that grade (0 where there are no rows)."""
     grades = [g for _, g in rows]
@@ -172,7 +172,7 @@ def scorer(model: OrdinalModel, threshold: float = 0.5):
             for w, n in Counter(TOKEN.findall(text.lower())).items():
                 fs = get(w)
                 if fs is None:
-                    if len(known) > 500_000:
+                    if len(known) > 200_000:
                         known.clear()
                     fs = known[w] = tuple(f for f in expand(w) if f in weights) if len(w) < 100 else tuple(f for f in expand(w[:100]) if f in weights and f[0] == "^")
                 for f in fs:
