@@ -14,7 +14,7 @@ from ..session import ship
 #: What separates words in every contract of this subpackage: blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows (and bytes, where Spark knows that limit) in one Arrow batch, so that long texts cannot fill a worker.
-BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from .common import map_texts, pick
 
 MARK = "▁"
 #: Segments kept in a worker's cache, and the longest that is kept; both bound memory, neither changes results.
-CACHE_SEGMENTS, CACHE_CHARS = 400_000, 48
+CACHE_SEGMENTS, CACHE_CHARS = 250_000, 48
 
 
 class PrefixTableCodec:
@@ -89,7 +89,7 @@ class PrefixTableCodec:
             key = left << 20 | right
             ok = self.pairs.get(key)
             if ok is None:
-                if len(self.pairs) > 2_000_000:
+                if len(self.pairs) > 400_000:
                     self.pairs.clear()
                 a, b = self.piece[left], self.piece[right]
                 ok = self.pairs[key] = self.merged(a + b) == [a, b]
