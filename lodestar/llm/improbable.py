@@ -29,36 +29,37 @@ COMMON, LEAST = 3.6, 1.0
 #: Code points of texts taken together, and bytes of one text taken at once.
 BATCH, BLOCK = 1 << 19, 1 << 20
 _SCALE = 1 << 16
-_G = np.array([0, 0, *(round(c * np.log2(c) * _SCALE) for c in range(2, WINDOW + 2))], dtype=np.int64)
+_G = np.array([0, 0, *(round(c * np.log2(c) * _SCALE) for c in range(2, WINDOW + 2))], dtype=np.int32)
 _STEP = np.diff(_G)  # what one more of the same byte adds to the sum of c * log2(c)
-_FULL = WINDOW * int(np.log2(WINDOW)) * _SCALE
+_FULL = np.int32(WINDOW * int(np.log2(WINDOW)) * _SCALE)
 _FAR = np.int64(1) << 40
 
 
 def window_ranks(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each byte position of the joined texts, the rank of the window that begins there (less is rarer; _FAR: none)."""
     n = len(raw)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(n) + text * WINDOW  # a gap between texts: counts never cross
-    order = np.argsort(raw, kind="stable")
-    keys = (raw[order].astype(np.int64) << 40) + place[order]
-    k = np.arange(n)
-    before = np.empty(n, dtype=np.int64)
-    after = np.empty(n, dtype=np.int64)
-    before[order] = k - np.searchsorted(keys, keys - (WINDOW - 1), "left")
-    after[order] = np.searchsorted(keys, keys + (WINDOW - 1), "right") - k
-    came = np.concatenate(([0], np.cumsum(_STEP[before])))
-    went = np.concatenate(([0], np.cumsum(_STEP[after - 1])))
     ranks = np.full(n, _FAR, dtype=np.int64)
     if n < WINDOW:
         return ranks
-    first = np.arange(n - WINDOW + 1)
-    base = starts[text[first]]
-    total = (came[first + WINDOW] - came[base]) - (went[first] - went[base])
-    entropy = (_FULL - total) * 1000 // (WINDOW * _SCALE)  # millibits a byte
-    rank = 8000 - np.abs(entropy - int(COMMON * 1000))
-    ok = (entropy >= LEAST * 1000) & (first + WINDOW <= starts[text[first]] + sizes[text[first]])
-    ranks[first[ok]] = rank[ok]
+    place = np.arange(n) + np.repeat(np.arange(len(sizes)) * WINDOW, sizes)  # a gap between texts: counts never cross
+    order = np.argsort(raw, kind="stable")
+    keys = place[order]
+    keys += raw[order].astype(np.int64) << 40
+    low = np.searchsorted(keys, keys - (WINDOW - 1), "left")
+    k = np.arange(n)
+    before = np.empty(n, dtype=np.uint8)  # like bytes among the WINDOW - 1 before each
+    after = np.empty(n, dtype=np.uint8)  # and among those after it; by the inverse of `low`
+    before[order] = k - low
+    after[order] = np.cumsum(np.bincount(low, minlength=n)) - k - 1
+    came, went = np.zeros(n + 1, dtype=np.int32), np.zeros(n + 1, dtype=np.int32)  # sums wrap; their differences are right
+    np.cumsum(_STEP[before], dtype=np.int32, out=came[1:])
+    np.cumsum(_STEP[after], dtype=np.int32, out=went[1:])
+    base, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
+    m = n - WINDOW + 1
+    total = (came[WINDOW : n + 1] - came[base[:m]]) - (went[:m] - went[base[:m]])
+    entropy = (_FULL - total) // (WINDOW * _SCALE // 1024)  # in 1024ths of a bit a byte
+    ok = (entropy >= int(LEAST * 1024)) & (k[:m] + WINDOW <= end[:m])
+    ranks[:m][ok] = (8192 - np.abs(entropy - int(COMMON * 1024)))[ok]
     return ranks
 
 
@@ -188,7 +189,8 @@ def with_buckets(d: DataFrame, buckets: int) -> DataFrame:
 
     d = d.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308)))
     cuts = sorted(set(d.approxQuantile("x", [k / buckets for k in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    d = Bucketizer(splits=[float("-inf"), *(c for c in cuts if c > -1.7e308), float("inf")], inputCol="x", outputCol="b").transform(d)
+    cuts = [c for c in cuts if c > -1.7e308] or [0.0]  # it wants one cut at least
+    d = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="x", outputCol="b").transform(d)
     d = d.withColumn("b", F.col("b").cast("int"))
     firsts = {r["b"]: r["x"] for r in d.groupBy("b").agg(F.min("x").alias("x")).collect()}  # one row a range
     used = sorted(firsts)

@@ -1,0 +1,99 @@
+"""Host rules and mixing against DuckDB, and their edge rows against plain Python."""
+
+import re
+from collections import Counter
+
+import pytest
+from conftest import rows_of
+from pyspark.sql import functions as F
+
+from lodestar.llm import host_rules, mixing, queries
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(name, spark, sf, duck):
+    df = queries.queries()[name](spark, sf)
+    want = duck.sql(queries.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert rows_of(df.columns, df.collect()) == rows_of(want.columns, want.fetchall())
+
+
+def measures(text):
+    w = WORD.findall(text or "")
+    tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    many = Counter(tri)
+    covered = {i + o for i, t in enumerate(tri) if many[t] > 1 for o in range(3)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+TEXTS = [None, "", " \t", "a", "a b", "a b c", "a a a a", "a b c a b c", "a b a b a", "x\nx\n\n \nx y\n", "# % é\x0b€ <>", "nbsp stays", "w " * 5000 + "end"]
+
+
+def test_measures(spark):
+    d = spark.createDataFrame([(i, t, None) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, source string").withColumn("n_words", F.lit("clash"))
+    got = host_rules.apply_host_rules(d).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got] == [measures(t) for t in TEXTS]
+    assert not any(r["kept"] for r in got[:12])
+
+
+def test_host_verdicts_and_clean_documents(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    bad = good + " ###### %%%%%%"
+    rows = [(i, bad if i % 10 else good, "bad") for i in range(100)] + [(100 + i, good, f"h{i % 5}") for i in range(400)] + [(600, bad, "h0"), (None, good, None)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r for r in host_rules.apply_host_rules(d).collect()}
+    assert all(got[i]["kept"] == (i % 10 == 0) for i in range(100)), "on a bad host only failing documents go"
+    assert all(got[i]["kept"] for i in [*range(100, 500), 600, None])
+    kept = host_rules.reject_failed(d.withColumn("host", F.lit(1)))
+    assert kept.columns == [*d.columns, "host"] and kept.count() == 10 + 400 + 2
+    assert host_rules.apply_host_rules(d.limit(0)).count() == 0 and host_rules.reject_failed(d.limit(0)).count() == 0
+
+
+def level_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """The sharing out as it is worded: stop at the cap, share the excess by weight, again and again."""
+    w = {s: weights[i % len(weights)] for i, s in enumerate(sizes)}
+    target, open_ = dict.fromkeys(sizes, 0.0), set(sizes)
+    left = share * sum(sizes.values())
+    while open_ and left > 1e-9:
+        total = sum(w[s] for s in open_)
+        gain = {s: left * w[s] / total for s in open_}
+        left = 0.0
+        for s in list(open_):
+            target[s] += gain[s]
+            if target[s] >= most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = most * sizes[s]
+                open_.discard(s)
+    return target
+
+
+def test_mix_edges(spark):
+    rows = [(i, "w " * (i % 7), ["b", "a", None, "é", ""][i % 5]) for i in range(200)] + [(7, "w w", "a"), (7, "w w", "a"), (None, "w " * 50, None), (300, None, "zero")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("taken", F.lit("clash"))
+    got = mixing.mix(d).collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    order = sorted([s for s in sizes if s is not None]) + [None]
+    want = level_targets({s: sizes[s] for s in order})
+    assert sorted((r["source_size"], round(r["target"], 6)) for r in got) == sorted((sizes[s], round(want[s], 6)) for _, _, s in rows)
+    taken = Counter()
+    for r in mixing.mix(d).join(d.select("doc_id", "source").distinct(), "doc_id", "left").where("doc_id is not null and doc_id <> 7").collect():
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+    total = sum(r["taken"] for r in got)
+    assert abs(total - sum(want.values())) <= len(order)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(3)).collect())), "reruns agree"
+    assert mixing.mix(d.limit(0)).count() == 0
+
+
+def test_repeated_documents_follow_the_mix(spark):
+    d = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, source string").withColumn("key", F.lit("clash"))
+    times = Counter(r["doc_id"] for r in mixing.repeat_documents(d).collect())
+    for r in mixing.mix(d).collect():
+        assert times[r["doc_id"]] == -(-r["taken"] // r["size"])
+    assert mixing.repeat_documents(d).columns == d.columns and mixing.repeat_documents(d.limit(0)).count() == 0
