@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
+from ..sources.readers import exists, load_csv
+
 KEY = ("project", "bug_num")
 #: The routes that one comparison of methods looks at; totals look at all three.
 COMPARED = ("assertion", "exception")
@@ -18,6 +21,20 @@ def bug_set(df: DataFrame, routes: Iterable[str] | None = None, key: tuple[str,
     return (d.where(F.col("route").isin(*routes)) if routes is not None else d).select(*key).distinct()
 
 
+#: Folders of a method's results, by route.
+ROUTE_FOLDERS = {"assertion": "assertion_prefix", "exception": "exception_prefix", "prefix_only": "prefix_only"}
+
+
+def load_results(spark: SparkSession, base: str, method: str) -> DataFrame:
+    """project, bug_num, TP, route, method of the routes whose base/<route folder>/<method>_generated/test_data.csv exists."""
+    out = spark.createDataFrame([], schemas.TEST_DATA).withColumn("route", F.lit("")).withColumn("method", F.lit(method))
+    for route, folder in ROUTE_FOLDERS.items():
+        path = f"{base.rstrip('/')}/{folder}/{method.lower()}_generated/test_data.csv"
+        if exists(spark, path):
+            out = out.unionByName(load_csv(spark, path, schemas.TEST_DATA).withColumn("route", F.lit(route)).withColumn("method", F.lit(method)))
+    return out
+
+
 def union(*sets: DataFrame) -> DataFrame:
     out = sets[0]
     for s in sets[1:]:

@@ -14,6 +14,11 @@ def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     return q if empty is None else F.coalesce(q, F.lit(empty))
 
 
+def seconds_per_sample(seconds: Column, samples: Column) -> Column:
+    """Average seconds a sample; 0.0 where there are none."""
+    return ratio(seconds, samples)
+
+
 def hits(prediction: str, target: str) -> Column:
     return F.sum(F.when(exact_match(F.col(prediction), F.col(target)), 1).otherwise(0))
 
