@@ -35,6 +35,18 @@ def test_places():
     assert main_text.main_texts(["", "<p>", "plain  text", "<script>x", "<!-- never closed", "a &lt;b&gt; &#233; &am"]) == ["", "", "plain text", "", "", "a <b> é &am"]
 
 
+def test_broken_and_odd_markup():
+    got = main_text.main_texts([
+        "<body class='home with-sidebar'><article><p title=don't>kept</p></article></body>",
+        "<div class=ad>never closed<article><p>still here</p></article>",
+        "<article><p>main</p></article><section class='comments'><article><p>a reader</p></article></section>",
+        "<main><p>in main</p><div role='navigation'>menu</div></main><p>outside</p>",
+        "<a " + 'b="c" ' * 3000,
+        "<article><p>a < b and c > d</p><p>x" + "<b>" * 2000 + "y</article>",
+    ])
+    assert got[:4] == ["kept", "still here", "main", "in main"] and got[5] == "a < b and c > d\nxy"
+
+
 def test_suffix_array_counts_pages():
     shared = [f"s{i}" for i in range(10)]
     streams = [["a", *shared, "b"], shared + ["c"] * 3, shared[:7] + ["d"], shared + shared]
