@@ -14,8 +14,7 @@ def with_row_index(df: DataFrame, *keys: str, name: str = "row_idx") -> DataFram
     Rows are sorted over ranges; each range's rows are numbered where they are, and the counts of the ranges before are
     added (one number a range on the driver).
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    d = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_at", 33)
     counts = {r["p"]: r["n"] for r in d.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, total = [], 0
