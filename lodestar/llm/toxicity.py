@@ -75,17 +75,17 @@ def fit(rows: list[tuple[str, int]], epochs: int = 400, l2: float = 1e-4, rate:
     top = max(grades, default=0)
     if len(set(grades)) < 2:
         return OrdinalModel({}, [-50.0] * top)
-    bags = [counts(t) for t, _ in rows]
     n = [sum(1 for g in grades if (g > 0) == k) for k in (False, True)]
     df: list[Counter] = [Counter(), Counter()]
-    for b, g in zip(bags, grades, strict=True):
-        df[g > 0].update(b.keys())
+    for t, g in rows:  # texts are counted twice, so that no text's features are held
+        df[g > 0].update(counts(t).keys())
     known = {f: chi_square(df[1][f], n[1], df[0][f], n[0]) for f in df[0].keys() | df[1].keys() if df[0][f] + df[1][f] >= min_texts}
     known = sorted((f for f, c in known.items() if c >= MIN_CHI_SQUARE), key=lambda f: (-known[f], f))[:max_features]
     index = {f: i for i, f in enumerate(known)}
     cols, vals, at = [], [], [0]
-    for b in bags:
-        hit = sorted((index[f], math.log1p(c)) for f, c in b.items() if f in index)
+    del df
+    for t, _ in rows:
+        hit = sorted((index[f], math.log1p(c)) for f, c in counts(t).items() if f in index)
         cols += [i for i, _ in hit]
         vals += [v for _, v in hit]
         at.append(len(cols))
