@@ -47,6 +47,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is read no more, in whatever store it is."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def pick(df: DataFrame, columns: dict[str, str], types: dict[str, str] | None = None) -> DataFrame:
     """Exactly the named columns under fixed names, so that extra columns of any name cannot clash."""
     types = types or {}

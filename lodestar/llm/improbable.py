@@ -217,7 +217,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small_batches(spark)
     d = pick(df, {"doc_id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit("")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = with_buckets(d, 4 * parts).repartition(parts, "b").sortWithinPartitions("b", "ahead", "doc_id", "text")
+    d = with_buckets(d, 4 * parts).repartition("b").sortWithinPartitions("b", "ahead", "doc_id", "text")
     schema = arrow_schema(d, ["doc_id"], [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, pick, shared_dir, small_batches
+from .common import arrow_schema, cut, pick, remove, shared_dir, small_batches
 
 VOCABULARY_SHARE, BIGRAM_SHARE, DISCOUNT = 2.0**-18, 2.0**-20, 0.5
 #: Distinct words, and bigrams, that a task holds before it hands its counts on.
@@ -179,8 +179,7 @@ def sum_bigrams(parts: DataFrame, least: tuple[float, float]) -> DataFrame:
         if held:
             yield kept(held)
 
-    count = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return parts.select("block", "side", "counts").repartition(count, "block").sortWithinPartitions("block").mapInArrow(run, "code bigint, n0 bigint, n1 bigint")
+    return parts.select("block", "side", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(run, "code bigint, n0 bigint, n1 bigint")
 
 
 class Matched:
@@ -262,14 +261,16 @@ def score(df: DataFrame, model: Matched, id_col: str = "doc_id", text_col: str =
     return d.mapInArrow(run, ddl).withColumnRenamed("doc_id", id_col)
 
 
-def target_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of documents labelled good and not toxic, joined once and written to the shared folder: two passes read them."""
+def target_documents(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """Texts of documents labelled good and not toxic, joined once and written to `path`: two passes read them."""
     good = pick(labels, {"doc_id": "doc_id", "quality": "quality", "toxic": "toxic"}).where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
     texts = pick(docs, {"doc_id": "doc_id", "text": "text"}).where("doc_id is not null").join(good.hint("merge"), "doc_id", "left_semi").select("text")
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/target-{uuid.uuid4().hex}"
     texts.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
 def score_against_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(target_documents(docs, labels), pick(docs, {"text": "text"})))
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/target-{uuid.uuid4().hex}"
+    model = train(target_documents(docs, labels, path), pick(docs, {"text": "text"}))
+    remove(docs.sparkSession, path)
+    return score(docs, model)

@@ -199,8 +199,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     spark = distinct.sparkSession
     small_batches(spark)
     rows = banded(pivot_table(distinct), radius)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select(F.xxhash64("key").alias("g"), "fp", "pa", "pb").repartition(parts, "g").sortWithinPartitions("g", F.col("pa").bitwiseAND(255))
+    rows = rows.select(F.xxhash64("key").alias("g"), "fp", "pa", "pb").repartition("g").sortWithinPartitions("g", F.col("pa").bitwiseAND(255))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -436,9 +435,8 @@ def wide_pairs(nodes: DataFrame, radius: int) -> DataFrame:
         if size:
             yield from link(np.concatenate(held))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = nodes.select("node", *names).mapInArrow(deal, ddl)
-    pairs = dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
+    pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
