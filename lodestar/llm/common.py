@@ -87,7 +87,7 @@ def map_texts(
         for b in batches:
             got = f(b.column(b.schema.get_field_index(text)).to_pylist())
             cols = [b.column(b.schema.get_field_index(k)).cast(schema.field(k).type) for k in keep]
-            yield pa.RecordBatch.from_arrays([*cols, *(pa.array(got[n], t) for n, _, t in out)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*cols, *(got[n] if isinstance(got[n], pa.Array) else pa.array(got[n], t) for n, _, t in out)], schema=schema)
 
     return df.mapInArrow(run, ddl)
 

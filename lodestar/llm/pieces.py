@@ -6,8 +6,8 @@ own encoding, and is compatible with the last token of the prefix before it (the
 concatenation). So a table with one token per prefix, filled from the matches of an Aho-Corasick automaton over the
 pieces, holds the whole encoding; ids are recovered backwards from the end. Pair tests are memoised.
 
-No piece holds the blank mark behind another character, so texts are cut there, and segments met before are taken from
-a bounded cache.
+No piece holds the blank mark behind another character, nor a letter beside a character of another kind, so texts are cut
+there (what the vocabulary allows is worked out when it is loaded), and segments met before are taken from a bounded cache.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,12 +57,25 @@ class PrefixTableCodec:
             self.segments = lambda s: [s]
         else:
             apart = "".join(c for c in "\n\t\r" if not any(c in p for p in self.id))
-            cut = re.escape(apart)
-            self.segments = re.compile(f"{MARK}+[^{MARK}{cut}]*|[^{MARK}{cut}]+" + (f"|[{cut}]" if cut else "")).findall
+            cut, odd = re.escape(apart), re.escape("".join(sorted(self._odd_letters())))
+            letters, others = rf"[^\W_{odd}]+", rf"(?:(?![{MARK}{cut}])[\W_{odd}])+"
+            self.segments = re.compile(f"{MARK}*(?:{letters}|{others})|{MARK}+" + (f"|[{cut}]" if cut else "")).findall
         self.pairs: dict[int, bool] = {}
         self.own: dict[int, bool] = {}
         self.odd: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+
+    def _odd_letters(self) -> set[str]:
+        """Letters and digits to be taken with the other characters, so that no piece holds a letter beside one of these
+        (but for leading blank marks): texts may be cut between the two kinds."""
+        odd: set[str] = set()
+        while True:
+            kind = lambda c: c.isalnum() and c not in odd
+            mixed = {c for p in self.id for a, b in zip(p, p[1:], strict=False) if a != MARK and kind(a) != kind(b) for c in (a, b) if kind(c)}
+            if not mixed:
+                return odd
+            odd |= mixed
 
     def merged(self, s: str) -> list[str]:
         """The encoding of a short string by plain merging: the definition that pair tests rest on."""
@@ -114,7 +128,7 @@ class PrefixTableCodec:
                 last[k], width[k] = -ord(s[k]) - 1, 1
 
         for end, (i, size) in self.automaton.iter(s):
-            if end <= done and width[end]:
+            if end == done:  # one token ends here, and it is found
                 continue
             if end > done + 1:
                 unknown(end)
@@ -149,16 +163,19 @@ class PrefixTableCodec:
         if not text:
             return [self.eos] if end else []
         cache = self.cache
-        found = []
-        for s in self.segments(MARK + text.replace(" ", MARK)):
-            ids = cache.get(s)
-            if ids is None:
-                ids = self._segment(s)
-                if len(s) <= CACHE_CHARS:
-                    if len(cache) >= CACHE_SEGMENTS:
-                        cache.clear()
-                    cache[s] = ids
-            found.append(ids)
+        parts = self.segments(MARK + text.replace(" ", MARK))
+        found = list(map(cache.get, parts))
+        if None in found:
+            for k, ids in enumerate(found):
+                if ids is None:
+                    s = parts[k]
+                    ids = cache.get(s) or self.older.get(s) or self._segment(s)
+                    if len(s) <= CACHE_CHARS:
+                        if len(cache) >= CACHE_SEGMENTS // 2:  # two generations: what is met again stays
+                            self.older, cache = cache, {}
+                            self.cache = cache
+                        cache[s] = ids
+                    found[k] = ids
         out = list(chain.from_iterable(found))
         if end:
             out.append(self.eos)
@@ -196,7 +213,9 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
 
         def run(texts: list[str | None]) -> dict[str, list]:
             ids = [c.encode(t or "", end) for t in texts]
-            return {"ids": ids, "decoded": [c.decode(x) for x in ids]}
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
+            return {"ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), "decoded": [c.decode(x) for x in ids]}
 
         return run
 
