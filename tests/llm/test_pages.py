@@ -55,6 +55,13 @@ def test_suffix_array_counts_pages():
     assert set(cover[begins[2] : begins[2] + 8]) == {1}
 
 
+def test_few_tokens():
+    for n in range(12):
+        for pages in (1, 2, 3):
+            text = " ".join(f"w{j}" for j in range(n))
+            assert main_text.main_texts([f"<p>{text}</p>"] * pages) == [text] * pages, "a page that is a copy as a whole keeps its text"
+
+
 def test_host_boilerplate_without_markup():
     notice = "<div>We use many small things on this site to count all its readers</div>"
     pages = [f"<body>{notice}<p>{' '.join(f'p{i}w{j}' for j in range(20))}</p></body>" for i in range(12)]
