@@ -347,8 +347,8 @@ def near_pairs(group: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int
         near = d <= radius
         found.append((d[near], i[near], i[near] + shift))
         shift += 1
-    if not found:
-        return here[:0], here[:0]
+    if not any(len(d) for d, _, _ in found):
+        return np.arange(0), np.arange(0)
     d, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
     label, keep_a, keep_b = np.arange(n), [], []
     for step in np.unique(d):

@@ -128,6 +128,19 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert (label == label[0]).all() and len(a) < 20 * len(m)
 
 
+def test_near_pairs_of_strangers_and_neighbours():
+    fp = np.array([[0, 0], [(1 << 60) - 1, 7], [1, 0], [3, 0]], dtype=np.uint64)
+    table = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in simhash.wide_pivots()], axis=1)
+
+    def pairs(rows):
+        rows = sorted(rows, key=lambda i: table[i, 0])
+        a, b = simhash.near_pairs(np.zeros(len(rows), dtype=np.int64), fp[rows], table[rows], 5)
+        return sorted(tuple(sorted((rows[i], rows[j]))) for i, j in zip(a, b, strict=True))
+
+    assert pairs([0, 1]) == [] and pairs([0]) == [] and pairs([0, 1, 2]) == [(0, 2)]
+    assert pairs([0, 2, 3]) == [(0, 2), (2, 3)], "the pair that only closes a circle is left out"
+
+
 def brute_features(b):
     n, w, run = len(b), improbable.WINDOW, improbable.RUN
     whole = [int(x) for x in improbable._whole(b)] if b else []
