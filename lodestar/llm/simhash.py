@@ -283,6 +283,10 @@ TABLES, KEY_BITS = 96, 16
 PAIRWISE = 1024
 #: Up to so many ids (8 bytes each) a set of ids is broadcast; beyond, joins on them shuffle.
 BROADCAST_IDS = 1 << 20
+#: Documents and list length of the sample that says which shingles are frequent: it sets an order, nothing is left out by it.
+ORDER_DOCUMENTS, ORDER_SHINGLES = 50_000, 1 << 18
+#: Posting lists up to this size are paired many at a time.
+SMALL_LIST = 64
 
 
 def mixed(h: np.ndarray, j: int) -> np.ndarray:
@@ -473,6 +477,118 @@ def similar(pairs: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
+def frequent_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of shingles that occur in three or more texts of a sample, and in how many."""
+    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // ORDER_DOCUMENTS))) == 0).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"h": distinct_hashes(t or "", k).view(np.int64)})
+
+    got = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    h, often = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    by = np.argsort(h)
+    return h[by], often[by]
+
+
+def distinct_hashes(text: str, k: int) -> np.ndarray:
+    parts = [np.unique(h) for h in shingle_hashes(text, k)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles, rare ones first, of a set of distinct ones: two sets of similarity `least` share one of these."""
+    often = np.zeros(len(h), dtype=np.int64)
+    if len(frequent[0]):
+        at = np.minimum(np.searchsorted(frequent[0], h), len(frequent[0]) - 1)
+        often = np.where(frequent[0][at] == h, frequent[1][at], 0)
+    return h[np.lexsort((h, often))][: len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1]
+
+
+def list_pairs(m: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes from rows (shingle, node, root, size, place) sorted by shingle: those of one shingle that have different
+    roots, but for pairs whose sizes, or what follows the shingle in them, rule the similarity out. A pair that passes does
+    so at the first shingle it shares, so none is lost."""
+    starts = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
+    sizes = np.diff(np.concatenate((starts, [len(m)])))
+    mixed_roots = np.minimum.reduceat(m[:, 2], starts) != np.maximum.reduceat(m[:, 2], starts)
+
+    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s, t = m[a, 3], m[b, 3]
+        could = np.minimum(s - m[a, 4], t - m[b, 4])
+        return (m[a, 2] != m[b, 2]) & (np.minimum(s, t) >= least * np.maximum(s, t) - 1e-6) & (could >= least / (1 + least) * (s + t) - 1e-6)
+
+    for s, n in zip(starts[mixed_roots & (sizes > SMALL_LIST)], sizes[mixed_roots & (sizes > SMALL_LIST)], strict=True):
+        # the root with the most rows comes first: none of its rows meet each other
+        _, root, count = np.unique(m[s : s + n, 2], return_inverse=True, return_counts=True)
+        order = s + np.argsort(root != count.argmax(), kind="stable")
+        us, vs, held = [], [], 0
+        for i in range(int(count.max()), n):
+            b = order[:i]
+            b = b[fit(np.full(i, order[i]), b)]
+            us.append(np.full(len(b), m[order[i], 1]))
+            vs.append(m[b, 1])
+            held += len(b)
+            if held > LINK_ROWS or i == n - 1:
+                yield np.concatenate(us), np.concatenate(vs)
+                us, vs, held = [], [], 0
+    keep = np.repeat(mixed_roots & (sizes <= SMALL_LIST), sizes)
+    m, here, shift = m[keep], np.arange(np.count_nonzero(keep)), 1
+    while len(here):
+        here = here[here + shift < len(m)]
+        here = here[m[here, 0] == m[here + shift, 0]]
+        near = here[fit(here, here + shift)]
+        if len(near):
+            yield m[near, 1], m[near + shift, 1]
+        shift += 1
+
+
+def prefix_pairs(roots: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes (node, root) with different roots, among them all whose similarity is `least` or more."""
+    spark = roots.sparkSession
+    small_batches(spark)
+    n = roots.count()
+    right = F.broadcast(roots) if n <= BROADCAST_IDS else roots.hint("merge")
+    texts = df.join(right, F.col("doc_id").cast("bigint") == F.col("node"))
+    sent = spark.sparkContext.broadcast(frequent_shingles(texts, n, k))
+    names = ("h", "node", "root", "size", "place")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = sent.value
+        for b in batches:
+            for t, node, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                h = distinct_hashes(t or "", k)
+                if len(h):
+                    first = prefix(h, frequent, least)
+                    fixed = (np.full(len(first), x, dtype=np.int64) for x in (node, root, len(h)))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first.view(np.int64), *fixed, np.arange(len(first)))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def link(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for u, v in list_pairs(m, least):
+                both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+                yield pa.RecordBatch.from_pydict({"u": both[:, 0], "v": both[:, 1]})
+
+        for b in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
+            size += len(held[-1])
+            if size >= LINK_ROWS:
+                m = np.concatenate(held)
+                end = np.searchsorted(m[:, 0], m[-1, 0])
+                if end:
+                    yield from link(m[:end])
+                held, size = [m[end:]], len(m) - end
+        if size:
+            yield from link(np.concatenate(held))
+
+    dealt = texts.select("text", "node", "root").mapInArrow(deal, ", ".join(f"{c} bigint" for c in names))
+    return dealt.repartition("h").sortWithinPartitions("h").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
     """Semi- or anti-join with a stored set of ids (column _i): broadcast while it is small, else shuffled by id."""
     right = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
@@ -481,7 +597,8 @@ def with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
 
 def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WIDE_SHINGLE, least: float = SIMILAR, radius: int = WIDE_RADIUS) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable) of rows with an id, by links between texts whose word shingles
-    have a Jaccard similarity of `least` or more. Wide fingerprints find candidates, similarity decides.
+    have a Jaccard similarity of `least` or more. Wide fingerprints find most links; shingles that rare-first prefixes share
+    then find every pair of texts that these left apart. Similarity decides on both.
 
     Equal texts (but for blanks and the case of A-Z) are one node from the start; texts without words, null ones too, are
     all alike. Ids must be whole numbers; rows that share an id are one document, rows with null ids are left out.
@@ -491,7 +608,14 @@ def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"f{j}" for j in range(WIDE_WORDS)]
     nodes = cut(prints.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.first(n).alias(n) for n in names]))
     pairs = cut(wide_pairs(nodes.select(F.col("node").cast("bigint").alias("node"), *names), radius))
-    comp = components(similar(pairs, d, k, least)).withColumnRenamed("node", "n")
+    links = cut(similar(pairs, d, k, least))
+    comp = components(links)
+    roots = nodes.select(F.col("node").cast("bigint").alias("node")).distinct().join(comp.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    more = cut(prefix_pairs(cut(roots.select("node", F.coalesce("root", "node").alias("root"))), d, k, least))
+    more = cut(similar(more, d, k, least))
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
+    comp = comp.withColumnRenamed("node", "n")
     found = nodes.join(comp, nodes["node"] == comp["n"], "left").select("same", F.coalesce("root", "node").alias("component_id"))
     return prints.join(found, "same").select(F.col("doc_id").alias(id_col), "component_id")
 

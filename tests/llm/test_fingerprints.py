@@ -128,6 +128,22 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert (label == label[0]).all() and len(a) < 20 * len(m)
 
 
+def test_star_of_near_copies(spark):
+    """Copies nearer to each other than to the original, at distances of fingerprints, but under 0.8 among themselves."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(304)]
+    rows = [(0, " ".join(words))]
+    for c in range(1, 401):
+        edited = list(words)
+        for at in r.sample(range(1, 60), 6):
+            edited[5 * at] = f"c{c}x{at}"
+        rows.append((c, " ".join(edited)))
+    text = dict(rows)
+    assert all(0.8 <= similarity(text[0], text[c]) < 0.83 for c in range(1, 401)) and similarity(text[1], text[2]) < 0.8
+    got = simhash.near_copy_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {x["component_id"] for x in got} == {0}
+
+
 def test_near_pairs_of_strangers_and_neighbours():
     fp = np.array([[0, 0], [(1 << 60) - 1, 7], [1, 0], [3, 0]], dtype=np.uint64)
     table = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in simhash.wide_pivots()], axis=1)
