@@ -300,13 +300,12 @@ def mixed(h: np.ndarray, j: int) -> np.ndarray:
 
 
 def wide_fingerprint(text: str, k: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> list[int]:
-    """SimHash of 64 * words bits, as signed 64-bit words."""
-    ones, n = np.zeros((words, 64), dtype=np.int64), 0
-    for h in shingle_hashes(text, k):
-        for j in range(words):
-            ones[j] += np.unpackbits(mixed(h, j).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        n += len(h)
-    return np.packbits(ones * 2 > n, axis=1).reshape(-1, 8).view(">i8").astype(np.int64)[:, 0].tolist() if n else [0] * words
+    """SimHash of 64 * words bits over the distinct shingles, as signed 64-bit words."""
+    h = distinct_hashes(text, k)
+    if not len(h):
+        return [0] * words
+    ones = np.stack([np.unpackbits(mixed(h, j).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for j in range(words)])
+    return np.packbits(ones * 2 > len(h), axis=1).reshape(-1, 8).view(">i8").astype(np.int64)[:, 0].tolist()
 
 
 def wide_fingerprints(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:

@@ -144,6 +144,34 @@ def test_star_of_near_copies(spark):
     assert {x["component_id"] for x in got} == {0}
 
 
+def test_every_pair_at_the_similarity(spark):
+    """Pairs at 0.8 exactly, and texts that differ in how often they repeat a block: none is lost, none is added."""
+    r = random.Random(7)
+    rows = []
+    for b in range(0, 600, 2):
+        words = [f"p{b}x{i}" for i in range(364)]
+        edited = list(words)
+        for at in r.sample(range(1, 70), 8):
+            edited[5 * at] = f"q{b}x{at}"
+        rows += [(b, " ".join(words)), (b + 1, " ".join(edited))]
+    for b in range(600, 660, 2):
+        words = [f"p{b}x{i}" for i in range(304)]
+        at = r.randrange(250)
+        rows += [(b, " ".join(words)), (b + 1, " ".join(words[:at] + 6 * words[at : at + 24] + words[at + 24 :]))]
+    text = dict(rows)
+    assert all(similarity(text[b], text[b + 1]) == 0.8 for b in range(0, 600, 2)) and all(similarity(text[b], text[b + 1]) > 0.95 for b in range(600, 660, 2))
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copy_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: k - k % 2 for k in text}
+
+
+def test_fingerprint_of_distinct_shingles():
+    words = [f"w{i}" for i in range(304)]
+    once, often = " ".join(words + words[:8]), " ".join(words + 9 * words[:8])
+    assert similarity(once, often) > 0.98
+    a, b = (np.array(simhash.wide_fingerprint(t)) for t in (once, often))
+    assert np.bitwise_count((a ^ b).view(np.uint64)).sum() < 16
+
+
 def test_near_pairs_of_strangers_and_neighbours():
     fp = np.array([[0, 0], [(1 << 60) - 1, 7], [1, 0], [3, 0]], dtype=np.uint64)
     table = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in simhash.wide_pivots()], axis=1)
