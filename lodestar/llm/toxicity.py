@@ -135,19 +135,24 @@ def marked_features(rows: list[tuple[str, bool]], log_odds: float = 2.0) -> set[
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES) -> list[tuple[str, bool]]:
     """(text, toxic) of a bounded sample of labelled documents: the labels with the least hashes of their ids, half of
-    them toxic where there are as many. Only sampled ids are joined with the texts."""
+    them toxic where there are as many. Only sampled ids are joined with the texts; a text that does not fit what is left
+    of max_bytes is passed over. Toxic texts of which none fits are an error, as no model could find any, and so are others."""
     lab = pick(labels, {"doc_id": "doc_id", "toxic": "toxic"}).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.withColumn("h", F.xxhash64("doc_id"))
     half = max_rows // 2
     some = [lab.where(F.col("toxic") > 0 if side else F.col("toxic") <= 0).orderBy("h", "doc_id").limit(half) for side in (False, True)]
     chosen = some[0].unionByName(some[1])  # at most max_rows rows of three numbers
     got = pick(docs, {"doc_id": "doc_id", "text": "text"}).join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic", "h", "doc_id")
-    out, size = [], 0
+    out, size, unseen = [], 0, set()
     for r in got.orderBy("h", "doc_id", "text").toLocalIterator():
-        size += len(r["text"].encode())
-        if size > max_bytes and out:
-            break
+        n = len(r["text"].encode())
+        if size + n > max_bytes:
+            unseen.add(r["toxic"] > 0)
+            continue
+        size += n
         out.append((r["text"], r["toxic"] > 0))
+    for side in unseen - {toxic for _, toxic in out}:
+        raise ValueError(f"no text labelled {'toxic' if side else 'not toxic'} fits a sample of {max_bytes} bytes")
     return out
 
 

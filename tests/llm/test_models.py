@@ -4,6 +4,7 @@ import collections
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import lm_scoring, toxicity
@@ -101,6 +102,16 @@ def test_held_out_toxicity(spark):
     assert kept.columns == e.columns and kept.count() == sum(not r["toxic"] for r in got.values())
 
 
+def test_one_long_text_does_not_end_the_sample(spark):
+    rows = [(i, ("w " * 40_000 if i == 3 else f"text {i}"), int(i % 2)) for i in range(40)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id bigint, toxic int")
+    assert sorted(toxicity.training_rows(d, labels, max_bytes=2_000)) == sorted((t, x > 0) for i, t, x in rows if i != 3)
+    one = labels.where("doc_id = 3 or toxic = 0")
+    with pytest.raises(ValueError, match="labelled toxic"):
+        toxicity.training_rows(d, one, max_bytes=2_000)
+
+
 def test_toxicity_edges(spark):
     m = toxicity.fit([("a fool", 1), ("b", 0)] * 20)
     d = spark.createDataFrame([(1, None), (None, ""), (2, "A FOOL"), (2, "A FOOL"), (3, "b " * 50_000)], "doc_id bigint, text string")
