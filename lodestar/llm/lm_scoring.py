@@ -1,10 +1,10 @@
 """Cross-entropy difference scoring with matched target and background bigram models.
 
 Both models share one vocabulary and one list of bigrams, and are smoothed alike: absolute discounting, the rest going
-to add-one unigrams. The vocabulary holds the words whose share of all tokens reaches VOCABULARY_SHARE in the target or
-in the background, the list the bigrams of such words whose share reaches BIGRAM_SHARE; so there can be at most
-2 / share of either, whatever the corpus: the models have a proven size and are broadcast. Counts are of every
-document, made in parts where the documents are read and summed in Spark.
+to add-one unigrams. The vocabulary holds the words that occur in the target, or twice in the background; the list the
+bigrams of such words that occur twice on either side. Both grow with the corpus. They are broadcast, so memory, of the
+driver too, has to grow with them. Counts are of every document, made in parts where the documents are read and summed
+in Spark.
 
 A document's score is the mean over its tokens of the target's loss less the background's, in nats: the lower, the
 more it reads like the target.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, cut, pick, remove, shared_dir, small_batches
 
-VOCABULARY_SHARE, BIGRAM_SHARE, DISCOUNT = 2.0**-18, 2.0**-20, 0.5
+#: Shares of all tokens that words and bigrams have to reach beside those counts: none, so that no corpus size drops any.
+VOCABULARY_SHARE, BIGRAM_SHARE, DISCOUNT = 0.0, 0.0, 0.5
 #: Distinct words, and bigrams, that a task holds before it hands its counts on.
 FLUSH_WORDS, FLUSH_BIGRAMS = 200_000, 1_500_000
 #: Bigram counts are shuffled in 2 ** BLOCK_BITS blocks.
@@ -210,7 +211,7 @@ class Matched:
 
 
 def train(target: DataFrame, background: DataFrame, vocabulary_share: float = VOCABULARY_SHARE, bigram_share: float = BIGRAM_SHARE) -> Matched:
-    """Fit both models to all rows (column text) of the two tables. What reaches the driver is bounded by the shares."""
+    """Fit both models to all rows (column text) of the two tables. The vocabulary and the bigrams reach the driver."""
     spark = background.sparkSession
     small_batches(spark)
     both = count_words(target).withColumn("side", F.lit(0)).unionByName(count_words(background).withColumn("side", F.lit(1)))

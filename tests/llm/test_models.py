@@ -62,6 +62,15 @@ def test_scores_without_rows(spark):
     assert lm_scoring.score_against_labelled(some, labels).where("ce_diff is not null").count() == 3
 
 
+def test_rare_words_of_a_large_corpus_stay(spark):
+    """Words and bigrams that occur twice are in the models, however many tokens there are."""
+    rows = [("a b " * 400_000,), ("rare pair",), ("rare pair",), ("a b",)]
+    texts = spark.createDataFrame(rows, "text string")
+    m = lm_scoring.train(texts.where("text = 'a b'"), texts)
+    assert m.words == [b"a", b"b", b"pair", b"rare"]
+    assert (m.words.index(b"rare") + 1) * m.width + m.words.index(b"pair") + 1 in m.codes.tolist()
+
+
 def test_probabilities_sum_to_one(spark):
     texts = spark.createDataFrame([("a b a c b a",), ("b a d",), ("a b",)], "text string")
     m = lm_scoring.train(texts.limit(2), texts)
