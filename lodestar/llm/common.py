@@ -15,6 +15,8 @@ from ..session import ship
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows (and bytes, where Spark knows that limit) in one Arrow batch, so that long texts cannot fill a worker.
 BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+#: A key with more rows than this is joined by broadcast: of n rows at most n / HEAVY keys have so many.
+HEAVY = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +32,13 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all run in
+    one process (tests), else an error, as executors don't see each other's disks."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestar-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if not sc.getCheckpointDir():
@@ -53,6 +58,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def join_counted(df: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join with a table of one row a key, whose column n counts the key's rows in df (and is dropped): keys of more
+    than HEAVY rows, which are few, are broadcast and their rows stay where they are; the others are shuffled."""
+    right = cut(right)
+    rare, heavy = right.where(F.col(n) <= HEAVY).drop(n), right.where(F.col(n) > HEAVY).drop(n)
+    if heavy.isEmpty():
+        return df.join(rare, key)
+    return df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rare, key).unionByName(df.join(F.broadcast(heavy), key))
+
+
 def pick(df: DataFrame, columns: dict[str, str], types: dict[str, str] | None = None) -> DataFrame:
     """Exactly the named columns under fixed names, so that extra columns of any name cannot clash."""
     types = types or {}

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, pick, small_batches
+from .common import cut, join_counted, map_texts, pick, small_batches
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Groups beyond this many distinct fingerprints are split by further bands; so many levels at most.
@@ -227,13 +227,42 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.mapInArrow(run, "u bigint, v bigint").where("u <> v").distinct()
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, that connect what the given ones connect: each task's pieces are cut down to stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(m: np.ndarray) -> np.ndarray:
+            nodes, at = np.unique(m, return_inverse=True)
+            at = at.reshape(m.shape)
+            label = _components(len(nodes), at[:, 0], at[:, 1], np.arange(len(nodes)))
+            i = np.flatnonzero(label != np.arange(len(nodes)))
+            return np.stack([nodes[i], nodes[label[i]]], axis=1)
+
+        held: list[np.ndarray] = []
+        for b in batches:
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
+            if sum(map(len, held)) > LINK_ROWS:
+                held = [done(np.concatenate(held))]
+                if len(held[0]) > LINK_ROWS // 2:
+                    yield pa.RecordBatch.from_pydict({"u": held[0][:, 0], "v": held[0][:, 1]})
+                    held = []
+        if held:
+            m = done(np.concatenate(held))
+            yield pa.RecordBatch.from_pydict({"u": m[:, 0], "v": m[:, 1]})
+
+    return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Connected components by alternating large and small stars: rows (node, root), root the least node; nodes without an edge are absent."""
-    e = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    before = None
+    """Connected components by alternating large and small stars: rows (node, root), root the least node; nodes without an
+    edge are absent. Joins are by node; adaptive execution splits those of a node with very many neighbours."""
+    small_batches(edges.sparkSession)
+    e = cut(forest(edges).distinct())
     for _ in range(rounds):
+        # done when all edges lead to roots, and each node has one
+        ends = e.select(F.col("u").alias("k"), F.lit(1).alias("down")).unionByName(e.select(F.col("v").alias("k"), F.lit(0).alias("down")))
+        if ends.groupBy("k").agg(F.sum("down").alias("downs"), F.min("down").alias("up")).where("downs > 1 or downs = 1 and up = 0").isEmpty():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -241,22 +270,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         hand = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(hand.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id from rows (doc_id, fp): the least doc_id that links of `radius` bits or fewer reach."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     comp = components(near_links(distinct.select("fp"), radius))
-    roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    found = join_counted(roots, least, "root", "m").select("fp", "component_id", "n")
+    return join_counted(prints, found, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -276,15 +300,13 @@ def simhash_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 #: Words of a shingle, least Jaccard similarity of two shingle sets, 64-bit words of a wide fingerprint, and the radius in
 #: bits within which similarity is computed: sets at 0.8 differ in 19 of 128 bits on average, with a deviation of 4.
 WIDE_SHINGLE, SIMILAR, WIDE_WORDS, WIDE_RADIUS = 5, 0.8, 2, 28
-#: Candidates meet where KEY_BITS sampled bits are equal in one of TABLES samples: 99.9 % of pairs at the mean distance of
-#: similarity 0.8 do, 97 % of those a deviation above it.
-TABLES, KEY_BITS = 96, 16
-#: Groups beyond this size are first drawn together around their middles.
-PAIRWISE = 1024
+#: Fingerprints meet where sampled bits are equal in one of TABLES samples. As many bits are sampled as leave about
+#: 2 ** SPARE_BITS strangers together, whatever the number of fingerprints, and KEY_BITS at least.
+TABLES, KEY_BITS, SPARE_BITS = 8, 12, 2
 #: Up to so many ids (8 bytes each) a set of ids is broadcast; beyond, joins on them shuffle.
 BROADCAST_IDS = 1 << 20
 #: Documents and list length of the sample that says which shingles are frequent: it sets an order, nothing is left out by it.
-ORDER_DOCUMENTS, ORDER_SHINGLES = 50_000, 1 << 18
+ORDER_DOCUMENTS, ORDER_SHINGLES = 10_000, 1 << 18
 #: Posting lists up to this size are paired many at a time.
 SMALL_LIST = 64
 
@@ -327,136 +349,120 @@ def wide_pivots(n: int = 16) -> np.ndarray:
     return np.array(pivots(n * WIDE_WORDS), dtype=np.uint64).reshape(n, WIDE_WORDS)
 
 
-def samples() -> np.ndarray:
+def samples(bits: int) -> np.ndarray:
     """The bit numbers of each table's key."""
     rng = np.random.default_rng(20)
-    return np.stack([rng.permutation(64 * WIDE_WORDS)[:KEY_BITS] for _ in range(TABLES)])
+    return np.stack([rng.permutation(64 * WIDE_WORDS)[:bits] for _ in range(TABLES)])
 
 
-def near_pairs(group: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by group and first pivot distance: pairs of rows of a group within the radius, without those that
-    only close a circle of closer ones. Nothing that hangs together at any distance comes apart by that."""
-    n = len(fp)
-    here, shift = np.arange(n), 1
-    first = table[:, 0]
-    found: list[tuple] = []
-    while True:
-        here = here[here + shift < n]
-        here = here[(group[here] == group[here + shift]) & (first[here + shift] - first[here] <= radius)]
-        if not len(here):
-            break
-        i = here[np.abs(table[here] - table[here + shift]).max(axis=1) <= radius]
-        d = apart_by(fp, i, i + shift)
-        near = d <= radius
-        found.append((d[near], i[near], i[near] + shift))
-        shift += 1
-    if not any(len(d) for d, _, _ in found):
-        return np.arange(0), np.arange(0)
-    d, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    label, keep_a, keep_b = np.arange(n), [], []
-    for step in np.unique(d):
-        at = d == step
-        u, v = a[at], b[at]
-        open_ = label[u] != label[v]
-        keep_a.append(u[open_])
-        keep_b.append(v[open_])
-        if open_.any():
-            label = _components(n, u[open_], v[open_], label)
-    return np.concatenate(keep_a), np.concatenate(keep_b)
-
-
-def draw_together(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs in one large group, linear in its size for a group of copies: the row nearest to the majority of bits is a
-    hub, rows within the radius pair with it and leave; in the end the last rows, or those of a mixture without a middle,
-    are compared with all rows, one against a block of all at a time."""
-    left, a, b = np.arange(len(fp)), [], []
-    mixture = False
-    while len(left) > PAIRWISE // 8 and not mixture:
-        bits = np.unpackbits(fp[left].view(np.uint8), axis=1)
-        middle = np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(left)).view(np.uint64)
-        hub = left[np.bitwise_count(fp[left] ^ middle).sum(axis=1, dtype=np.int32).argmin()]
-        near = np.bitwise_count(fp ^ fp[hub]).sum(axis=1, dtype=np.int32) <= radius
-        a.append(np.full(np.count_nonzero(near), hub))
-        b.append(np.flatnonzero(near))
-        mixture = np.count_nonzero(near[left]) < 0.1 * len(left)
-        left = left[~near[left]]
-    for x in left:
-        mine = np.flatnonzero(np.bitwise_count(fp ^ fp[x]).sum(axis=1, dtype=np.int32) <= radius)
-        a.append(np.full(len(mine), x))
-        b.append(mine)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def wide_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs (u, v) of nodes (node, f0 ..) that meet in a table and differ in at most `radius` bits, far fewer than all:
-    what they connect is what all of them connect."""
+def stars(group: np.ndarray, fp: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (hub, row) within the radius for rows sorted by group, at most one a row, so fewer than rows in any group.
+
+    In every group at once: the first row left leads; of the rows left near it the one nearest to the majority of their
+    bits is the hub; it links the leader and what is near it, and these leave. Near: no pivot coordinate differs by more
+    than the radius, and no more bits do.
+    """
+    left, hubs, rows = np.arange(len(fp)), [], []
+
+    def near(center: np.ndarray, some: np.ndarray) -> np.ndarray:
+        ok = np.abs(table[center] - table[some]).max(axis=1) <= radius
+        ok[ok] = apart_by(fp, center[ok], some[ok]) <= radius
+        return ok
+
+    while len(left):
+        starts = np.flatnonzero(np.concatenate(([True], group[left][1:] != group[left][:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(left)])))
+        leader = left[starts]
+        close = near(np.repeat(leader, sizes), left)
+        circle, of = left[close], np.repeat(np.arange(len(starts)), sizes)[close]
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        count = np.diff(np.concatenate((first, [len(of)])))
+        several = np.flatnonzero(count > 1)  # the others lead nobody
+        hub = leader.copy()
+        if len(several):
+            inside = np.repeat(count > 1, count)
+            c, o = circle[inside], np.repeat(np.arange(len(several)), count[several])
+            bounds = np.concatenate(([0], np.cumsum(count[several])[:-1]))
+            ones = np.add.reduceat(np.unpackbits(fp[c].view(np.uint8).reshape(len(c), -1), axis=1), bounds, axis=0, dtype=np.int64)
+            middle = np.packbits(ones * 2 > count[several][:, None], axis=1).view(np.uint64)
+            far = np.bitwise_count(fp[c] ^ middle[o]).sum(axis=1, dtype=np.int64)
+            hub[several] = c[np.lexsort((c, far, o))[bounds]]
+            rest = np.repeat(hub, sizes)
+            alone = np.repeat(hub == leader, sizes)
+            taken = np.where(alone, close, False)
+            taken[~alone] = near(rest[~alone], left[~alone])
+            taken[starts] = True
+            link = taken & (left != rest)
+            hubs.append(rest[link])
+            rows.append(left[link])
+        else:
+            taken = np.zeros(len(left), dtype=bool)
+            taken[starts] = True
+        left = left[~taken]
+    return (np.concatenate(hubs), np.concatenate(rows)) if hubs else (np.arange(0), np.arange(0))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], link) -> Iterator[pa.RecordBatch]:
+    """link(rows) for pieces of sorted rows that end where the first column changes."""
+    held: list[np.ndarray] = []
+    size = 0
+    for b in batches:
+        held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
+        size += len(held[-1])
+        if size >= LINK_ROWS:
+            m = np.concatenate(held)
+            end = np.searchsorted(m[:, 0], m[-1, 0])  # the last group may go on
+            if end:
+                yield from link(m[:end])
+            held, size = [m[end:]], len(m) - end
+    if size:
+        yield from link(np.concatenate(held))
+
+
+def wide_pairs(nodes: DataFrame, n: int, radius: int) -> DataFrame:
+    """Pairs (u, v) of the n nodes (node, f0 ..) that meet in a table and differ in at most `radius` bits: for each node and
+    table the hub of its star alone."""
     spark = nodes.sparkSession
     small_batches(spark)
     names = [f"f{j}" for j in range(WIDE_WORDS)]
+    bits = min(48, max(KEY_BITS, n.bit_length() - SPARE_BITS))
     ddl = "key bigint, node bigint, " + ", ".join(f"{n} bigint" for n in names)
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), *[(n, pa.int64()) for n in names]])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, weight = samples(), 1 << np.arange(KEY_BITS)
+        at, weight = samples(bits), 1 << np.arange(bits)
         for b in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            bits = np.unpackbits(np.stack(cols[1:], axis=1).view(np.uint8), axis=1, bitorder="little")
-            key = np.concatenate([(t << KEY_BITS) + bits[:, at[t]].astype(np.int64) @ weight for t in range(TABLES)])
+            on = np.unpackbits(np.stack(cols[1:], axis=1).view(np.uint8), axis=1, bitorder="little")
+            key = np.concatenate([(t << bits) + on[:, at[t]].astype(np.int64) @ weight for t in range(TABLES)])
             yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(np.tile(c, TABLES)) for c in cols]], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ps = wide_pivots()
-        held: list[np.ndarray] = []
-        size = 0
-
-        def edges(m: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            u, v = m[a, 1], m[b, 1]
-            return pa.RecordBatch.from_pydict({"u": u[u != v], "v": v[u != v]})
 
         def link(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-            starts = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
-            sizes = np.diff(np.concatenate((starts, [len(m)])))
-            many = np.repeat(sizes, sizes)
-            for s, n in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE], strict=True):
-                a, b = draw_together(np.ascontiguousarray(m[s : s + n, 2:]).view(np.uint64), radius)
-                yield edges(m[s : s + n], a, b)
-            m = m[(many > 1) & (many <= PAIRWISE)]
+            same = m[1:, 0] == m[:-1, 0]
+            m = m[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(m) > 1 else m[:0]
             if len(m):
                 fp = np.ascontiguousarray(m[:, 2:]).view(np.uint64)
                 table = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in ps], axis=1)
-                order = np.lexsort((table[:, 0], m[:, 0]))
-                m, fp, table = m[order], fp[order], table[order]
-                yield edges(m, *near_pairs(m[:, 0], fp, table, radius))
+                a, b = stars(m[:, 0], fp, table, radius)
+                yield pa.RecordBatch.from_pydict({"u": m[a, 1], "v": m[b, 1]})
 
-        for b in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
-            size += len(held[-1])
-            if size >= LINK_ROWS:
-                m = np.concatenate(held)
-                end = np.searchsorted(m[:, 0], m[-1, 0])
-                if end:
-                    yield from link(m[:end])
-                held, size = [m[end:]], len(m) - end
-        if size:
-            yield from link(np.concatenate(held))
+        yield from whole_groups(batches, link)
 
     dealt = nodes.select("node", *names).mapInArrow(deal, ddl)
-    pairs = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u bigint, v bigint")
-    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def shingle_set(text: str, k: int) -> bytes:
-    """The distinct k-word shingles as ascending 32-bit hashes."""
-    parts = [np.unique((h >> np.uint64(32)).astype(np.uint32)) for h in shingle_hashes(text, k)]
-    return np.unique(np.concatenate(parts)).tobytes() if parts else b""
+    pairs = dealt.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "u bigint, v bigint")
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
 def similar(pairs: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs whose texts' shingle sets have at least that Jaccard similarity. Only texts of pairs are shingled."""
+    """The pairs whose texts' shingle sets have at least that Jaccard similarity. Only texts of pairs are shingled, and only
+    their hashes are shuffled."""
     ids = cut(pairs.select(F.col("u").alias("_i")).unionByName(pairs.select(F.col("v").alias("_i"))).distinct())
 
     def make():
-        return lambda texts: {"shingles": [shingle_set(t or "", k) for t in texts]}
+        return lambda texts: {"shingles": [distinct_hashes(t or "", k).tobytes() for t in texts]}
 
     some = with_ids(df, ids, "doc_id", "left_semi")
     sets = map_texts(some, make, [("shingles", "binary", pa.binary())]).groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
@@ -464,14 +470,14 @@ def similar(pairs: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for m in batches:
-            x, y = ([np.frombuffer(s, dtype=np.uint32) for s in m.column(c).to_pylist()] for c in (2, 3))
             ok = []
-            for p, q in zip(x, y, strict=True):
+            for p, q in zip(m.column(2), m.column(3), strict=True):
+                p, q = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (p, q))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 total = len(p) + len(q) - both
                 ok.append(total == 0 or both >= least * total)
-            keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([m.column(0).take(pa.array(keep)), m.column(1).take(pa.array(keep))], names=["u", "v"])
+            keep = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([m.column(0).take(keep), m.column(1).take(keep)], names=["u", "v"])
 
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
@@ -482,10 +488,12 @@ def frequent_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_pydict({"h": distinct_hashes(t or "", k).view(np.int64)})
+            each = [distinct_hashes(t or "", k) for t in b.column(0).to_pylist()]
+            if each:
+                h, often = np.unique(np.concatenate(each), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "n": often})
 
-    got = some.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
+    got = some.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(ORDER_SHINGLES).toArrow()
     h, often = got.column("h").to_numpy().view(np.uint64), got.column("n").to_numpy()
     by = np.argsort(h)
     return h[by], often[by]
@@ -506,19 +514,20 @@ def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float)
 
 
 def list_pairs(m: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes from rows (shingle, node, root, size, place) sorted by shingle: those of one shingle that have different
-    roots, but for pairs whose sizes, or what follows the shingle in them, rule the similarity out. A pair that passes does
-    so at the first shingle it shares, so none is lost."""
+    """Pairs of nodes from rows (shingle, node, root, size << 32 | place) sorted by shingle: those of one shingle that have
+    different roots, but for pairs whose sizes, or what follows the shingle in them, rule the similarity out. A pair that
+    passes does so at the first shingle it shares, so none is lost."""
     starts = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
     sizes = np.diff(np.concatenate((starts, [len(m)])))
-    mixed_roots = np.minimum.reduceat(m[:, 2], starts) != np.maximum.reduceat(m[:, 2], starts)
+    apart = np.minimum.reduceat(m[:, 2], starts) != np.maximum.reduceat(m[:, 2], starts)
+    size, after = m[:, 3] >> 32, (m[:, 3] >> 32) - (m[:, 3] & 0xFFFFFFFF)
 
     def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        s, t = m[a, 3], m[b, 3]
-        could = np.minimum(s - m[a, 4], t - m[b, 4])
+        s, t = size[a], size[b]
+        could = np.minimum(after[a], after[b])
         return (m[a, 2] != m[b, 2]) & (np.minimum(s, t) >= least * np.maximum(s, t) - 1e-6) & (could >= least / (1 + least) * (s + t) - 1e-6)
 
-    for s, n in zip(starts[mixed_roots & (sizes > SMALL_LIST)], sizes[mixed_roots & (sizes > SMALL_LIST)], strict=True):
+    for s, n in zip(starts[apart & (sizes > SMALL_LIST)], sizes[apart & (sizes > SMALL_LIST)], strict=True):
         # the root with the most rows comes first: none of its rows meet each other
         _, root, count = np.unique(m[s : s + n, 2], return_inverse=True, return_counts=True)
         order = s + np.argsort(root != count.argmax(), kind="stable")
@@ -532,8 +541,7 @@ def list_pairs(m: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.nda
             if held > LINK_ROWS or i == n - 1:
                 yield np.concatenate(us), np.concatenate(vs)
                 us, vs, held = [], [], 0
-    keep = np.repeat(mixed_roots & (sizes <= SMALL_LIST), sizes)
-    m, here, shift = m[keep], np.arange(np.count_nonzero(keep)), 1
+    here, shift = np.flatnonzero(np.repeat(apart & (sizes <= SMALL_LIST), sizes)), 1
     while len(here):
         here = here[here + shift < len(m)]
         here = here[m[here, 0] == m[here + shift, 0]]
@@ -543,46 +551,34 @@ def list_pairs(m: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.nda
         shift += 1
 
 
-def prefix_pairs(roots: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs (u, v) of nodes (node, root) with different roots, among them all whose similarity is `least` or more."""
+def prefix_pairs(roots: DataFrame, n: int, df: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs (u, v) of the n nodes (node, root) with different roots, among them all whose similarity is `least` or more."""
     spark = roots.sparkSession
     small_batches(spark)
-    n = roots.count()
     right = F.broadcast(roots) if n <= BROADCAST_IDS else roots.hint("merge")
     texts = df.join(right, F.col("doc_id").cast("bigint") == F.col("node"))
     sent = spark.sparkContext.broadcast(frequent_shingles(texts, n, k))
-    names = ("h", "node", "root", "size", "place")
+    names = ("h", "node", "root", "at")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = sent.value
         for b in batches:
+            parts = []
             for t, node, root in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = distinct_hashes(t or "", k)
                 if len(h):
                     first = prefix(h, frequent, least)
-                    fixed = (np.full(len(first), x, dtype=np.int64) for x in (node, root, len(h)))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first.view(np.int64), *fixed, np.arange(len(first)))], names=names)
+                    parts.append(np.stack([first.view(np.int64), *(np.full(len(first), x, dtype=np.int64) for x in (node, root)), (len(h) << 32) + np.arange(len(first))]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
         def link(m: np.ndarray) -> Iterator[pa.RecordBatch]:
             for u, v in list_pairs(m, least):
                 both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
                 yield pa.RecordBatch.from_pydict({"u": both[:, 0], "v": both[:, 1]})
 
-        for b in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1))
-            size += len(held[-1])
-            if size >= LINK_ROWS:
-                m = np.concatenate(held)
-                end = np.searchsorted(m[:, 0], m[-1, 0])
-                if end:
-                    yield from link(m[:end])
-                held, size = [m[end:]], len(m) - end
-        if size:
-            yield from link(np.concatenate(held))
+        yield from whole_groups(batches, link)
 
     dealt = texts.select("text", "node", "root").mapInArrow(deal, ", ".join(f"{c} bigint" for c in names))
     return dealt.repartition("h").sortWithinPartitions("h").mapInArrow(run, "u bigint, v bigint").distinct()
@@ -596,8 +592,11 @@ def with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
 
 def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WIDE_SHINGLE, least: float = SIMILAR, radius: int = WIDE_RADIUS) -> DataFrame:
     """doc_id and component_id (the least doc_id reachable) of rows with an id, by links between texts whose word shingles
-    have a Jaccard similarity of `least` or more. Wide fingerprints find most links; shingles that rare-first prefixes share
-    then find every pair of texts that these left apart. Similarity decides on both.
+    have a Jaccard similarity of `least` or more.
+
+    Wide fingerprints, by their pivot tables, link most of what is near in few pairs: a star for each group. Shingles that
+    rare-first prefixes share then name every pair that these left in different classes and that may reach the similarity,
+    so none is lost. Similarity itself is computed on the shingle sets and decides on both.
 
     Equal texts (but for blanks and the case of A-Z) are one node from the start; texts without words, null ones too, are
     all alike. Ids must be whole numbers; rows that share an id are one document, rows with null ids are left out.
@@ -605,18 +604,19 @@ def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = pick(df.where(F.col(f"`{id_col}`").isNotNull()), {"doc_id": id_col, "text": text_col})
     prints = cut(wide_fingerprints(d, k, "doc_id", "text"))
     names = [f"f{j}" for j in range(WIDE_WORDS)]
-    nodes = cut(prints.groupBy("same").agg(F.min("doc_id").alias("node"), *[F.first(n).alias(n) for n in names]))
-    pairs = cut(wide_pairs(nodes.select(F.col("node").cast("bigint").alias("node"), *names), radius))
-    links = cut(similar(pairs, d, k, least))
+    nodes = cut(prints.groupBy("same").agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in names]))
+    n = nodes.count()
+    links = cut(similar(cut(wide_pairs(nodes.select("node", *names), n, radius)), d, k, least))
     comp = components(links)
-    roots = nodes.select(F.col("node").cast("bigint").alias("node")).distinct().join(comp.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    more = cut(prefix_pairs(cut(roots.select("node", F.coalesce("root", "node").alias("root"))), d, k, least))
-    more = cut(similar(more, d, k, least))
-    if not more.isEmpty():
-        comp = components(links.unionByName(more))
-    comp = comp.withColumnRenamed("node", "n")
-    found = nodes.join(comp, nodes["node"] == comp["n"], "left").select("same", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(found, "same").select(F.col("doc_id").alias(id_col), "component_id")
+    known = nodes.select("node").distinct().join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    roots = cut(known.select("node", F.coalesce("root", "node").alias("root")))
+    more = cut(similar(cut(prefix_pairs(roots, n, d, k, least)), d, k, least))
+    if not more.isEmpty():  # what is linked now are classes
+        by = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("u", "v"))
+        again = components(more.join(next(by), "u").join(next(by), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
+        roots = cut(roots.join(again.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root")))
+    found = nodes.select("same", "node", "n").join(roots, "node").select("same", F.col("root").alias("component_id"), "n")
+    return join_counted(prints.select("doc_id", "same"), found, "same", "n").select(F.col("doc_id").alias(id_col), "component_id")
 
 
 def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:

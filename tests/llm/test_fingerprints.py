@@ -113,19 +113,104 @@ def test_near_copies(spark):
     assert all(c // 10 == k // 10 for k, c in got.items()), "unrelated documents stay apart"
 
 
-def test_large_group_of_near_copies(spark, monkeypatch):
-    r = random.Random(2)
-    base = r.getrandbits(128)
+def clusters(n, many, flips, seed=2):
+    """n fingerprints around `many` middles, shuffled."""
+    r = random.Random(seed)
+    base = [r.getrandbits(128) for _ in range(many)]
     fps = []
-    for _ in range(3000):
-        x = base
-        for _ in range(r.randint(0, 12)):
+    for i in range(n):
+        x = base[i % many]
+        for _ in range(r.randint(0, flips)):
             x ^= 1 << r.randrange(128)
         fps.append(x)
-    m = np.array([[x & (1 << 64) - 1, x >> 64] for x in fps], dtype=np.uint64)
-    a, b = simhash.draw_together(m, simhash.WIDE_RADIUS)
-    label = simhash._components(len(m), a, b, np.arange(len(m)))
-    assert (label == label[0]).all() and len(a) < 20 * len(m)
+    fp = np.array([[x & (1 << 64) - 1, x >> 64] for x in fps], dtype=np.uint64)
+    return fp, np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in simhash.wide_pivots()], axis=1)
+
+
+@pytest.mark.parametrize("n", [1500, 3000, 6000])
+def test_a_group_of_clusters_gives_less_than_a_pair_a_row(n):
+    fp, table = clusters(n, 20, 12)
+    a, b = simhash.stars(np.zeros(n, dtype=np.int64), fp, table, simhash.WIDE_RADIUS)
+    label = simhash._components(n, a, b, np.arange(n))
+    assert len(a) < n and len(np.unique(b)) == len(b)
+    assert len(np.unique(label)) == 20 and all(len(np.unique(label[i::20])) == 1 for i in range(20))
+    assert (simhash.apart_by(fp, a, b) <= simhash.WIDE_RADIUS).all()
+
+
+def test_stars_of_many_groups_at_once():
+    fp, table = clusters(600, 30, 30)
+    group = np.sort(np.random.default_rng(1).integers(0, 40, 600))
+    a, b = simhash.stars(group, fp, table, simhash.WIDE_RADIUS)
+    assert (group[a] == group[b]).all() and (simhash.apart_by(fp, a, b) <= simhash.WIDE_RADIUS).all() and len(np.unique(b)) == len(b)
+    for g in range(40):  # one group gives the same alone
+        at = np.flatnonzero(group == g)
+        x, y = simhash.stars(np.zeros(len(at), dtype=np.int64), fp[at], table[at], simhash.WIDE_RADIUS)
+        assert sorted(zip(at[x], at[y], strict=True)) == sorted((i, j) for i, j in zip(a, b, strict=True) if group[i] == g)
+    linked = {*a.tolist(), *b.tolist()}
+    for i in set(range(600)) - linked:
+        assert not any(group[j] == group[i] and simhash.apart_by(fp, np.array([i]), np.array([j]))[0] <= simhash.WIDE_RADIUS for j in set(range(600)) - linked - {i})
+
+
+def test_one_large_family(spark):
+    """1,500 texts, each a few words off its forebear, and strangers: exactly the classes of all pairs of 0.8 or more."""
+    r = random.Random(13)
+    rows, made = [], []
+    for i in range(1500):
+        if i % 10 == 9:
+            words = [f"x{i}y{j}" for j in range(60)]
+        else:
+            words = list(r.choice(made[-80:])) if made else [f"w{j}" for j in range(60)]
+            for at in r.sample(range(60), r.randint(0, 2)):
+                words[at] = f"e{i}z{at}"
+            made.append(words)
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(56)} for i, t in rows}
+    where = collections.defaultdict(set)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, s in sets.items():
+        for j in set().union(*(where[x] for x in s)):
+            both = len(s & sets[j])
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+        for x in s:
+            where[x].add(i)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_copy_classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) > 200
+
+
+def test_components_of_paths_and_stars(spark):
+    r = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 90)] + [(100, x) for x in range(101, 400)] + [(500 + 2 * i, 501 + 2 * i) for i in range(50)] + [(7, 3), (3, 7), (1000, 120)]
+    names = list(range(1001))
+    r.shuffle(names)
+    edges = [(names[a], names[b]) for a, b in edges]
+    want = {}
+    for a, b in edges:
+        want.setdefault(a, a), want.setdefault(b, b)
+    for _ in range(100):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {x["node"]: x["root"] for x in simhash.components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(5)).collect()}
+    assert got == {k: v for k, v in want.items() if k != v}
+    assert simhash.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_heavy_keys_join_without_a_shuffle(spark, monkeypatch):
+    from lodestar.llm import common
+
+    monkeypatch.setattr(common, "HEAVY", 3)
+    d = spark.createDataFrame([(i, "a" if i < 10 else f"k{i // 2}") for i in range(20)], "doc_id bigint, same string")
+    right = d.groupBy("same").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    got = common.join_counted(d, right, "same", "n")
+    assert sorted((x["doc_id"], x["same"], x["least"]) for x in got.collect()) == sorted((i, "a" if i < 10 else f"k{i // 2}", 0 if i < 10 else i // 2 * 2) for i in range(20))
 
 
 def test_star_of_near_copies(spark):
@@ -172,19 +257,6 @@ def test_fingerprint_of_distinct_shingles():
     assert np.bitwise_count((a ^ b).view(np.uint64)).sum() < 16
 
 
-def test_near_pairs_of_strangers_and_neighbours():
-    fp = np.array([[0, 0], [(1 << 60) - 1, 7], [1, 0], [3, 0]], dtype=np.uint64)
-    table = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in simhash.wide_pivots()], axis=1)
-
-    def pairs(rows):
-        rows = sorted(rows, key=lambda i: table[i, 0])
-        a, b = simhash.near_pairs(np.zeros(len(rows), dtype=np.int64), fp[rows], table[rows], 5)
-        return sorted(tuple(sorted((rows[i], rows[j]))) for i, j in zip(a, b, strict=True))
-
-    assert pairs([0, 1]) == [] and pairs([0]) == [] and pairs([0, 1, 2]) == [(0, 2)]
-    assert pairs([0, 2, 3]) == [(0, 2), (2, 3)], "the pair that only closes a circle is left out"
-
-
 def brute_features(b):
     n, w, run = len(b), improbable.WINDOW, improbable.RUN
     whole = [int(x) for x in improbable._whole(b)] if b else []
