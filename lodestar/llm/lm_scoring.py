@@ -1,21 +1,24 @@
-"""Cross-entropy difference scoring with matched target and background bigram models.
+"""Cross-entropy difference scoring with matched target and background bigram models that stay distributed.
 
-Both models share one vocabulary and one list of bigrams, and are smoothed alike: absolute discounting, the rest going
-to add-one unigrams. The vocabulary holds the words that occur in the target, or twice in the background; the list the
-bigrams of such words that occur twice on either side. Both grow with the corpus. They are broadcast, so memory, of the
-driver too, has to grow with them. Counts are of every document, made in parts where the documents are read and summed
-in Spark.
+Both models share one vocabulary, every word of either side, and are smoothed alike. With c the counts of a side, N its
+tokens and V the words of the vocabulary, a text being its words between two boundaries (a token as any other):
 
-A document's score is the mean over its tokens of the target's loss less the background's, in nats: the lower, the
-more it reads like the target.
+    p(w) = (c(w) + 1) / (N + V + 1)        p(w | before) = (c(before, w) + MU * p(w)) / (c(before) + MU)
+
+No word or pair is left out, at any corpus size, and no count reaches the driver. Tasks count chunks of texts: each
+distinct word and pair of a chunk is a 64-bit code with its counts, sorted and packed, and codes are dealt over blocks by
+their leading bits. A block's counts are summed over all chunks and handed back, in the order in which they came. Where
+a chunk's sums meet its tokens again, its texts are scored. So what is shuffled grows with the corpus, a few bytes a
+token; memory is that of a chunk or a block.
+
+A document's score is the mean over its tokens (its end is one) of the target's loss less the background's, in nats: the
+lower, the more it reads like the target.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, cut, pick, remove, shared_dir, small_batches
 
-#: Shares of all tokens that words and bigrams have to reach beside those counts: none, so that no corpus size drops any.
-VOCABULARY_SHARE, BIGRAM_SHARE, DISCOUNT = 0.0, 0.0, 0.5
-#: Distinct words, and bigrams, that a task holds before it hands its counts on.
-FLUSH_WORDS, FLUSH_BIGRAMS = 200_000, 1_500_000
-#: Bigram counts are shuffled in 2 ** BLOCK_BITS blocks.
-BLOCK_BITS = 9
-UNKNOWN = 0
+#: Weight, in tokens, that the single words' share has in each pair's estimate.
+MU = 1.0
+#: Tokens of a chunk, at least, where a task has as many; bytes of text for each block of codes, and the least blocks.
+CHUNK_TOKENS, BLOCK_BYTES, MIN_BLOCKS = 4_000_000, 8 << 20, 256
+#: Up to so many ids (8 bytes each) the target's ids are broadcast; beyond, the texts are shuffled to meet them.
+BROADCAST_IDS = 1 << 20
+BOUNDARY, SEED = b"\n", 0x10AD
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -38,240 +41,267 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word (binary) and n, in parts; a row with word null counts the documents that have words."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        docs_seen = 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                ws = tokens(t)
-                docs_seen += bool(ws)
-                found.update(ws)
-            if len(found) > FLUSH_WORDS:
-                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], schema=schema)
-                found.clear()
-        found[None] = docs_seen
-        yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], schema=schema)
-
-    return docs.select("text").mapInArrow(run, "word binary, n bigint")
-
-
-class Ids:
-    """Token ids of texts: 0 unknown, 1.. the vocabulary, the last one begins a document."""
-
-    def __init__(self, words: list[bytes]):
-        self.get = {w: i + 1 for i, w in enumerate(words)}.get
-        self.begin = len(words) + 1
-
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Previous ids, ids, and the number of tokens of each text."""
-        ids: list[int] = []
-        sizes = np.zeros(len(texts), dtype=np.int64)
-        for i, t in enumerate(texts):
-            ws = tokens(t)
-            if ws:
-                ids.append(self.begin)
-                ids.extend(map(self.get, ws, repeat(UNKNOWN)))
-                sizes[i] = len(ws)
-        a = np.array(ids, dtype=np.int64)
-        if not len(a):
-            return a, a, sizes
-        now = a[1:] != self.begin
-        return a[:-1][now], a[1:][now], sizes
-
-
-_ids: dict[int, Ids] = {}
-
-
-def ids_of(words: list[bytes]) -> Ids:
-    """One table for each broadcast list and worker."""
-    if id(words) not in _ids:
-        _ids.clear()
-        _ids[id(words)] = Ids(words)
-    return _ids[id(words)]
-
-
-def packed(codes: np.ndarray, n: np.ndarray) -> bytes:
-    """Ascending codes and their counts in a few bytes each: differences and counts, byte planes apart, compressed."""
-    import zstandard
+class Vocabulary(dict):
+    """word -> number, in order of appearance."""
 
-    both = np.stack([np.diff(codes, prepend=0), n]).astype("<u8").view(np.uint8).reshape(2, -1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(both.transpose(0, 2, 1)).tobytes())
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def planes(*columns: np.ndarray) -> bytes:
+    """Unsigned columns, byte planes apart, compressed: small numbers take little."""
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8).reshape(2, 8, -1)
-    both = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u8")[:, :, 0].astype(np.int64)
-    return np.cumsum(both[0]), both[1]
-
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns))
 
-def blocks_of(codes: np.ndarray) -> np.ndarray:
-    """The block of each code: a hash, so that the pairs of frequent words spread."""
-    return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
 
+def from_planes(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns that planes() packed, of these types."""
+    import zstandard
 
-def count_bigrams(docs: DataFrame, words) -> DataFrame:
-    """block, counts: packed codes (previous id * (vocabulary + 2) + id) and counts, in parts; pairs with an unknown word
-    are left out."""
-    schema = pa.schema([("block", pa.int64()), ("counts", pa.binary())])
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    n = len(data) // sum(widths)
+    ends = np.cumsum([w * n for w in widths])
+    return [np.ascontiguousarray(data[e - w * n : e].reshape(w, n).T).view(k)[:, 0] for e, w, k in zip(ends, widths, kinds, strict=True)]
+
+
+def pair_codes(before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """64-bit codes of pairs from those of their words."""
+    z = (before ^ (before >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + now
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def block_of(codes: np.ndarray, blocks: int) -> np.ndarray:
+    """0 .. blocks - 1, ascending with the codes."""
+    return ((codes >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def steps(now: np.ndarray, sizes: np.ndarray, boundary: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words before, and words, of all tokens; `now` holds the words of texts of these sizes, texts without any left out."""
+    ends = np.cumsum(sizes)
+    after = np.insert(now, ends, boundary)
+    return np.insert(now, ends - sizes, boundary), after
+
+
+def distinct_pairs(before: np.ndarray, now: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the distinct pairs, ascending, and which of them each token's pair is. codes: of the words."""
+    pairs, at = np.unique(before.astype(np.int64) * len(codes) + now, return_inverse=True)
+    code = pair_codes(codes[pairs // len(codes)], codes[pairs % len(codes)])
+    order = np.argsort(code, kind="stable")
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return code[order], place[at]
+
+
+class Chunk:
+    """Texts on their way to blocks: their word numbers, ids, and the sides that count them."""
+
+    def __init__(self):
+        self.words = Vocabulary({BOUNDARY: 0})
+        self.numbers: list[np.ndarray] = []
+        self.ids, self.sizes, self.sides = [], [], []
+        self.n = 0
+
+    def add(self, doc_id, text: str | None, target: bool, background: bool) -> None:
+        ws = tokens(text)
+        self.numbers.append(np.fromiter(map(self.words.__getitem__, ws), dtype=np.int32, count=len(ws)))
+        self.ids.append(doc_id)
+        self.sizes.append(len(ws))
+        self.sides.append((bool(background), bool(target)))
+        self.n += len(ws) + 1
+
+    def rows(self, blocks: int) -> Iterator[tuple]:
+        """(block, words, pairs, ids, sizes): first what puts the texts together again, as block -1, then counts by block."""
+        from xxhash import xxh64_intdigest
+
+        code = np.fromiter((xxh64_intdigest(w, SEED) for w in self.words), dtype=np.uint64, count=len(self.words))
+        order = np.argsort(code, kind="stable")
+        place = np.empty(len(order), dtype=np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        code = code[order]
+        sizes = np.array(self.sizes, dtype=np.int64)
+        flat = place[np.concatenate(self.numbers)]
+        boundary = int(place[0])
+        yield -1, planes(np.diff(code, prepend=np.uint64(0))) + boundary.to_bytes(8, "little"), planes(flat), self.ids, self.sizes
+        some = sizes > 0
+        before, now = steps(flat, sizes[some], boundary)
+        sides = np.repeat(np.array(self.sides, dtype=bool).reshape(-1, 2)[some], sizes[some] + 1, axis=0)
+        pair, at = distinct_pairs(before, now, code)
+        packed = []
+        for codes, of in ((code, now), (pair, at)):
+            n = [np.bincount(of[sides[:, s]], minlength=len(codes)).astype(np.uint32) for s in (0, 1)]
+            edges = np.searchsorted(block_of(codes, blocks), np.arange(blocks + 1))
+            packed.append([planes(np.diff(codes[a:b], prepend=np.uint64(0)), n[0][a:b], n[1][a:b]) if b > a else None for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)])
+        for b, (w, p) in enumerate(zip(*packed, strict=True)):
+            if w or p:
+                yield b, w, p, None, None
+
+
+def count_chunks(d: DataFrame, blocks: int, path: str) -> None:
+    """Write the chunks of rows (doc_id, text, target, background) to `path`: whole=true holds their tokens, whole=false
+    their counts. A chunk's name is drawn where it is made, so the table, once written, is what counts."""
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    ids = arrow_schema(d, ["doc_id"], []).field(0).type
+    schema = pa.schema([("chunk", pa.string()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("ids", pa.list_(ids)), ("sizes", pa.list_(pa.int64())), ("whole", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ids_of(words.value)
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            block = blocks_of(codes)
-            by = np.argsort(block, kind="stable")
-            codes, n, block = codes[by], n[by], block[by]
-            edges = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
-            parts = [packed(codes[a:b], n[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)] if len(block) else []
-            return pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]] if len(block) else [], pa.int64()), pa.array(parts, pa.binary())], schema=schema)
-
+        def done(c: Chunk) -> Iterator[pa.RecordBatch]:
+            name, held = uuid.uuid4().hex, []
+            for block, w, p, i, s in c.rows(blocks):
+                held.append((name, block, w, p, i, s, block < 0))
+                if block < 0 or len(held) == 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+        chunk = Chunk()
         for b in batches:
-            before, now, _ = table.batch(b.column(0).to_pylist())
-            known = (before != UNKNOWN) & (now != UNKNOWN)
-            held.append(before[known] * (table.begin + 1) + now[known])
-            size += len(held[-1])
-            if size > FLUSH_BIGRAMS:
-                yield flush()
-                held, size = [], 0
-        if size:
-            yield flush()
-
-    return docs.select("text").mapInArrow(run, "block bigint, counts binary")
-
-
-def sum_bigrams(parts: DataFrame, least: tuple[float, float]) -> DataFrame:
-    """code, n0, n1 of the bigrams that reach `least` on either side. Memory: the distinct bigrams of one block."""
-    schema = pa.schema([("code", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                chunk.add(*row)
+                if chunk.n >= CHUNK_TOKENS:
+                    yield from done(chunk)
+                    chunk = Chunk()
+        if chunk.ids:
+            yield from done(chunk)
+
+    ddl = f"chunk string, block bigint, words binary, pairs binary, ids array<{id_type}>, sizes array<bigint>, whole boolean"
+    d.select("doc_id", "text", "target", "background").mapInArrow(run, ddl).write.partitionBy("whole").option("compression", "none").parquet(path)
+
+
+def sum_blocks(parts: DataFrame) -> DataFrame:
+    """chunk, block, words, pairs: the sums over all chunks of a block's counts, in the order in which the chunk has the
+    codes. Rows without a chunk have the number of words (v) and the tokens of both sides (n0, n1) of a block."""
+    schema = pa.schema([("chunk", pa.string()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("v", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
+
+    def summed(raws: list[bytes | None]) -> tuple[list[bytes | None], int, list[int]]:
+        each = [from_planes(r, "u8", "u4", "u4") if r else None for r in raws]
+        there = [x for x in each if x is not None]
+        if not there:
+            return raws, 0, [0, 0]
+        codes, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in there]), return_inverse=True)
+        n = [np.bincount(at, weights=np.concatenate([x[s] for x in there])).astype(np.uint64) for s in (1, 2)]
+        out, lo = [], 0
+        for x in each:
+            own = at[lo : lo + len(x[0])] if x is not None else None
+            out.append(planes(n[0][own], n[1][own]) if x is not None else None)
+            lo += len(own) if x is not None else 0
+        return out, int(np.count_nonzero(n[0] + n[1])), [int(x.sum()) for x in n]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def summed(some: list[tuple]) -> tuple:
-            codes, at = np.unique(np.concatenate([c for c, _ in some]), return_inverse=True)
-            n = np.zeros((2, len(codes)), dtype=np.int64)
-            np.add.at(n.T, at, np.concatenate([x.T for _, x in some]))
-            return codes, n
-
-        def kept(some: list[tuple]) -> pa.RecordBatch:
-            codes, n = summed(some)
-            k = (n[0] >= least[0]) | (n[1] >= least[1])
-            return pa.RecordBatch.from_arrays([pa.array(codes[k]), pa.array(n[0][k]), pa.array(n[1][k])], schema=schema)
-
-        held, size, last = [], 0, None
+        def done(block: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            chunks = [c for c, _, _ in held]
+            words, v, n = summed([w for _, w, _ in held])
+            pairs, _, _ = summed([p for _, _, p in held])
+            for a in range(0, len(held), 256):
+                some = slice(a, a + 256)
+                k = len(chunks[some])
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[some]), pa.array([block] * k), pa.array(words[some], pa.binary()), pa.array(pairs[some], pa.binary()), *[pa.nulls(k, pa.int64())] * 3], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, block, None, None, v, *n), schema, strict=True)], schema=schema)
+
+        held, last = [], None
         for b in batches:
-            for block, side, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for block, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held and block != last:
-                    yield kept(held)
-                    held, size = [], 0
-                codes, n = unpacked(raw)
-                both = np.zeros((2, len(n)), dtype=np.int64)
-                both[side] = n
-                held.append((codes, both))
-                size, last = size + len(codes), block
-                if size > 4 * FLUSH_BIGRAMS:
-                    held = [summed(held)]
-                    size = 0
+                    yield from done(last, held)
+                    held = []
+                held.append(tuple(rest))
+                last = block
         if held:
-            yield kept(held)
-
-    return parts.select("block", "side", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(run, "code bigint, n0 bigint, n1 bigint")
-
-
-class Matched:
-    """The two models over one vocabulary and one bigram list."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, totals: np.ndarray, docs: np.ndarray, codes: np.ndarray, pairs: np.ndarray):
-        """counts [2, vocabulary]; totals [2] tokens; docs [2]; codes sorted; pairs [2, codes]. Row 0: target, 1: background."""
-        self.words, v = words, len(words)
-        self.width = v + 2
-        known = counts.sum(1)
-        c = np.concatenate([(totals - known)[:, None], counts, docs[:, None]], axis=1).astype(float)  # by id
-        self.unigram = (c + 1) / (totals[:, None] + v + 1)
-        self.unigram[:, -1] = 0  # a document's begin is never predicted
-        self.codes = codes
-        before = codes // self.width
-        self.kept = np.maximum(pairs - DISCOUNT, 0) / np.maximum(c[:, before], 1)
-        self.rest = 1 - np.stack([np.bincount(before, weights=k, minlength=self.width) for k in self.kept])
-
-    def losses(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        """[2, tokens]: the loss of each token under the target and the background model."""
-        p = self.rest[:, before] * self.unigram[:, now]
-        if len(self.codes):
-            code = before * self.width + now
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            hit = self.codes[at] == code
-            p[:, hit] += self.kept[:, at[hit]]
-        return -np.log(p)
-
-
-def train(target: DataFrame, background: DataFrame, vocabulary_share: float = VOCABULARY_SHARE, bigram_share: float = BIGRAM_SHARE) -> Matched:
-    """Fit both models to all rows (column text) of the two tables. The vocabulary and the bigrams reach the driver."""
-    spark = background.sparkSession
-    small_batches(spark)
-    both = count_words(target).withColumn("side", F.lit(0)).unionByName(count_words(background).withColumn("side", F.lit(1)))
-    sides = [F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(f"n{s}") for s in (0, 1)]
-    words = cut(both.groupBy("word").agg(*sides))
-    total = words.agg(*[F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col(f"n{s}"))), F.lit(0)).alias(f"t{s}") for s in (0, 1)], *[F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col(f"n{s}"))), F.lit(0)).alias(f"d{s}") for s in (0, 1)]).first()
-    totals, docs = np.array([total["t0"], total["t1"]]), np.array([total["d0"], total["d1"]])
-    often = words.where(F.col("word").isNotNull() & ((F.col("n0") >= max(1.0, vocabulary_share * total["t0"])) | (F.col("n1") >= max(2.0, vocabulary_share * total["t1"]))))
-    got = often.toArrow()
-    order = sorted(range(got.num_rows), key=(vocabulary := got.column("word").to_pylist()).__getitem__)
-    vocabulary = [vocabulary[i] for i in order]
-    counts = np.stack([got.column(f"n{s}").to_numpy() for s in (0, 1)])[:, order] if got.num_rows else np.zeros((2, 0))
-    sent = spark.sparkContext.broadcast(vocabulary)
-    both = count_bigrams(target, sent).withColumn("side", F.lit(0)).unionByName(count_bigrams(background, sent).withColumn("side", F.lit(1)))
-    pairs = sum_bigrams(both, (max(2.0, bigram_share * total["t0"]), max(2.0, bigram_share * total["t1"]))).toArrow()
-    codes = pairs.column("code").to_numpy()
-    by = np.argsort(codes, kind="stable")
-    return Matched(vocabulary, counts, totals, docs, codes[by], np.stack([pairs.column(f"n{s}").to_numpy()[by] for s in (0, 1)]))
-
-
-def score(df: DataFrame, model: Matched, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            yield from done(last, held)
+
+    parts = parts.select("block", "chunk", "words", "pairs").repartition("block").sortWithinPartitions("block")
+    return parts.mapInArrow(run, "chunk string, block bigint, words binary, pairs binary, v bigint, n0 bigint, n1 bigint")
+
+
+def losses(sizes: np.ndarray, flat: np.ndarray, code: np.ndarray, boundary: int, word_n: list[np.ndarray], pair_n: list[np.ndarray], v: int, n: list[int]) -> np.ndarray:
+    """[2, texts]: the mean loss a token of each text under the background and the target model; texts have words."""
+    before, now = steps(flat, sizes, boundary)
+    _, at = distinct_pairs(before, now, code)
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    out = []
+    for s in (0, 1):
+        share = (word_n[s] + 1.0) / (n[s] + v + 1)
+        p = (pair_n[s][at] + MU * share[now]) / (word_n[s][before] + MU)
+        out.append(np.add.reduceat(-np.log(p), starts) / (sizes + 1))
+    return np.stack(out)
+
+
+def cross_entropy_difference(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", background_col: str | None = None) -> DataFrame:
     """Per row: id, n_tokens, ce_target, ce_background (nats a token), ce_diff = ce_target - ce_background.
 
-    Texts without words (null ones too) have n_tokens 0 and null scores. Ids pass through, nulls and repeats included,
-    one row out per row in. Empty tables give empty results; further columns are not read.
+    Rows whose boolean target_col is true make the target model, those whose background_col is (all, where it is None) the
+    background model; null is false. All rows are scored. Texts without words (null ones too) have n_tokens 0 and null
+    scores. Ids pass through, nulls and repeats included, one row out per row in, each counting by itself. Empty tables
+    give empty results; further columns are not read. A text longer than a chunk is a chunk of its own.
     """
     spark = df.sparkSession
     small_batches(spark)
-    d = pick(df, {"doc_id": id_col, "text": text_col})
-    sent = spark.sparkContext.broadcast(model)
-    schema = arrow_schema(d, ["doc_id"], [("n_tokens", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_diff", pa.float64())])
+    flag = lambda c: F.coalesce(F.col(f"`{c}`").cast("boolean"), F.lit(False))
+    d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), flag(target_col).alias("target"), (flag(background_col) if background_col else F.lit(True)).alias("background"))
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(MIN_BLOCKS, -(-size // BLOCK_BYTES))
+    path = f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    count_chunks(d, blocks, path)
+    table = spark.read.schema(f"chunk string, block bigint, words binary, pairs binary, ids array<{d.schema['doc_id'].dataType.simpleString()}>, sizes array<bigint>, whole boolean").parquet(path)
+    sums = cut(sum_blocks(table.where("not whole")))
+    remove(spark, f"{path}/whole=false")
+    total = sums.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n0", "n1")]).first()
+    whole = table.where("whole").select("chunk", "block", "words", "pairs", "ids", "sizes")
+    both = whole.unionByName(sums.where("chunk is not null").select("chunk", "block", "words", "pairs"), allowMissingColumns=True)
+    out = score_chunks(both.repartition("chunk").sortWithinPartitions("chunk", "block"), arrow_schema(d, ["doc_id"], []).field(0).type, d.schema["doc_id"].dataType.simpleString(), total[0], list(total[1:]))
+    out = cut(out)
+    remove(spark, path)
+    return out.withColumnRenamed("doc_id", id_col)
+
+
+def score_chunks(rows: DataFrame, id_arrow: pa.DataType, id_type: str, v: int, n: list[int]) -> DataFrame:
+    """The scores of the texts of each chunk, from its tokens (block -1) and the sums of its codes, in order of blocks."""
+    schema = pa.schema([("doc_id", id_arrow), ("n_tokens", pa.int64()), ("ce_target", pa.float64()), ("ce_background", pa.float64()), ("ce_diff", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        table = ids_of(m.words)
+        def joined(raws: list[bytes | None]) -> list[np.ndarray]:
+            each = [from_planes(r, "u8", "u8") for r in raws if r]
+            return [np.concatenate([x[s] for x in each]).astype(float) if each else np.zeros(0) for s in (0, 1)]
+
+        def done(held: list[tuple]) -> pa.RecordBatch:
+            _, block, words, pairs, ids, sizes = held[0]
+            assert block == -1, "a chunk's counts without its tokens"
+            code = np.cumsum(from_planes(words[:-8], "u8")[0], dtype=np.uint64)
+            sizes = np.array(sizes, dtype=np.int64)
+            some = sizes > 0
+            ce = np.zeros((2, len(sizes)))
+            if some.any():
+                flat = from_planes(pairs, "u4")[0]
+                ce[:, some] = losses(sizes[some], flat, code, int.from_bytes(words[-8:], "little"), joined([h[2] for h in held[1:]]), joined([h[3] for h in held[1:]]), v, n)
+            cols = [pa.array(x, pa.float64(), mask=~some) for x in (ce[1], ce[0], ce[1] - ce[0])]
+            return pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(sizes), *cols], schema=schema)
+
+        held: list[tuple] = []
         for b in batches:
-            before, now, sizes = table.batch(b.column(1).to_pylist())
-            sums = np.zeros((2, len(sizes)))
-            if len(now):
-                some = np.flatnonzero(sizes)
-                sums[:, some] = np.add.reduceat(m.losses(before, now), np.concatenate(([0], np.cumsum(sizes[some])[:-1])), axis=1)
-            ce = sums / np.maximum(sizes, 1)
-            none = sizes == 0
-            cols = [pa.array(x, pa.float64(), mask=none) for x in (ce[0], ce[1], ce[0] - ce[1])]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(schema.field(0).type), pa.array(sizes), *cols], schema=schema)
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield done(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield done(held)
 
-    ddl = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ce_target double, ce_background double, ce_diff double"
-    return d.mapInArrow(run, ddl).withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ce_target double, ce_background double, ce_diff double")
 
 
-def target_documents(docs: DataFrame, labels: DataFrame, path: str) -> DataFrame:
-    """Texts of documents labelled good and not toxic, joined once and written to `path`: two passes read them."""
-    good = pick(labels, {"doc_id": "doc_id", "quality": "quality", "toxic": "toxic"}).where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
-    texts = pick(docs, {"doc_id": "doc_id", "text": "text"}).where("doc_id is not null").join(good.hint("merge"), "doc_id", "left_semi").select("text")
-    texts.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and target: true where a row of labels calls the document good and not toxic (a null toxic is not).
+    Ids of labels may repeat; documents with null ids are no target. Texts are shuffled only if the ids are too many."""
+    good = pick(labels, {"doc_id": "doc_id", "quality": "quality", "toxic": "toxic"}).where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
+    good = cut(good).withColumn("target", F.lit(True))
+    right = F.broadcast(good) if good.count() <= BROADCAST_IDS else good.hint("merge")
+    return pick(docs, {"doc_id": "doc_id", "text": "text"}).join(right, "doc_id", "left").select("doc_id", "text", "target")
 
 
 def score_against_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/target-{uuid.uuid4().hex}"
-    model = train(target_documents(docs, labels, path), pick(docs, {"text": "text"}))
-    remove(docs.sparkSession, path)
-    return score(docs, model)
+    return cross_entropy_difference(labelled(docs, labels))

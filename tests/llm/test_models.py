@@ -7,36 +7,37 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import lm_scoring, toxicity
+from lodestar.llm import lm_scoring, queries, toxicity
 
 
 def brute(target, background, docs):
-    tg, bg = ([lm_scoring.tokens(t) for t in x] for x in (target, background))
-    ut, ub = (collections.Counter(w for d in x for w in d) for x in (tg, bg))
-    nt, nb = sum(ut.values()), sum(ub.values())
-    s1, s2 = lm_scoring.VOCABULARY_SHARE, lm_scoring.BIGRAM_SHARE
-    vocabulary = {w for w in ut.keys() | ub.keys() if ut[w] >= max(1, s1 * nt) or ub[w] >= max(2, s1 * nb)}
-    begin = object()
-    bt, bb = (collections.Counter((a, b) for d in x for a, b in zip([begin, *d], d, strict=False) if (a in vocabulary or a is begin) and b in vocabulary) for x in (tg, bg))
-    kept = {k for k in bt.keys() | bb.keys() if bt[k] >= max(2, s2 * nt) or bb[k] >= max(2, s2 * nb)}
-
-    def model(u, pairs, n, documents):
-        p2 = {k: max(pairs[k] - lm_scoring.DISCOUNT, 0) / max(1, documents if k[0] is begin else u[k[0]]) for k in kept}
-        rest = collections.defaultdict(lambda: 1.0)
-        for k, v in p2.items():
-            rest[k[0]] -= v
-        unknown = n - sum(u[w] for w in vocabulary)
-        return lambda a, w: rest[a] * ((u[w] if w in vocabulary else unknown) + 1) / (n + len(vocabulary) + 1) + p2.get((a, w), 0)
-
-    models = [model(ut, bt, nt, sum(1 for d in tg if d)), model(ub, bb, nb, sum(1 for d in bg if d))]
+    """All counts in dictionaries."""
+    sides = [[[b"\n", *w, b"\n"] for w in map(lm_scoring.tokens, texts) if w] for texts in (target, background)]
+    one = [collections.Counter(w for d in x for w in d[1:]) for x in sides]
+    two = [collections.Counter(p for d in x for p in zip(d, d[1:], strict=False)) for x in sides]
+    v = len(one[0].keys() | one[1].keys())
+
+    def loss(s, a, w):
+        share = (one[s][w] + 1) / (one[s].total() + v + 1)
+        return -math.log((two[s][a, w] + lm_scoring.MU * share) / (one[s][a] + lm_scoring.MU))
+
     out = {}
     for k, t in docs.items():
         ws = lm_scoring.tokens(t)
-        pairs = list(zip([begin, *ws], ws, strict=False))
-        out[k] = (len(ws), *[-sum(math.log(m(a if a is begin or a in vocabulary else None, b)) for a, b in pairs) / len(ws) if ws else None for m in models])
+        pairs = list(zip([b"\n", *ws], [*ws, b"\n"], strict=True))
+        out[k] = (len(ws), *[sum(loss(s, a, b) for a, b in pairs) / len(pairs) if ws else None for s in (0, 1)])
     return out
 
 
+def same_scores(got, want):
+    for k, (n, a, b) in want.items():
+        assert got[k]["n_tokens"] == n
+        if n:
+            assert abs(got[k]["ce_target"] - a) < 1e-9 and abs(got[k]["ce_background"] - b) < 1e-9 and abs(got[k]["ce_diff"] - (a - b)) < 1e-9
+        else:
+            assert got[k]["ce_diff"] is None
+
+
 def test_scores(spark):
     r = random.Random(4)
     good, other = [f"good{i}" for i in range(30)], [f"other{i}" for i in range(300)] + ["Same", "same"]
@@ -45,15 +46,46 @@ def test_scores(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 150, 3)] + [(1, 0, 0), (2, 1, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     got = {x["doc_id"]: x for x in lm_scoring.score_against_labelled(d, labels).collect()}
     want = brute([docs[i] for i in range(0, 150, 3)], list(docs.values()), docs)
-    for k, (n, a, b) in want.items():
-        assert got[k]["n_tokens"] == n
-        if n:
-            assert abs(got[k]["ce_target"] - a) < 1e-9 and abs(got[k]["ce_background"] - b) < 1e-9 and abs(got[k]["ce_diff"] - (a - b)) < 1e-9
-        else:
-            assert got[k]["ce_diff"] is None
+    same_scores(got, want)
     assert max(got[i]["ce_diff"] for i in range(0, 150, 3)) < min(got[i]["ce_diff"] for i in range(1, 150, 3))
 
 
+@pytest.mark.parametrize("chunk, ids", [(4_000_000, 1 << 20), (700, 0)])
+def test_scores_of_the_tables(spark, sf, monkeypatch, chunk, ids):
+    """The query, over whole tables; chunks of any size and either join give the same."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", chunk)
+    monkeypatch.setattr(lm_scoring, "BROADCAST_IDS", ids)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] == 1 and not r["toxic"]}
+    assert good & docs.keys()
+    got = {r["doc_id"]: r for r in queries.op1_cross_entropy_difference(spark, sf).collect()}
+    assert len(got) == len(docs)
+    same_scores(got, brute([t for k, t in docs.items() if k in good], list(docs.values()), docs))
+
+
+def test_models_are_distributions():
+    """The shares of all words, the unseen one included, after each word sum to one on either side."""
+    texts = ["a b a c", "b b d", "a"]
+    words = sorted({w for t in texts for w in lm_scoring.tokens(t)}) + [b"\n"]
+    for target in (texts[:1], texts):
+        one = collections.Counter(w for t in target for w in [*lm_scoring.tokens(t), b"\n"])
+        two = collections.Counter(p for t in target for p in zip([b"\n", *lm_scoring.tokens(t)], [*lm_scoring.tokens(t), b"\n"], strict=True))
+        share = {w: (one[w] + 1) / (one.total() + len(words) + 1) for w in words} | {None: 1 / (one.total() + len(words) + 1)}
+        for a in words:
+            assert abs(sum((two[a, w] + lm_scoring.MU * share[w]) / (one[a] + lm_scoring.MU) for w in share) - 1) < 1e-12
+
+
+def test_sides_long_texts_and_repeats(spark):
+    """Rows of neither side are scored and counted nowhere; a text longer than a chunk; repeated rows; ids of another type."""
+    rows = [("x", "a b c " * 3000, True, True), ("x", "a b c", False, True), ("x", "a b c", False, True), (None, "never seen here", None, False), ("y", "b a", True, None), ("z", None, True, True), ("z", " \n", False, False)]
+    d = spark.createDataFrame(rows, "doc_id string, text string, good boolean, all boolean").withColumn("chunk", F.lit("clash"))
+    got = lm_scoring.cross_entropy_difference(d, target_col="good", background_col="all").collect()
+    docs = {i: t for i, (_, t, _, _) in enumerate(rows)}
+    want = brute([t for _, t, g, _ in rows if g], [t for _, t, _, b in rows if b], docs)
+    key = lambda i, n, a, b: (str(i), n, *(f"{x:.9f}" if x is not None else "" for x in (a, b)))
+    assert sorted(key(r["doc_id"], r["n_tokens"], r["ce_target"], r["ce_background"]) for r in got) == sorted(key(rows[i][0], *w) for i, w in want.items())
+
+
 def test_scores_without_rows(spark):
     d = spark.createDataFrame([], "doc_id bigint, text string")
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
@@ -62,26 +94,6 @@ def test_scores_without_rows(spark):
     assert lm_scoring.score_against_labelled(some, labels).where("ce_diff is not null").count() == 3
 
 
-def test_rare_words_of_a_large_corpus_stay(spark):
-    """Words and bigrams that occur twice are in the models, however many tokens there are."""
-    rows = [("a b " * 400_000,), ("rare pair",), ("rare pair",), ("a b",)]
-    texts = spark.createDataFrame(rows, "text string")
-    m = lm_scoring.train(texts.where("text = 'a b'"), texts)
-    assert m.words == [b"a", b"b", b"pair", b"rare"]
-    assert (m.words.index(b"rare") + 1) * m.width + m.words.index(b"pair") + 1 in m.codes.tolist()
-
-
-def test_probabilities_sum_to_one(spark):
-    texts = spark.createDataFrame([("a b a c b a",), ("b a d",), ("a b",)], "text string")
-    m = lm_scoring.train(texts.limit(2), texts)
-    import numpy as np
-
-    ids = np.arange(len(m.words) + 1)
-    for before in range(m.width):
-        p = np.exp(-m.losses(np.full(len(ids), before), ids))
-        assert np.allclose(p.sum(axis=1), 1)
-
-
 def rows(n, seed):
     r = random.Random(seed)
     clean, rude = [f"c{i}" for i in range(200)], ["fool", "fooly", "foolish", "nasty", "nastier"]
