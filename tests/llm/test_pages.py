@@ -1,11 +1,15 @@
 """Main text by hand-written pages and the article markup; archives by exact round trips."""
 
 import base64
+import collections
 import hashlib
 import html
 import io
+import random
 import re
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import main_text, queries, warc
@@ -47,30 +51,95 @@ def test_broken_and_odd_markup():
     assert got[:4] == ["kept", "still here", "main", "in main"] and got[5] == "a < b and c > d\nxy"
 
 
-def test_suffix_array_counts_pages():
-    shared = [f"s{i}" for i in range(10)]
-    streams = [["a", *shared, "b"], shared + ["c"] * 3, shared[:7] + ["d"], shared + shared]
-    cover, begins = main_text.repeated(streams)
-    assert list(cover[begins[0] : begins[0] + 12]) == [1] + [3] * 10 + [1]
-    assert set(cover[begins[2] : begins[2] + 8]) == {1}
+def shared_by_brute_force(pages, width):
+    """Runs of that many tokens inside a block that stand on two distinct pages."""
+    where = {}
+    for i, page in enumerate(pages):
+        for block in page:
+            for k in range(len(block) - width + 1):
+                where.setdefault(tuple(block[k : k + width]), set()).add(i)
+    return {r for r, on in where.items() if len(on) > 1}
+
+
+def test_suffix_array_against_substrings():
+    r = random.Random(8)
+    pool = [[f"r{j}t{k}" for k in range(r.randint(1, 60))] for j in range(25)]
+    pages = []
+    for i in range(60):
+        page = []
+        for b in range(r.randint(1, 5)):
+            own = [f"p{i}b{b}w{k}" for k in range(r.randint(0, 40))]
+            run = r.choice(pool)
+            lo = r.randint(0, len(run) - 1)
+            page.append(own + run[lo : lo + r.randint(1, 60)] + own[:5] or ["x"])
+        pages.append(page)
+    size, sure = main_text.MIN_RUN, main_text.MIN_RUN + main_text.SPARSE - 1
+    runs, long_runs = shared_by_brute_force(pages, size), shared_by_brute_force(pages, sure)
+    whole = collections.Counter(b for page in pages for b in {tuple(x) for x in page})
+    suffixes, where = main_text.Suffixes(), collections.defaultdict(set)
+    named = [suffixes.of("h", [" ".join(b) for b in page]) for page in pages]
+    for i, (name, *_) in enumerate(named):
+        for x in name.tolist():
+            where[x].add(i)
+    found = 0
+    for page, (name, block, place, sizes) in zip(pages, named, strict=True):
+        hit = np.array([len(where[x]) > 1 for x in name.tolist()])
+        for h, b, at in zip(hit, block, place, strict=True):
+            assert h == (whole[tuple(page[b])] > 1) if at < 0 else not h or tuple(page[b][at : at + size]) in runs
+        cover = main_text.covered(hit, block, place, sizes)
+        for b, words in enumerate(page):
+            if whole[tuple(words)] > 1:
+                assert cover[b] == len(words)
+                continue
+            by_runs, sure_of = set(), set()
+            for k in range(len(words)):
+                by_runs |= set(range(k, k + size)) if tuple(words[k : k + size]) in runs else set()
+                sure_of |= set(range(k + main_text.SPARSE - 1, k + size)) if tuple(words[k : k + sure]) in long_runs else set()
+                if tuple(words[k : k + sure]) in long_runs:
+                    assert any(h and x == b and k <= at <= k + main_text.SPARSE - 1 for h, x, at in zip(hit, block, place, strict=True)), "a long run has a kept suffix"
+                    found += 1
+            assert cover[b] <= len(by_runs) and (not sure_of or cover[b] >= size)
+    assert found > 100
 
 
 def test_few_tokens():
     for n in range(12):
         for pages in (1, 2, 3):
             text = " ".join(f"w{j}" for j in range(n))
-            assert main_text.main_texts([f"<p>{text}</p>"] * pages) == [text] * pages, "a page that is a copy as a whole keeps its text"
+            assert main_text.main_texts([f"<p>{text}</p>"] * pages) == [text] * pages, "equal pages are one page"
 
 
-def test_host_boilerplate_without_markup():
+def test_runs_decide_where_markup_does_not():
     notice = "<div>We use many small things on this site to count all its readers</div>"
-    pages = [f"<body>{notice}<p>{' '.join(f'p{i}w{j}' for j in range(20))}</p></body>" for i in range(12)]
-    assert main_text.main_texts(pages) == [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(12)]
+    own = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(12)]
+    pages = [f"<body>{notice}<p>{t}</p></body>" for t in own]
+    assert main_text.main_texts(pages) == own
+    assert all("count" in t for t in main_text.main_texts(pages[:1])), "one page is no evidence"
     inside = [p.replace("<body>", "<article>").replace("</body>", "</article>") for p in pages]
-    assert all("count" not in t for t in main_text.main_texts(inside))
-    assert all("count" in t for t in main_text.main_texts(inside[:3])), "few pages are no evidence against an article's text"
-    copies = ["<article><p>" + " ".join(f"w{j}" for j in range(30)) + "</p></article>"] * 20
-    assert all(t.startswith("w0 ") for t in main_text.main_texts(copies)), "copies of an article keep it"
+    assert all("count" in t for t in main_text.main_texts(inside)), "articles share passages"
+    beside = [f"<body>{notice}<article><p>{t}</p></article><div>{t[::-1]}</div><p>short</p></body>" for t in own]
+    assert main_text.main_texts(beside) == [f"{t}\n{t[::-1]}" for t in own], "unique runs beside an article stay"
+    near = [f"<p>{' '.join(own[0].split()[:19])} {i}</p><p>{own[1]}</p>" for i in range(2)]
+    assert main_text.main_texts(near) == [re.sub("</p><p>", "\n", p)[3:-4] for p in near], "copies are no boilerplate of each other"
+
+
+def test_class_names_break_ties_only():
+    own = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(3)]
+    pages = [f"<article><p>{t}</p><div class='social-history'>{t[::-1]}</div><div class='share-buttons'>Share this page with all the friends you have</div><div class=share>x {i}</div></article><div class='my-ad'>{t}</div>" for i, t in enumerate(own)]
+    assert main_text.main_texts(pages) == [f"{t}\n{t[::-1]}" for t in own]
+    assert main_text.main_texts([f"<div class='social-history'>{own[0]}</div><div class='ad-box'>Buy</div>"]) == [own[0]]
+
+
+@pytest.mark.parametrize("names", [4_000_000, 0])
+def test_a_large_host_on_any_number_of_partitions(spark, monkeypatch, names):
+    monkeypatch.setattr(main_text, "BROADCAST_NAMES", names)
+    notice = "<div>We use many small things on this site to count all its readers</div>"
+    rows = [(i, f"http://h.org/{i}", f"{notice if i in (3, 300) else ''}<p>{' '.join(f'p{i}w{j}' for j in range(20 if i else 30_000))}</p>") for i in range(320)]
+    rows += [(400 + i, f"http://other{i}.org/", f"{notice}<p>{' '.join(f'q{i}w{j}' for j in range(20))}</p>") for i in range(2)]
+    d = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = {i: re.sub(r"<.*?>", "", h.replace("</div><p>", "\n") if i >= 400 else h.replace(notice, "")) for i, _, h in rows}
+    for parts in (1, 7, 211):
+        assert {r["page_id"]: r["text"] for r in main_text.extract_main_text(d.repartition(parts)).collect()} == want
 
 
 def test_page_edges(spark):
