@@ -309,6 +309,8 @@ BROADCAST_IDS = 1 << 20
 ORDER_DOCUMENTS, ORDER_SHINGLES = 10_000, 1 << 18
 #: Posting lists up to this size are paired many at a time.
 SMALL_LIST = 64
+#: Counts of a set's shingles by the last bits of their hashes, a byte each, bound what two sets share.
+CELLS = 128
 
 
 def mixed(h: np.ndarray, j: int) -> np.ndarray:
@@ -323,26 +325,40 @@ def mixed(h: np.ndarray, j: int) -> np.ndarray:
 
 def wide_fingerprint(text: str, k: int = WIDE_SHINGLE, words: int = WIDE_WORDS) -> list[int]:
     """SimHash of 64 * words bits over the distinct shingles, as signed 64-bit words."""
-    h = distinct_hashes(text, k)
+    return wide_bits(distinct_hashes(text, k), words)
+
+
+def wide_bits(h: np.ndarray, words: int = WIDE_WORDS) -> list[int]:
     if not len(h):
         return [0] * words
     ones = np.stack([np.unpackbits(mixed(h, j).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64) for j in range(words)])
     return np.packbits(ones * 2 > len(h), axis=1).reshape(-1, 8).view(">i8").astype(np.int64)[:, 0].tolist()
 
 
+def cells(h: np.ndarray) -> bytes:
+    """How many of a set's hashes fall into each of CELLS cells; all 255 where a count would not fit a byte."""
+    n = np.bincount((h & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+    return (n if n.max(initial=0) < 255 else np.full(CELLS, 255)).astype(np.uint8).tobytes()
+
+
 def wide_fingerprints(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, same (a digest of the words, A-Z lower-cased) and f0 .. of each row."""
+    """doc_id, same (a digest of the words, A-Z lower-cased), cells and f0 .. of each row."""
     import hashlib
 
     def make():
         def run(texts):
-            clean = [b" ".join((t or "").encode().lower().split()) for t in texts]
-            fps = [wide_fingerprint(t or "", k) for t in texts]
-            return {"same": [hashlib.blake2b(c, digest_size=16).digest() for c in clean], **{f"f{j}": [f[j] for f in fps] for j in range(WIDE_WORDS)}}
+            out = {"same": [], "cells": [], **{f"f{j}": [] for j in range(WIDE_WORDS)}}
+            for t in texts:
+                h = distinct_hashes(t or "", k)
+                out["same"].append(hashlib.blake2b(b" ".join((t or "").encode().lower().split()), digest_size=16).digest())
+                out["cells"].append(cells(h))
+                for j, f in enumerate(wide_bits(h)):
+                    out[f"f{j}"].append(f)
+            return out
 
         return run
 
-    return map_texts(pick(df, {"doc_id": id_col, "text": text_col}), make, [("same", "binary", pa.binary()), *[(f"f{j}", "bigint", pa.int64()) for j in range(WIDE_WORDS)]])
+    return map_texts(pick(df, {"doc_id": id_col, "text": text_col}), make, [("same", "binary", pa.binary()), ("cells", "binary", pa.binary()), *[(f"f{j}", "bigint", pa.int64()) for j in range(WIDE_WORDS)]])
 
 
 def wide_pivots(n: int = 16) -> np.ndarray:
@@ -513,35 +529,41 @@ def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float)
     return h[np.lexsort((h, often))][: len(h) - int(np.ceil(least * len(h) - 1e-6)) + 1]
 
 
-def list_pairs(m: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes from rows (shingle, node, root, size << 32 | place) sorted by shingle: those of one shingle that have
-    different roots, but for pairs whose sizes, or what follows the shingle in them, rule the similarity out. A pair that
-    passes does so at the first shingle it shares, so none is lost."""
+def list_pairs(m: np.ndarray, held: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes from rows (shingle, node, root, size << 32 | place), their cells beside them, sorted by shingle: those
+    of one shingle that have different roots, but for pairs whose sizes, or what follows the shingle in them, or cells rule
+    the similarity out. A pair that passes does so at the first shingle it shares, so none is lost."""
     starts = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
     sizes = np.diff(np.concatenate((starts, [len(m)])))
-    apart = np.minimum.reduceat(m[:, 2], starts) != np.maximum.reduceat(m[:, 2], starts)
     size, after = m[:, 3] >> 32, (m[:, 3] >> 32) - (m[:, 3] & 0xFFFFFFFF)
+    unknown = held[:, 0] == 255
 
     def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of these pairs may be similar."""
         s, t = size[a], size[b]
-        could = np.minimum(after[a], after[b])
-        return (m[a, 2] != m[b, 2]) & (np.minimum(s, t) >= least * np.maximum(s, t) - 1e-6) & (could >= least / (1 + least) * (s + t) - 1e-6)
-
-    for s, n in zip(starts[apart & (sizes > SMALL_LIST)], sizes[apart & (sizes > SMALL_LIST)], strict=True):
+        least_both = least / (1 + least) * (s + t) - 1e-6
+        ok = np.flatnonzero((m[a, 2] != m[b, 2]) & (np.minimum(s, t) >= least * np.maximum(s, t) - 1e-6) & (np.minimum(after[a], after[b]) >= least_both))
+        for lo in range(0, len(ok), 1 << 16):
+            i = ok[lo : lo + (1 << 16)]
+            both = np.minimum(held[a[i]], held[b[i]]).sum(axis=1, dtype=np.int64)
+            ok[lo : lo + (1 << 16)] = np.where((both >= least_both[i]) | unknown[a[i]] | unknown[b[i]], i, -1)
+        return ok[ok >= 0]
+
+    large = np.flatnonzero(sizes > SMALL_LIST)
+    for s, n in zip(starts[large].tolist(), sizes[large].tolist(), strict=True):
         # the root with the most rows comes first: none of its rows meet each other
         _, root, count = np.unique(m[s : s + n, 2], return_inverse=True, return_counts=True)
         order = s + np.argsort(root != count.argmax(), kind="stable")
-        us, vs, held = [], [], 0
+        us, vs, found = [], [], 0
         for i in range(int(count.max()), n):
-            b = order[:i]
-            b = b[fit(np.full(i, order[i]), b)]
+            b = order[:i][fit(np.full(i, order[i]), order[:i])]
             us.append(np.full(len(b), m[order[i], 1]))
             vs.append(m[b, 1])
-            held += len(b)
-            if held > LINK_ROWS or i == n - 1:
+            found += len(b)
+            if found > LINK_ROWS or i == n - 1:
                 yield np.concatenate(us), np.concatenate(vs)
-                us, vs, held = [], [], 0
-    here, shift = np.flatnonzero(np.repeat(apart & (sizes <= SMALL_LIST), sizes)), 1
+                us, vs, found = [], [], 0
+    here, shift = np.flatnonzero(np.repeat(sizes <= SMALL_LIST, sizes)), 1
     while len(here):
         here = here[here + shift < len(m)]
         here = here[m[here, 0] == m[here + shift, 0]]
@@ -551,14 +573,15 @@ def list_pairs(m: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.nda
         shift += 1
 
 
-def prefix_pairs(roots: DataFrame, n: int, df: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs (u, v) of the n nodes (node, root) with different roots, among them all whose similarity is `least` or more."""
+def prefix_lists(roots: DataFrame, n: int, df: DataFrame, k: int, least: float) -> DataFrame:
+    """Rows (h, node, root, at) of the shingles in rare-first prefixes that nodes (node, root) of different roots share."""
     spark = roots.sparkSession
     small_batches(spark)
     right = F.broadcast(roots) if n <= BROADCAST_IDS else roots.hint("merge")
     texts = df.join(right, F.col("doc_id").cast("bigint") == F.col("node"))
     sent = spark.sparkContext.broadcast(frequent_shingles(texts, n, k))
     names = ("h", "node", "root", "at")
+    ddl = ", ".join(f"{c} bigint" for c in names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = sent.value
@@ -573,15 +596,48 @@ def prefix_pairs(roots: DataFrame, n: int, df: DataFrame, k: int, least: float)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(parts, axis=1)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def link(m: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for u, v in list_pairs(m, least):
+        def shared(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            starts = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
+            apart = np.minimum.reduceat(m[:, 2], starts) != np.maximum.reduceat(m[:, 2], starts)
+            m = m[np.repeat(apart, np.diff(np.concatenate((starts, [len(m)]))))]
+            if len(m):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.ascontiguousarray(m.T)], names=names)
+
+        yield from whole_groups(batches, shared)
+
+    return texts.select("text", "node", "root").mapInArrow(deal, ddl).repartition("h").sortWithinPartitions("h").mapInArrow(run, ddl)
+
+
+def prefix_pairs(lists: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+    """Pairs (u, v) of nodes with different roots, among them all whose similarity is `least` or more, from the rows of
+    prefix_lists() and the cells of each node."""
+    small_batches(lists.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                m = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
+                yield m, np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
+
+        def link(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            m, held = (np.concatenate(x) for x in zip(*parts, strict=True))
+            for u, v in list_pairs(m, held, least):
                 both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
                 yield pa.RecordBatch.from_pydict({"u": both[:, 0], "v": both[:, 1]})
 
-        yield from whole_groups(batches, link)
+        parts, size = [], 0
+        for m, held in rows():
+            end = np.searchsorted(m[:, 0], m[-1, 0]) if size + len(m) >= LINK_ROWS // 4 else 0  # the last group may go on
+            if end:
+                yield from link([*parts, (m[:end], held[:end])])
+                parts, size = [], 0
+            parts.append((m[end:], held[end:]))
+            size += len(m) - end
+        if parts:
+            yield from link(parts)
 
-    dealt = texts.select("text", "node", "root").mapInArrow(deal, ", ".join(f"{c} bigint" for c in names))
-    return dealt.repartition("h").sortWithinPartitions("h").mapInArrow(run, "u bigint, v bigint").distinct()
+    rows = lists.join(sketches, "node").select("h", "node", "root", "at", "cells")
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
@@ -604,13 +660,14 @@ def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = pick(df.where(F.col(f"`{id_col}`").isNotNull()), {"doc_id": id_col, "text": text_col})
     prints = cut(wide_fingerprints(d, k, "doc_id", "text"))
     names = [f"f{j}" for j in range(WIDE_WORDS)]
-    nodes = cut(prints.groupBy("same").agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in names]))
+    nodes = cut(prints.groupBy("same").agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in ("cells", *names)]))
     n = nodes.count()
     links = cut(similar(cut(wide_pairs(nodes.select("node", *names), n, radius)), d, k, least))
     comp = components(links)
     known = nodes.select("node").distinct().join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     roots = cut(known.select("node", F.coalesce("root", "node").alias("root")))
-    more = cut(similar(cut(prefix_pairs(roots, n, d, k, least)), d, k, least))
+    lists = cut(prefix_lists(roots, n, d, k, least))
+    more = cut(similar(cut(prefix_pairs(lists, nodes.groupBy("node").agg(F.first("cells").alias("cells")), least)), d, k, least))
     if not more.isEmpty():  # what is linked now are classes
         by = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("u", "v"))
         again = components(more.join(next(by), "u").join(next(by), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
