@@ -13,7 +13,8 @@ components over all groups are found with alternating star contractions, each ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -343,8 +344,6 @@ def cells(h: np.ndarray) -> bytes:
 
 def wide_fingerprints(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, same (a digest of the words, A-Z lower-cased), cells and f0 .. of each row."""
-    import hashlib
-
     def make():
         def run(texts):
             out = {"same": [], "cells": [], **{f"f{j}": [] for j in range(WIDE_WORDS)}}
@@ -472,30 +471,63 @@ def wide_pairs(nodes: DataFrame, n: int, radius: int) -> DataFrame:
     return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
 
 
+def fine_cells(h: np.ndarray) -> bytes:
+    """A set's counts as in cells(), over a power of two of cells, half as many as the set has hashes or more."""
+    size = 64
+    while size < len(h) // 2:
+        size *= 2
+    n = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) <= 255 else b""
+
+
+def may_be_similar(a: bytes, b: bytes, na: int, nb: int, least: float) -> bool:
+    """False only where two sets' fine cells rule the similarity out."""
+    if not a or not b:
+        return True
+    x, y = (np.frombuffer(c, dtype=np.uint8).astype(np.int64) for c in (a, b))
+    while len(x) > len(y):
+        x = x.reshape(2, -1).sum(0)
+    while len(y) > len(x):
+        y = y.reshape(2, -1).sum(0)
+    return bool(np.minimum(x, y).sum() >= least / (1 + least) * (na + nb) - 1e-6)
+
+
 def similar(pairs: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs whose texts' shingle sets have at least that Jaccard similarity. Only texts of pairs are shingled, and only
-    their hashes are shuffled."""
-    ids = cut(pairs.select(F.col("u").alias("_i")).unionByName(pairs.select(F.col("v").alias("_i"))).distinct())
+    """The pairs whose texts' shingle sets have at least that Jaccard similarity. Counts by cell, a byte for two shingles or
+    less, leave few pairs; the shingles of these are compared. Only texts of pairs are shingled."""
 
-    def make():
-        return lambda texts: {"shingles": [distinct_hashes(t or "", k).tobytes() for t in texts]}
+    def joined(pairs: DataFrame, describe: Callable[[np.ndarray], bytes]) -> DataFrame:
+        """u, v, and for each of them n (its shingles) and what it is described by: columns na, a, nb, b."""
+        ids = cut(pairs.select(F.col("u").alias("_i")).unionByName(pairs.select(F.col("v").alias("_i"))).distinct())
 
-    some = with_ids(df, ids, "doc_id", "left_semi")
-    sets = map_texts(some, make, [("shingles", "binary", pa.binary())]).groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
-    a, b = (sets.select(F.col("doc_id").cast("bigint").alias(c), F.col("shingles").alias(n)) for c, n in (("u", "a"), ("v", "b")))
+        def make():
+            def run(texts):
+                sets = [distinct_hashes(t or "", k) for t in texts]
+                return {"n": [len(h) for h in sets], "same": [hashlib.blake2b(h.tobytes(), digest_size=8).digest() for h in sets], "c": [describe(h) for h in sets]}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m in batches:
-            ok = []
-            for p, q in zip(m.column(2), m.column(3), strict=True):
-                p, q = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (p, q))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                total = len(p) + len(q) - both
-                ok.append(total == 0 or both >= least * total)
-            keep = pa.array(np.flatnonzero(ok))
-            yield pa.RecordBatch.from_arrays([m.column(0).take(keep), m.column(1).take(keep)], names=["u", "v"])
-
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+            return run
+
+        each = map_texts(with_ids(df, ids, "doc_id", "left_semi"), make, [("n", "bigint", pa.int64()), ("same", "binary", pa.binary()), ("c", "binary", pa.binary())])
+        each = each.groupBy(F.col("doc_id").cast("bigint").alias("_i")).agg(F.max(F.struct("n", "same", "c")).alias("x")).select("_i", "x.n", "x.c")
+        a, b = (each.select(F.col("_i").alias(c), F.col("n").alias(f"n{x}"), F.col("c").alias(x)) for c, x in (("u", "a"), ("v", "b")))
+        return pairs.join(a, "u").join(b, "v").select("u", "v", "na", "a", "nb", "b")
+
+    def kept(rows: DataFrame, test: Callable[[tuple], bool]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for m in batches:
+                keep = pa.array(np.flatnonzero([test(r) for r in zip(*(m.column(i).to_pylist() for i in range(2, 6)), strict=True)]))
+                yield pa.RecordBatch.from_arrays([m.column(0).take(keep), m.column(1).take(keep)], names=["u", "v"])
+
+        return rows.mapInArrow(run, "u bigint, v bigint")
+
+    def shared(r: tuple) -> bool:
+        p, q = (np.frombuffer(x, dtype=np.uint64) for x in (r[1], r[3]))
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        total = len(p) + len(q) - both
+        return total == 0 or both >= least * total
+
+    some = cut(kept(joined(pairs, fine_cells), lambda r: may_be_similar(r[1], r[3], r[0], r[2], least)))
+    return kept(joined(some, np.ndarray.tobytes), shared)
 
 
 def frequent_shingles(texts: DataFrame, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -186,6 +186,27 @@ def test_one_large_family(spark):
     assert got == {i: find(i) for i in sets} and len(set(got.values())) > 200
 
 
+def test_cells_never_rule_out_similar_sets():
+    r = np.random.default_rng(3)
+    ruled = 0
+    for n in (0, 1, 4, 40, 130, 700, 5000):
+        for share in (0.3, 0.6, 0.79, 0.8, 0.81, 0.95, 1.0):
+            for more in (1.0, 1.2):
+                a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+                m = int(len(a) * more)
+                both = min(len(a), m, round(share * (len(a) + m) / (1 + share)))
+                b = np.unique(np.concatenate((a[:both], r.integers(0, 1 << 63, m - both, dtype=np.uint64))))
+                jaccard = len(np.intersect1d(a, b)) / max(1, len(np.union1d(a, b)))
+                fine = simhash.may_be_similar(simhash.fine_cells(a), simhash.fine_cells(b), len(a), len(b), 0.8)
+                x, y = (np.frombuffer(simhash.cells(h), dtype=np.uint8).astype(int) for h in (a, b))
+                coarse = x[0] == 255 or y[0] == 255 or np.minimum(x, y).sum() >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-6
+                assert jaccard < 0.8 or fine and coarse
+                ruled += not fine
+    assert ruled > 15
+    crowded = np.arange(600, dtype=np.uint64) << np.uint64(20)
+    assert set(simhash.cells(crowded)) == {255} and simhash.fine_cells(crowded) == b"" and simhash.may_be_similar(b"", b"\x01" * 64, 600, 64, 0.8)
+
+
 def test_components_of_paths_and_stars(spark):
     r = random.Random(4)
     edges = [(i, i + 1) for i in range(0, 90)] + [(100, x) for x in range(101, 400)] + [(500 + 2 * i, 501 + 2 * i) for i in range(50)] + [(7, 3), (3, 7), (1000, 120)]
