@@ -67,17 +67,26 @@ def bugs(a, spark) -> None:
 
 
 def inject_all(a, spark) -> None:
-    preds = readers.load_project_predictions(spark, a.predictions).select("id", "prediction", "pred_seq")
-    files = spark.read.format("binaryFile").options(pathGlobFilter="*.java", recursiveFileLookup=True).load(a.files)
-    below = F.regexp_replace("path", r"^.*\Qtest/java/\E", "")
-    files = files.select(below.alias("file_path"), F.decode("content", "UTF-8").alias("content"))
-    inject.inject_fold(files, inject.located(preds, readers.load_csv(spark, a.meta, schemas.META_LLM))).write.mode("overwrite").parquet(a.output)
+    # predictions, meta rows and files of a project meet; a meta file that is not below a project's folder speaks for all
+    preds = readers.load_project_predictions(spark, a.predictions).select("project", "id", "prediction", "pred_seq")
+    files = readers.load_java(spark, a.files).where(F.col("relative_path").contains("test/java/"))
+    files = files.select("project", F.regexp_replace("relative_path", r"^.*\Qtest/java/\E", "").alias("file_path"), F.col("source").alias("content"))
+    if a.meta.endswith(".csv"):
+        meta = readers.load_csv(spark, a.meta, schemas.META_LLM).withColumn("at", F.monotonically_increasing_id())
+        meta = meta.crossJoin(F.broadcast(preds.select("project").distinct()))  # one name a folder of predictions
+    else:
+        meta = readers.load_project_meta(spark, a.meta)
+    inject.inject_fold(files, inject.located(preds, meta, order="at")).write.mode("overwrite").parquet(a.output)
+
+
+def template(a, spark) -> None:
+    sinks.save_oracle_template(readers.load_csv(spark, a.inputs, "id bigint, project string, bug_num string, test_name string, test_prefix string"), a.output)
 
 
 def extract(a, spark) -> None:
     m = javasrc.java_methods(readers.load_java(spark, a.base), slice_mode=a.slice_mode).cache()
     sinks.save_json(m.select("project", "content", "metadata"), f"{a.output}/methods")
-    sinks.save_json(javasrc.java_types(m).select("project", "class", "relative_path", "methods"), f"{a.output}/types")
+    sinks.save_json_array(javasrc.java_types(m).select("project", "class", "relative_path", "methods"), f"{a.output}/types.json", "project", "class", "relative_path")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -98,6 +107,7 @@ def parser() -> argparse.ArgumentParser:
     command("versions", versions, ("requested", int, len(readers.PROJECTS)), logs=1, output=1)
     command("bugs", bugs, ("other", str, None), ("other_method", str, "other"), results=1, method=1)
     command("inject", inject_all, predictions=1, meta=1, files=1, output=1)
+    command("template", template, inputs=1, output=1)
     command("extract", extract, ("slice_mode", str, "fixed"), base=1, output=1)
     return p
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What str.strip() takes away.
@@ -53,20 +53,39 @@ def preview(c: Column, n: int = 100) -> Column:
 
 
 def fixed(c: Column, digits: int = 4) -> Column:
-    return F.format_string(f"%.{digits}f", c.cast("double"))
+    """Python's f"{x:.{digits}f}": the binary value itself is rounded, and an exact half to the even digit."""
+    scale = float(10**digits)
+    x = c.cast("double")
+    size = F.abs(x)
+    scaled = size * scale
+    whole = F.floor(scaled).cast("double")
+    # what `scaled` lost in rounding, by splitting `size` into two halves whose products with the scale are exact
+    t = size * 134217729.0
+    high = t - (t - size)
+    lost = (high * scale - scaled) + (size - high) * scale
+    over = (scaled - whole - 0.5) + lost
+    up = (over > 0) | ((over == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
+    n = F.when(up, whole + 1).otherwise(whole).try_cast("bigint")
+    power = F.lit(10**digits)
+    sign = F.when(F.signum(x).cast("string").startswith("-"), "-").otherwise("")
+    exact = F.concat(sign, F.format_string(f"%d.%0{digits}d", F.floor(n / power), F.pmod(n, power)) if digits else n.cast("string"))
+    special = F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf")))
+    return special.when(scaled < 4503599627370496.0, exact).otherwise(F.format_string(f"%.{digits}f", x))
 
 
 def percent(c: Column, digits: int = 2) -> Column:
-    return F.format_string(f"%.{digits}f%%", c.cast("double") * 100)
+    return F.concat(fixed(c.cast("double") * 100, digits), F.lit("%"))
 
 
 def duration(seconds: Column) -> Column:
-    """Seconds, minutes or hours with one digit; a decimal half rounds up."""
+    """Seconds, minutes or hours with one digit."""
     s = seconds.cast("double")
-    return F.when(s < 60, F.format_string("%.1fs", s)).when(s < 3600, F.format_string("%.1fm", s / 60)).otherwise(F.format_string("%.1fh", s / 3600))
+    return F.when(s < 60, F.concat(fixed(s, 1), F.lit("s"))).when(s < 3600, F.concat(fixed(s / 60, 1), F.lit("m"))).otherwise(F.concat(fixed(s / 3600, 1), F.lit("h")))
 
 
-def line_offsets(c: Column) -> Column:
-    """Character position at which each line begins."""
-    sizes = F.transform(lines(c), lambda x: F.length(x) + 1)
-    return F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b))
+def line_offsets(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """keys, line_no and position: the character position at which each line of a text begins, a row a line. keys name a
+    row; nothing quadratic in the lines of a text."""
+    d = df.select(*keys, F.posexplode(lines(F.col(column))).alias("line_no", "line"))
+    before = Window.partitionBy(*keys).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    return d.select(*keys, "line_no", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("position"))

@@ -8,8 +8,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 #: Seconds by phase, and for phases without their own.
 TIMEOUTS, DEFAULT_TIMEOUT = {"compile": 600, "test": 1800, "mutation": 7200}, 3600
@@ -26,6 +27,26 @@ def run_one(command: str, folder: str, timeout: float) -> dict:
     return {"returncode": r.returncode, "stdout": r.stdout, "stderr": r.stderr, "success": r.returncode == 0}
 
 
+def run_phases(targets: DataFrame, commands: dict[str, str], allow: bool = False) -> DataFrame:
+    """Compile, test and, where commands has one, mutate every row of targets (project, version, folder), as a command log:
+    a project that does not compile ends there, one whose tests ran is mutated whatever they said. Commands may name
+    {project}, {version} and {folder}. Each phase is run once and kept by a checkpoint before the next begins."""
+    log, todo = None, targets.select("project", "version", "folder")
+    for phase in ("compile", "test", "mutation"):
+        if phase not in commands:
+            continue
+        command = F.lit(commands[phase])
+        for c in ("project", "version", "folder"):
+            command = F.replace(command, F.lit("{" + c + "}"), F.col(c))
+        done = cut(run_commands(todo.withColumn("phase", F.lit(phase)).withColumn("command", command), allow))
+        log = done if log is None else log.unionByName(done)
+        if phase == "compile":
+            todo = todo.join(done.where("success").select("project", "version"), ["project", "version"], "left_semi")
+    if log is None:
+        raise ValueError("no command for any phase")
+    return log
+
+
 def run_commands(df: DataFrame, allow: bool = False) -> DataFrame:
     """Run each row's command (columns project, version, phase, command, folder) where the executors are, if `allow` says so.
     Commands have effects and may run again when a task is retried, so this is off unless asked for."""

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.targets import exact_match, oracle_type, target_from_flag
-from ..functions.text import preview
+from ..functions.text import preview, strip
+from ..session import cut
 from .metrics import exact_match_accuracy, exact_match_by, micro
 from .pairing import head, key_join, positional
-from .predict import Predictor, predict_column
+from .predict import Predictor, predict_column, predict_timed
 
 
 def predictions_table(df: DataFrame) -> DataFrame:
@@ -27,12 +28,15 @@ def load_keyed(inputs: DataFrame, meta: DataFrame) -> DataFrame:
     return key_join(inputs, meta, "id").withColumn("target", target_from_flag(assertion, flag))
 
 
+def first_rows(d: DataFrame, subset: int | None) -> DataFrame:
+    """The first rows of a join, by input order; None and 0 mean all."""
+    order = [c for c in ("row_idx", "row_idx_x", "row_idx_y") if c in d.columns] or [c for c in ("id", "doc_id") if c in d.columns]
+    return d.orderBy(*order).limit(subset) if subset else d
+
+
 def evaluate_paired(inputs: DataFrame, meta: DataFrame, make: Callable[[], Predictor], subset: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(predictions, one row of metrics) for tables keyed by id; subset takes the first rows of the join, by input order."""
-    d = load_keyed(inputs, meta)
-    if subset:
-        d = d.orderBy(*[c for c in ("row_idx", "row_idx_x", "row_idx_y") if c in d.columns] or ["id"]).limit(subset)
-    d = predict_column(d, make)
+    d = predict_column(first_rows(load_keyed(inputs, meta), subset), make)
     return predictions_table(d), exact_match_accuracy(d)
 
 
@@ -40,13 +44,14 @@ def load_positional(inputs: DataFrame, meta: DataFrame, subset: int | None = Non
     """Rows of one project paired by row_idx as far as the shorter table goes."""
     right = head(meta, subset).select("row_idx", *[F.col(c).alias(c if c not in inputs.columns else f"meta_{c}") for c in meta.columns if c != "row_idx"])
     d = positional(head(inputs, subset), right, "min")
-    return d.withColumn("target", F.coalesce(F.trim("GT_output"), F.lit("")))
+    return d.withColumn("target", F.coalesce(strip(F.col("GT_output")), F.lit("")))
 
 
 def evaluate_by_project(df: DataFrame, make: Callable[[], Predictor]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(predictions, metrics by project, micro average) of rows with project and target."""
-    d = predict_column(df, make)
-    by = exact_match_by(d, "project")
+    """(predictions, metrics and seconds by project, micro average) of rows with project and target. Predictions are made
+    once and kept by a checkpoint, so that all three speak of the same ones."""
+    d = cut(predict_timed(df, make))
+    by = exact_match_by(d, "project", seconds="seconds")
     return predictions_table(d), by, micro(by)
 
 

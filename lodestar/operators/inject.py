@@ -12,6 +12,9 @@ from ..functions.text import part, quote_replacement
 from ..session import ship
 
 
+# The patterns below decide what is replaced.
+
+
 def inject_by_number(content: Column, test_id: Column, oracle: Column) -> Column:
     """Append the oracle before the first closing brace of public void test<id>()."""
     pattern = F.concat(F.lit(r"(?s)(public void test"), test_id.cast("string"), F.lit(r"\(\).*?\{[^}]*?)(\})"))
@@ -45,22 +48,29 @@ def inject_named(df: DataFrame, content: str, name: str, oracle: str, out: str =
     return df.withColumn(out, run(content, name, oracle))
 
 
-def located(predictions: DataFrame, meta: DataFrame, windows: bool = False) -> DataFrame:
-    """pred_seq, file_path, test_name, prediction of predictions whose id has a meta row (the first one counts); the path
-    below test/java/, with backslashes where asked."""
+def located(predictions: DataFrame, meta: DataFrame, windows: bool = False, order: str | None = None) -> DataFrame:
+    """project, pred_seq, file_path, test_name, prediction of predictions whose id has a meta row of the same project; the
+    path below test/java/, with backslashes where asked. Tables without a column project are of one project, null.
+
+    Of several meta rows of an id the first counts: by column `order`, or by their place in the files read, which is
+    only sure within one file (meta rows of one project are one file)."""
     from .pairing import first_match
 
-    d = first_match(predictions, meta.select("id", "file_path", "test_name", F.monotonically_increasing_id().alias("_m")), "id", "_m").drop("_m")
+    p, m = (d if "project" in d.columns else d.withColumn("project", F.lit(None).cast("string")) for d in (predictions, meta))
+    key = F.struct(F.coalesce("project", F.lit("")).alias("project"), F.col("id").cast("bigint").alias("id"))
+    m = m.select(key.alias("_k"), "file_path", "test_name", (F.col(order) if order else F.monotonically_increasing_id()).alias("_m"))
+    d = first_match(p.withColumn("_k", key), m, "_k", "_m").drop("_m", "_k")
     path = part(F.regexp_replace("file_path", r"\\", "/"), "test/java/", 1)
     path = F.replace(path, F.lit("/"), F.lit("\\")) if windows else path
-    return d.select("pred_seq", path.alias("file_path"), part(F.col("test_name"), "::", 1).alias("test_name"), "prediction")
+    return d.select("project", "pred_seq", path.alias("file_path"), part(F.col("test_name"), "::", 1).alias("test_name"), "prediction")
 
 
 def inject_fold(files: DataFrame, predictions: DataFrame, strict: bool = True) -> DataFrame:
-    """file_path, content, n_injected: each file rewritten by its predictions one after another, in order of pred_seq.
+    """project, file_path, content, n_injected: each file rewritten by its predictions one after another, in order of
+    pred_seq. Files and predictions meet by project and path; tables without a column project are of one project, null.
 
-    Files (file_path, content) without a prediction stay as they are; predictions without a file are dropped. A file's
-    predictions are folded in one task; different files are independent.
+    Files (project, file_path, content) without a prediction stay as they are; predictions without a file are dropped. A
+    file's predictions are folded in one task; different files are independent.
     """
     ship(files.sparkSession)
 
@@ -73,8 +83,9 @@ def inject_fold(files: DataFrame, predictions: DataFrame, strict: bool = True) -
                 new = inject_by_name(content, name, oracle, strict)
                 n += new != content
                 content = new
-            rows.append((key[0], content, n))
-        return pd.DataFrame(rows, columns=["file_path", "content", "n_injected"])
+            rows.append((*key, content, n))
+        return pd.DataFrame(rows, columns=["project", "file_path", "content", "n_injected"])
 
-    left = files.select("file_path", "content")
-    return left.groupBy("file_path").cogroup(predictions.groupBy("file_path")).applyInPandas(fold, "file_path string, content string, n_injected bigint")
+    left, right = (d if "project" in d.columns else d.withColumn("project", F.lit(None).cast("string")) for d in (files, predictions))
+    left = left.select("project", "file_path", "content")
+    return left.groupBy("project", "file_path").cogroup(right.groupBy("project", "file_path")).applyInPandas(fold, "project string, file_path string, content string, n_injected bigint")

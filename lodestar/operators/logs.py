@@ -37,11 +37,13 @@ def passed(tests: Column, failures: Column, errors: Column) -> Column:
 
 
 def phase_table(commands: DataFrame) -> DataFrame:
-    """One row per (version, project) from a command log: compiled, and the test numbers where it compiled."""
-    compiled = commands.where("phase = 'compile'").groupBy("version", "project").agg(F.max("success").alias("compiled"))
-    tested = commands.where("phase = 'test'").select("version", "project", *[c.alias(n) for n, c in test_summary(F.col("stdout")).items()])
-    d = compiled.join(tested, ["version", "project"], "left")
-    return d.select("version", "project", "compiled", *[F.when(F.col("compiled"), F.col(f)).alias(f) for f in TEST_FIELDS])
+    """One row per (version, project) from a command log: compiled, the test numbers where it compiled, and the mutation
+    report's where there was one. One pass: of each phase the (one) run's output is picked by group."""
+    out = {p: F.max(F.when(F.col("phase") == p, F.col("stdout"))).alias(p) for p in ("test", "mutation")}
+    d = commands.groupBy("version", "project").agg(F.max(F.when(F.col("phase") == "compile", F.col("success"))).alias("compiled"), *out.values()).where("compiled is not null")
+    tests, mutations = test_summary(F.col("test")), mutation_report(F.col("mutation"))
+    tested = F.col("compiled") & F.col("test").isNotNull()
+    return d.select("version", "project", "compiled", *[F.when(tested, c).alias(f) for f, c in tests.items()], *[F.when(tested, c).alias(f) for f, c in mutations.items()])
 
 
 def version_rollup(phases: DataFrame, requested: int) -> DataFrame:

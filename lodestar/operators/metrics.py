@@ -23,10 +23,12 @@ def hits(prediction: str, target: str) -> Column:
     return F.sum(F.when(exact_match(F.col(prediction), F.col(target)), 1).otherwise(0))
 
 
-def exact_match_by(df: DataFrame, group: str, prediction: str = "prediction", target: str = "target") -> DataFrame:
-    """group, num_samples, num_matches, accuracy."""
-    d = df.groupBy(group).agg(F.count("*").alias("num_samples"), F.coalesce(hits(prediction, target), F.lit(0)).alias("num_matches"))
-    return d.withColumn("accuracy", ratio(F.col("num_matches"), F.col("num_samples"), None))
+def exact_match_by(df: DataFrame, group: str, prediction: str = "prediction", target: str = "target", seconds: str | None = None) -> DataFrame:
+    """group, num_samples, num_matches, accuracy; with a column of seconds also their sum and seconds_per_sample."""
+    took = [F.coalesce(F.sum(seconds), F.lit(0.0)).alias("seconds")] if seconds else []
+    d = df.groupBy(group).agg(F.count("*").alias("num_samples"), F.coalesce(hits(prediction, target), F.lit(0)).alias("num_matches"), *took)
+    d = d.withColumn("accuracy", ratio(F.col("num_matches"), F.col("num_samples"), None))
+    return d.withColumn("seconds_per_sample", seconds_per_sample(F.col("seconds"), F.col("num_samples"))) if seconds else d
 
 
 def micro(by_group: DataFrame) -> DataFrame:
@@ -83,7 +85,8 @@ def loss_buckets(steps: DataFrame, every: int = 200) -> DataFrame:
 
 
 def running_best(accuracies: DataFrame) -> DataFrame:
-    """epoch, accuracy, best_before, saved: an epoch is saved if it is strictly better than all before, and than 0."""
+    """epoch, accuracy, best_before, saved: an epoch is saved if it is strictly better than all before, and than 0. One task,
+    as an epoch is one row, and their order is what this is about."""
     before = F.coalesce(F.max("accuracy").over(Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     return accuracies.withColumn("best_before", before).withColumn("saved", F.col("accuracy") > F.col("best_before"))
 

@@ -12,19 +12,12 @@ def with_row_index(df: DataFrame, *keys: str, name: str = "row_idx") -> DataFram
     """Consecutive numbers from 0 in order of the keys, without bringing the rows to one task.
 
     Rows are sorted over ranges; each range's rows are numbered where they are, and the counts of the ranges before are
-    added (one number a range on the driver).
+    added: a table of one row a range, so small that it is broadcast.
     """
-    d = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftrightunsigned("_at", 33)
-    counts = {r["p"]: r["n"] for r in d.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    if not before:
-        return d.withColumn(name, F.col("_at")).drop("_at")
-    base = F.element_at(F.array(*[F.lit(b).cast("bigint") for b in before]), (part + 1).cast("int"))
-    return d.withColumn(name, base + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    d = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftrightunsigned("_at", 33))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = d.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", before.alias("_b"))
+    return d.join(F.broadcast(ranges), "_p").withColumn(name, F.col("_b") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_b")
 
 
 def key_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -53,9 +46,11 @@ def positional(left: DataFrame, right: DataFrame, mode: str = "truncate", index:
 
 
 def first_match(left: DataFrame, right: DataFrame, key: str, order: str | Column) -> DataFrame:
-    """Inner lookup join with the first right row of each key."""
-    first = Window.partitionBy(key).orderBy(order)
-    return left.join(right.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), key)
+    """Inner lookup join with the first right row of each key; the first are found before anything is shuffled, and again
+    after."""
+    rest = [c for c in right.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(order))
+    return left.join(right.groupBy(key).agg(first.alias("_f")).select(key, *[F.col("_f")[c].alias(c) for c in rest]), key)
 
 
 def existing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -67,8 +62,9 @@ def missing(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def dimensions(versions: DataFrame, projects: DataFrame) -> DataFrame:
-    """Every version with every project: two small constant tables, one row a run of the evaluation."""
-    return versions.crossJoin(F.broadcast(projects))
+    """Every version with every project: two small constant tables, one row a run of the evaluation. Which of them is
+    broadcast, if any, is left to Spark, which knows their sizes."""
+    return versions.crossJoin(projects)
 
 
 def head(df: DataFrame, n: int | None, index: str = "row_idx") -> DataFrame:

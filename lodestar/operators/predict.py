@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -79,8 +80,47 @@ def predict_scored(df: DataFrame, make: Callable[[], Callable[[list[int]], tuple
 
 
 def top_candidate(df: DataFrame, key: str = "id", score: str = "score", tie: str = "output") -> DataFrame:
-    """The best-scored candidate of each key."""
-    from pyspark.sql import Window
+    """The best-scored candidate of each key, of equal ones the least; rows without a score come last. Found before anything
+    is shuffled, and again after. Scores are numbers."""
+    rest = [c for c in df.columns if c != key]
+    order = F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))
+    d = df.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_f"))
+    return d.select(*[F.col(key) if c == key else F.col("_f")[c].alias(c) for c in df.columns])
 
-    best = Window.partitionBy(key).orderBy(F.col(score).desc(), tie)
-    return df.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+
+def predict_timed(df: DataFrame, make: Callable[[], Predictor], out: str = "prediction", seconds: str = "seconds", prefix: str = "test_prefix", method: str = "focal_method", doc: str = "docstring") -> DataFrame:
+    """predict_column() with the seconds that each row took."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("prediction string, seconds double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        p = make()
+        for a, b, c in parts:
+            rows = []
+            for x in zip(a, b, c, strict=True):
+                began = time.perf_counter()
+                try:
+                    got = p.generate(*x)
+                except Exception:  # as in predict_column
+                    got = ""
+                rows.append((got, time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["prediction", "seconds"])
+
+    # the struct is made once: without the filter on it, each field would call the predictor anew
+    d = df.withColumn("_p", run(prefix, method, doc)).where(F.col("_p").isNotNull())
+    return d.withColumn(out, F.col("_p.prediction")).withColumn(seconds, F.col("_p.seconds")).drop("_p")
+
+
+def predict_resumable(df: DataFrame, make: Callable[[], Predictor], path: str, key: str = "id", parts: int = 10, **names: str) -> DataFrame:
+    """Predictions kept as they are made: rows (key, prediction) are appended to `path` in `parts` parts by a hash of the key,
+    and a run that starts again does only the keys that are not there. Returns df with what is stored."""
+    from ..sources.readers import exists
+
+    spark = df.sparkSession
+    schema = df.select(key).withColumn("prediction", F.lit("")).schema
+    for k in range(parts):
+        todo = df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
+        if exists(spark, path):
+            todo = todo.join(spark.read.schema(schema).parquet(path).select(key), key, "left_anti")
+        predict_column(todo, make, **names).select(key, "prediction").write.mode("append").parquet(path)
+    return df.join(spark.read.schema(schema).parquet(path).dropDuplicates([key]), key)

@@ -66,6 +66,47 @@ class CodePointTokenizer:
         return "".join(chr(i - 3) for i in ids if i >= 3)
 
 
+class FileTokenizer:
+    """A tokenizer of an installed library from its file: .json (tokenizers), .model (sentencepiece) or .tiktoken. Loaded
+    where it is first used, once a process, so that only the path travels. Ids are without special tokens; decoding skips
+    them. pattern: what a .tiktoken file's texts are cut by."""
+
+    loaded: dict[tuple, tuple] = {}
+
+    def __init__(self, path: str, pattern: str | None = None):
+        self.path, self.pattern = path, pattern
+
+    def _library(self) -> tuple:
+        key = (self.path, self.pattern)
+        if key not in self.loaded:
+            if self.path.endswith(".json"):
+                from tokenizers import Tokenizer as Library
+
+                t = Library.from_file(self.path)
+                self.loaded[key] = (lambda x: t.encode(x, add_special_tokens=False).ids, lambda i: t.decode(i, skip_special_tokens=True))
+            elif self.path.endswith(".model"):
+                from sentencepiece import SentencePieceProcessor
+
+                p = SentencePieceProcessor(model_file=self.path)
+                self.loaded[key] = (p.encode, p.decode)
+            else:
+                import base64
+
+                import tiktoken
+
+                with open(self.path, "rb") as f:
+                    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+                e = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
+                self.loaded[key] = (e.encode_ordinary, e.decode)
+        return self.loaded[key]
+
+    def encode(self, text: str) -> list[int]:
+        return self._library()[0](text)
+
+    def decode(self, ids: list[int]) -> str:
+        return self._library()[1]([int(i) for i in ids])
+
+
 def encode(df: DataFrame, column: str, out: str, tokenizer: Tokenizer, normalise: bool = False) -> DataFrame:
     """Token ids of a text column (null: empty), by Arrow batches; normalise: encode, decode and encode again."""
     ship(df.sparkSession)

@@ -12,6 +12,7 @@ from ..functions import targets as T
 from ..functions import text as X
 from ..operators import batching as B
 from ..operators import bugsets as U
+from ..operators import evaluate as E
 from ..operators import inject as I
 from ..operators import javasrc as J
 from ..operators import logs as G
@@ -27,6 +28,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 SEP, EOS = 2, 3
+#: The length that training inputs are held to.
+LIMIT = 512
 
 #: What several oracles need in DuckDB's dialect.
 WS = "concat(chr(9), chr(10), chr(11), chr(12), chr(13), ' ')"
@@ -88,6 +91,12 @@ def distinct_match_ids(spark, sf_dir):
     return M.distinct_matches(view(spark, sf_dir, "preds"))
 
 
+@query(f"select *, seconds / num_samples as seconds_per_sample from (select project, count(*) as num_samples, cast(sum({HIT}) as bigint) as num_matches, sum({HIT})::double / count(*)::double as accuracy, sum(id % 8 / 4.0::double) as seconds from preds group by project) t", "preds")
+def exact_match_seconds_by_project(spark, sf_dir):
+    d = view(spark, sf_dir, "preds").withColumn("seconds", F.col("id") % 8 / F.lit(4.0))
+    return M.exact_match_by(d, "project", seconds="seconds")
+
+
 # --- joins and pairing -----------------------------------------------------------------------------------------------
 
 
@@ -150,10 +159,9 @@ def cross_dimension_version_project(spark, sf_dir):
     return P.dimensions(versions, table(spark, sf_dir, "nation").select(F.col("n_name").alias("project")))
 
 
-@query("with a as (select doc_id, string_split(text, ' ')[1:4] as w, list_transform(string_split(text, ' ')[1:3], lambda x: length(x)) as n from documents) select doc_id, unnest(w[1:least(len(w), len(n))]) as w, cast(unnest(n[1:least(len(w), len(n))]) as integer) as n from a")
+@query("with a as (select doc_id, string_split(text, ' ') as w, list_transform(string_split(text, chr(10)), lambda x: length(x)) as n from documents) select doc_id, unnest(w[1:least(len(w), len(n))]) as w, cast(unnest(n[1:least(len(w), len(n))]) as integer) as n from a")
 def zip_parallel_arrays(spark, sf_dir):
-    w = F.split("text", " ")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.slice(w, 1, 4).alias("w"), F.transform(F.slice(w, 1, 3), F.length).alias("n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"), F.transform(X.lines(F.col("text")), F.length).alias("n"))
     return P.zip_arrays(d, "w", "n")
 
 
@@ -300,7 +308,10 @@ def _named_class():
     return F.expr("concat('class T {', chr(10), '@Test', chr(10), '  public void t', id % 7, '() {', chr(10), '    assertTrue(b); fail(\"x\");', chr(10), '  }', chr(10), '}')")
 
 
-@query()
+NAMED_HEAD = "concat('class T {', chr(10), '@Test', chr(10), '  public void t', id % 7, '() {', chr(10), '     ', chr(10), '  ')"
+
+
+@query(f"select id, concat({NAMED_HEAD}, case when prediction is null or prediction in ('', 'exception') then '' else concat(chr(10), prediction, case when suffix(prediction, ';') then '' else ';' end) end, chr(10), '}}', chr(10), '}}') as content from preds", "preds")
 def inject_oracle_named(spark, sf_dir):
     d = view(spark, sf_dir, "preds").select("id", "prediction", _named_class().alias("content"), F.expr("concat('t', id % 7)").alias("name"))
     return I.inject_named(d, "content", "name", "prediction").select("id", "content")
@@ -393,13 +404,13 @@ def serve_layout(spark, sf_dir):
     return view(spark, sf_dir, "toks").select("id", _joined(K.serve_layout(F.col("p"), F.col("m"), F.col("d"), SEP)))
 
 
-def _examples(spark, sf_dir, limit=40):
+def _examples(spark, sf_dir, limit=LIMIT):
     d = view(spark, sf_dir, "toks").select("id", K.train_layout("tc_mut", _parts(), SEP).alias("inputs"), K.target(F.col("o"), EOS).alias("outputs"))
     return B.length_filter(d, limit).withColumn("outputs", B.truncated_outputs(F.col("inputs"), F.col("outputs"), limit))
 
 
 INPUTS = f"list_concat(p, [{SEP}], m)"
-EXAMPLES = f"e as (select id, {INPUTS} as i, list_concat(o, [{EOS}])[1:greatest(0, 40 - len({INPUTS}))] as t from toks where len({INPUTS}) <= 40)"
+EXAMPLES = f"e as (select id, {INPUTS} as i, list_concat(o, [{EOS}])[1:greatest(0, {LIMIT} - len({INPUTS}))] as t from toks where len({INPUTS}) <= {LIMIT})"
 
 
 @query(f"with {EXAMPLES} select id, cast(len(i) as integer) as n from e", "toks")
@@ -412,11 +423,11 @@ def truncate_outputs(spark, sf_dir):
     return _examples(spark, sf_dir).select("id", _joined("outputs", "outputs"))
 
 
-@query(f"select id, array_to_string(case when len({INPUTS}) > 30 then list_concat(p, [{SEP}]) else {INPUTS} end, ',') as ids from toks", "toks")
+@query(f"select id, array_to_string(case when len({INPUTS}) > {LIMIT // 2} then list_concat(p, [{SEP}]) else {INPUTS} end, ',') as ids from toks", "toks")
 def prefix_only_fallback(spark, sf_dir):
     d = view(spark, sf_dir, "toks")
     whole = K.train_layout("tc_mut", _parts(), SEP)
-    return d.select("id", _joined(B.prefix_fallback(whole, K.fallback_prefix(F.col("p"), "tc_mut", SEP), 30)))
+    return d.select("id", _joined(B.prefix_fallback(whole, K.fallback_prefix(F.col("p"), "tc_mut", SEP), LIMIT // 2)))
 
 
 @query(f"with {EXAMPLES} select id, array_to_string(list_concat(i, t), ',') as ids, array_to_string(list_concat(list_transform(range(len(i)), lambda x: -100), t), ',') as labels, cast(len(i) + len(t) as integer) as attention, array_to_string(i, ',') as prompt, array_to_string(t, ',') as target from e", "toks")
@@ -476,7 +487,7 @@ def split_5_5_90(spark, sf_dir):
 @query("select d.doc_id, lang, quality from documents d join labels l on d.doc_id = l.doc_id order by d.doc_id limit 50")
 def head_after_join(spark, sf_dir):
     d = P.key_join(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return d.orderBy("doc_id").limit(50)
+    return E.first_rows(d, 50)
 
 
 @query(NUMBERED + "select row_idx, doc_id, quality from d join l using (row_idx) where row_idx < 50")
@@ -491,9 +502,11 @@ def top1_candidate(spark, sf_dir):
     return D.top_candidate(d, "id", "score", "vec_id")
 
 
-@query()
+@query("select row_number() over (order by doc_id) - 1 as row_idx, 1 as documents from documents")
 def seeded_shuffle_permutation(spark, sf_dir):
-    return S.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    """Every number once: a permutation of the documents, whose order itself hangs on Spark's hash."""
+    d = S.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+    return d.groupBy("row_idx").agg(F.count_distinct("doc_id").cast("int").alias("documents"))
 
 
 # --- classification metrics ------------------------------------------------------------------------------------------
@@ -541,9 +554,9 @@ def running_best_checkpoint(spark, sf_dir):
 
 @query("select l_suppkey as class, l_returnflag as relative_path, array_to_string(list(cast(l_orderkey as varchar) order by l_orderkey, l_linenumber), ',') as methods from lineitem group by l_suppkey, l_returnflag")
 def collect_methods_by_class(spark, sf_dir):
-    named = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber")))
-    d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("class"), F.col("l_returnflag").alias("relative_path")).agg(named.alias("n"))
-    return d.select("class", "relative_path", F.array_join(F.transform("n", lambda x: x["l_orderkey"].cast("string")), ",").alias("methods"))
+    meta = F.struct(F.col("l_suppkey").alias("class"), F.col("l_orderkey").cast("string").alias("name"))
+    d = table(spark, sf_dir, "lineitem").select(F.lit("p").alias("project"), F.col("l_returnflag").alias("relative_path"), F.struct("l_orderkey", "l_linenumber").alias("seq"), meta.alias("metadata"))
+    return J.java_types(d).select("class", "relative_path", F.array_join("methods", ",").alias("methods"))
 
 
 # --- routes and bug sets ---------------------------------------------------------------------------------------------
@@ -640,7 +653,7 @@ def java_methods(spark, sf_dir):
     return m.select("relative_path", "seq", "content", F.col("metadata.name").alias("name"), F.col("metadata.class").alias("class"), F.col("metadata.return_type").alias("return_type"), F.to_json("metadata.parameters").alias("parameters"))
 
 
-@query()
+@query("select concat('C', p_partkey) as class, concat('src/C', p_partkey, '.java') as relative_path, concat('name,C', p_partkey) as methods from part")
 def java_types(spark, sf_dir):
     t = J.java_types(J.java_methods(_sources(spark, sf_dir)))
     return t.select("class", "relative_path", F.array_join("methods", ",").alias("methods"))
@@ -655,26 +668,21 @@ def method_context_slice(spark, sf_dir):
 # --- formats ---------------------------------------------------------------------------------------------------------
 
 
-@query("select o_orderkey, case when s < 60 then format('{:.1f}s', s) when s < 3600 then format('{:.1f}m', s / 60) else format('{:.1f}h', s / 3600) end as duration from (select o_orderkey, (o_orderkey % 5000)::double as s from orders where o_orderkey % 5000 < 60 or o_orderkey % 3 = 0 and o_orderkey % 5000 >= 3600 and o_orderkey % 5000 % 360 <> 180 or o_orderkey % 5000 >= 60 and o_orderkey % 5000 < 3600 and o_orderkey % 60 = 0)")
+@query("select o_orderkey, case when s < 60 then format('{:.1f}s', s) when s < 3600 then format('{:.1f}m', s / 60) else format('{:.1f}h', s / 3600) end as duration from (select o_orderkey, (o_orderkey % 5000)::double as s from orders)")
 def format_duration(spark, sf_dir):
     d = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5000).cast("double").alias("s"))
-    d = d.where("s < 60 or o_orderkey % 3 = 0 and s >= 3600 and s % 360 <> 180 or s >= 60 and s < 3600 and o_orderkey % 60 = 0")
     return d.select("o_orderkey", X.duration(F.col("s")).alias("duration"))
 
 
-@query("select o_orderkey, format('{:.2f}', v) as two, format('{:.4f}', v) as four, concat(format('{:.2f}', 100 * v), '%') as share from (select o_orderkey, (o_orderkey % 64)::double / 64 as v from orders where o_orderkey % 64 in (0, 16, 32, 48))")
+@query("select o_orderkey, format('{:.2f}', v) as two, format('{:.4f}', v) as four, concat(format('{:.2f}', 100 * v), '%') as share from (select o_orderkey, (o_orderkey % 64)::double / 64 as v from orders)")
 def format_metrics(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").where("o_orderkey % 64 in (0, 16, 32, 48)").select("o_orderkey", ((F.col("o_orderkey") % 64).cast("double") / 64).alias("v"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderkey") % 64).cast("double") / 64).alias("v"))
     return d.select("o_orderkey", X.fixed(F.col("v"), 2).alias("two"), X.fixed(F.col("v"), 4).alias("four"), X.percent(F.col("v")).alias("share"))
 
 
 @query("with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) select doc_id, cast(i - 1 as integer) as line_no, cast(coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as position from l")
 def lines_cumulative_offset(spark, sf_dir):
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.lines(F.col("text"))).alias("line_no", "line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return d.select("doc_id", "line_no", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("position"))
+    return X.line_offsets(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -46,12 +46,15 @@ STEPS = {
     "spark": "select cast(event_id div 1000 as int) as epoch, cast(event_id % 1000 as int) as step, value / 100 as loss from events",
     "duckdb": "select cast(event_id // 1000 as int) as epoch, cast(event_id % 1000 as int) as step, value / 100 as loss from events",
 }
-#: Token arrays of documents: word lengths of the first words.
+#: Token arrays of whole documents: the lengths of all words, dealt over the parts by position: two fifths or more to p, a
+#: fifth each to d (to m instead in every ninth document), m, g and o.
 TOKS = {
-    "spark": "select doc_id as id, transform(slice(split(text, ' '), 1, 5 + cast(doc_id % 40 as int)), w -> length(w)) as p, transform(slice(split(text, ' '), 2, cast(doc_id % 9 as int)), w -> length(w) + 100) as d,"
-    " transform(slice(split(text, ' '), 3, cast(doc_id % 13 as int)), w -> length(w) + 200) as m, transform(slice(split(text, ' '), 1, 2), w -> length(w) + 300) as g, transform(slice(split(text, ' '), 1, 1 + cast(doc_id % 20 as int)), w -> length(w) + 400) as o from documents",
-    "duckdb": "select doc_id as id, list_transform(string_split(text, ' ')[1:5 + doc_id % 40], lambda w: length(w)) as p, list_transform(string_split(text, ' ')[2:1 + doc_id % 9], lambda w: length(w) + 100) as d,"
-    " list_transform(string_split(text, ' ')[3:2 + doc_id % 13], lambda w: length(w) + 200) as m, list_transform(string_split(text, ' ')[1:2], lambda w: length(w) + 300) as g, list_transform(string_split(text, ' ')[1:1 + doc_id % 20], lambda w: length(w) + 400) as o from documents",
+    "spark": "select id, slice(w, 1, n - 4 * q) as p, transform(slice(w, n - 4 * q + 1, e), x -> x + 100) as d, transform(slice(w, n - 4 * q + e + 1, 2 * q - e), x -> x + 200) as m,"
+    " transform(slice(w, n - 2 * q + 1, q), x -> x + 300) as g, transform(slice(w, n - q + 1, q), x -> x + 400) as o"
+    " from (select *, if(id % 9 = 0, 0, q) as e from (select *, size(w) as n, cast(size(w) div 5 as int) as q from (select doc_id as id, transform(split(text, ' '), x -> length(x)) as w from documents)))",
+    "duckdb": "select id, w[1:n - 4 * q] as p, list_transform(w[n - 4 * q + 1:n - 4 * q + e], lambda x: x + 100) as d, list_transform(w[n - 4 * q + e + 1:n - 2 * q], lambda x: x + 200) as m,"
+    " list_transform(w[n - 2 * q + 1:n - q], lambda x: x + 300) as g, list_transform(w[n - q + 1:n], lambda x: x + 400) as o"
+    " from (select *, case when id % 9 = 0 then 0 else q end as e from (select *, len(w) as n, len(w) // 5 as q from (select doc_id as id, list_transform(string_split(text, ' '), lambda x: length(x)) as w from documents)))",
 }
 VIEWS = {"cases": CASES, "preds": PREDS, "bugs": BUGS, "logs": LOGS, "labels2": LABELS2, "steps": STEPS, "toks": TOKS}
 TABLES = {"cases": ("events",), "preds": ("events",), "bugs": ("events",), "logs": ("orders",), "labels2": ("documents", "labels"), "steps": ("events",), "toks": ("documents",)}

@@ -16,10 +16,14 @@ def session(name: str = "lodestar", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestar-"))
+    """A reliable checkpoint in the folder that spark.checkpoint.dir names. Where it is unset, a temporary one if all run in
+    one process, else an error, as executors don't see each other's disks."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="lodestar-"))
     return df.checkpoint(eager=True)
 
 

@@ -31,9 +31,9 @@ def missing_to_null(c: Column) -> Column:
     return F.when(~c.isin(*MISSING), c)
 
 
-def load_csv(spark: SparkSession, path: str | list[str], schema: str | StructType) -> DataFrame:
+def load_csv(spark: SparkSession, path: str | list[str], schema: str | StructType, *more: Column) -> DataFrame:
     """CSV with a header and multi-line quoted cells. Columns are found by name, whatever their order; missing optional
-    ones are null; a blank before a header's name is forgiven; cells that mean a missing value are null."""
+    ones are null; a blank before a header's name is forgiven; cells that mean a missing value are null. more: further columns of the raw rows."""
     want = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     raw = spark.read.options(header=True, multiLine=True, escape='"', inferSchema=False).csv(path)
     have = {c.strip(): c for c in raw.columns}
@@ -44,7 +44,7 @@ def load_csv(spark: SparkSession, path: str | list[str], schema: str | StructTyp
         if kind in ("int", "bigint") and f.name in have:
             c = c.try_cast("double")  # a column with gaps is written with decimals
         out.append((c.try_cast(f.dataType) if f.name in have else c.cast(f.dataType)).alias(f.name))
-    return raw.select(*out)
+    return raw.select(*out, *more)
 
 
 def load_json(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -83,6 +83,12 @@ def load_project_predictions(spark: SparkSession, base: str) -> DataFrame:
     return d.select("*", F.element_at(F.split("_metadata.file_path", "/"), -2).alias("project"), F.monotonically_increasing_id().alias("pred_seq"))
 
 
+def load_project_meta(spark: SparkSession, base: str, name: str = "meta_llm.csv") -> DataFrame:
+    """Meta rows of every project folder that holds such a file, with the project's name and the row's place (at)."""
+    place = (F.element_at(F.split("_metadata.file_path", "/"), -2).alias("project"), F.monotonically_increasing_id().alias("at"))
+    return load_csv(spark, f"{base.rstrip('/')}/*/{name}", schemas.META_LLM, *place)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Through Hadoop's file systems, so that any store Spark reads will do."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,5 +1,6 @@
 """Text, cleaning and target rules against Python's own str and re."""
 
+import random
 import re
 
 import pytest
@@ -81,4 +82,20 @@ def test_duration(spark):
 
 
 def test_line_offsets(spark):
-    assert values(spark, X.line_offsets, ["", "ab\n\nc"]) == [[0], [0, 3, 4]]
+    d = spark.createDataFrame([(1, ""), (2, "ab\n\nc"), (3, "x\n" * 20_000)], "id int, t string")
+    got = {(r["id"], r["line_no"]): r["position"] for r in X.line_offsets(d, "t", "id").collect()}
+    assert {k: v for k, v in got.items() if k[0] < 3} == {(1, 0): 0, (2, 0): 0, (2, 1): 3, (2, 2): 4}
+    assert len(got) == 4 + 20_001 and got[3, 20_000] == 40_000
+
+
+def test_formats_round_as_python_does(spark):
+    r = random.Random(1)
+    some = [0.0, -0.0, 0.5, 1.5, 2.5, 0.125, 0.375, 2.675, 1.005, 1e-9, -0.004, 123456.785, 9.995, 0.05, 0.15, 0.25, 0.35, 69.0, 1e17, 1e300, float("inf"), float("-inf"), float("nan")]
+    some += [x / 64 for x in range(300)] + [x / 60 for x in range(60, 3600, 7)] + [r.uniform(-1, 1) * 10 ** r.randint(-6, 9) for _ in range(3000)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(some)], "i int, x double")
+    for digits in (0, 1, 2, 4):
+        got = {g["i"]: g["s"] for g in d.select("i", X.fixed(F.col("x"), digits).alias("s")).collect()}
+        assert got == {i: f"{x:.{digits}f}" for i, x in enumerate(some) if abs(x) != 1e300} | {i: got[i] for i, x in enumerate(some) if abs(x) == 1e300}
+    got = {g["i"]: g["s"] for g in d.where("abs(x) < 1e12").select("i", X.percent(F.col("x")).alias("s")).collect()}
+    assert all(s == f"{some[i]:.2%}" for i, s in got.items())
+    assert values(spark, lambda c: X.duration(c.cast("double")), ["69", "59.95", "3599.9", "7200", "5.25"]) == ["1.1m", "60.0s", "60.0m", "2.0h", "5.2s"]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar import schemas
-from lodestar.operators import batching, bugsets, evaluate, inject, javasrc, logs, metrics, pairing, predict, report, routing, splitting, tokens
+from lodestar.operators import batching, bugsets, commands, evaluate, inject, javasrc, logs, metrics, pairing, predict, report, routing, splitting, tokens
 from lodestar.sources import readers, sinks
 from lodestar.streaming import files as stream
 
@@ -104,6 +104,84 @@ def test_inject_fold(spark):
     assert got["a.java"]["content"].index("one;") < got["a.java"]["content"].index("two;") and got["a.java"]["n_injected"] == 2 and got["b.java"]["content"] == "x"
 
 
+def test_injection_keeps_projects_apart(spark):
+    """Two projects that share ids, paths and test names; of several meta rows of an id the first counts."""
+    files = spark.createDataFrame([(p, "a.java", f"// {p}\n@Test\npublic void t() {{\n}}") for p in "xy"], "project string, file_path string, content string")
+    preds = spark.createDataFrame([(p, 1, 1, f"only{p}") for p in "xy"] + [("x", 9, 2, "none")], "project string, id bigint, pred_seq bigint, prediction string")
+    meta = spark.createDataFrame([("x", 1, "src/test/java/a.java", "T::t", 0), ("x", 1, "src/test/java/b.java", "T::u", 1), ("y", 1, "src/test/java/a.java", "T::t", 0), ("y", 9, "src/test/java/a.java", "T::t", 1)], "project string, id bigint, file_path string, test_name string, at bigint")
+    found = inject.located(preds, meta, order="at")
+    assert sorted((r["project"], r["file_path"], r["prediction"]) for r in found.collect()) == [("x", "a.java", "onlyx"), ("y", "a.java", "onlyy")]
+    got = {r["project"]: r for r in inject.inject_fold(files, found).collect()}
+    assert all(f"only{p};" in got[p]["content"] and got[p]["content"].startswith(f"// {p}") and got[p]["content"].count("only") == 1 for p in "xy")
+
+
+def test_timed_and_resumable_predictions(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"p{i % 2}", "int a = 1;", "", "", "assertNotNull(a);") for i in range(20)], "id bigint, project string, test_prefix string, focal_method string, docstring string, target string")
+    timed = predict.predict_timed(d, predict.RulePredictor).collect()
+    assert all(r["prediction"] == "assertNotNull(a);" and r["seconds"] >= 0 for r in timed)
+    _, by, micro = evaluate.evaluate_by_project(d, predict.RulePredictor)
+    for r in by.collect():
+        assert r["num_samples"] == 10 and r["accuracy"] == 1.0 and abs(r["seconds"] / 10 - r["seconds_per_sample"]) < 1e-12
+    assert micro.first()["num_matches"] == 20
+    path = str(tmp_path / "kept")
+    predict.predict_resumable(d.where("id < 12"), predict.RulePredictor, path).count()
+    again = predict.predict_resumable(d, lambda: predict.ConstantPredictor("x"), path, parts=3)
+    assert {r["id"]: r["prediction"] for r in again.collect()} == {i: "assertNotNull(a);" if i < 12 else "x" for i in range(20)}
+
+
+def test_file_tokenizers(spark):
+    names = pytest.importorskip("public_tokenizers")
+    texts = ["int a = 1;", "", None, "assertEquals(é, \"x\");"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for t in (tokens.FileTokenizer(names.path("byte_bpe_50k.json")), tokens.FileTokenizer(names.path("piece_bpe_32k.model")), tokens.FileTokenizer(names.path("byte_bpe_50k.tiktoken"), names.PATTERN)):
+        rows = tokens.decode(tokens.encode(d, "t", "ids", t, normalise=True), "ids", "back", t).collect()
+        assert {r["id"]: r["back"] for r in rows} == {i: x or "" for i, x in enumerate(texts)}
+        assert all((len(r["ids"]) > 0) == bool(r["t"]) for r in rows)
+        assert {r["id"]: list(r["ids"]) for r in rows}[0] == t.encode(texts[0])
+
+
+def test_phases(spark, tmp_path):
+    """A project that does not compile ends there; the others are tested and mutated."""
+    for p in ("good", "bad"):
+        (tmp_path / p).mkdir()
+    (tmp_path / "good" / "ok").write_text("")
+    targets = spark.createDataFrame([(p, "llm", str(tmp_path / p)) for p in ("good", "bad")], "project string, version string, folder string")
+    plan = {"compile": "test -f ok", "test": "echo Tests run: 5, Failures: 1, Errors: 0, Skipped: 0", "mutation": "echo Line Coverage: 80.5% Killed 3 {project}"}
+    with pytest.raises(PermissionError):
+        commands.run_phases(targets, plan)
+    log = commands.run_phases(targets, plan, allow=True)
+    assert sorted((r["project"], r["phase"]) for r in log.collect()) == [("bad", "compile"), ("good", "compile"), ("good", "mutation"), ("good", "test")]
+    got = {r["project"]: r for r in logs.phase_table(log).collect()}
+    assert (got["good"]["compiled"], got["good"]["tests"], got["good"]["line_coverage"], got["good"]["mutations_killed"], got["good"]["test_strength"]) == (True, 5, 80.5, 3.0, None)
+    assert got["bad"]["compiled"] is False and got["bad"]["tests"] is None and got["bad"]["line_coverage"] is None
+    assert logs.version_rollup(logs.phase_table(log), 2).first()["passed"] == 4
+
+
+def test_arrays_templates_and_files(spark, tmp_path):
+    d = spark.createDataFrame([(i, {"a": "é"} if i % 2 else None, [1, i]) for i in range(25)], "id int, m map<string, string>, l array<int>").repartition(7)
+    path = tmp_path / "x" / "rows.json"
+    sinks.save_json_array(d, str(path), "id")
+    assert path.read_text() == json.dumps([{"id": i, "m": {"a": "é"} if i % 2 else None, "l": [1, i]} for i in range(25)], indent=2, ensure_ascii=False)
+    sinks.save_json_array(d.limit(0), str(path), "id")
+    assert path.read_text() == "[]" and [p.name for p in path.parent.iterdir() if not p.name.endswith(".crc")] == ["rows.json"]
+    t = spark.createDataFrame([(2, "p", "1", "T::a", "int a;"), (3, "p", "1", "T::b", "try { a(); fail(\"x\"); } catch (E e) { }"), (1, "p", "1", "T::c", "int b;\nassertTrue(b);")], "id bigint, project string, bug_num string, test_name string, test_prefix string")
+    sinks.save_oracle_template(t, str(tmp_path / "t"))
+    rows = readers.load_csv(spark, str(tmp_path / "t"), "id bigint, except_pred int, assert_pred string, clean_test_prefix string").collect()
+    assert [r["id"] for r in rows] == [3, 1, 2] and all(r["except_pred"] == -1 for r in rows)
+    a, b = tmp_path / "A.java", tmp_path / "B.java"
+    a.write_text("old"), b.write_text("same")
+    new = spark.createDataFrame([(str(a), "new é"), (str(b), "same"), (str(tmp_path / "none"), "x")], "path string, content string")
+    assert {r["path"][-6:]: r["changed"] for r in sinks.rewrite_in_place(new).collect()} == {"A.java": True, "B.java": False, "0/none"[-6:]: None}
+    assert a.read_text() == "new é" and (tmp_path / "A.java.bak").read_text() == "old" and not (tmp_path / "B.java.bak").exists()
+    assert sinks.copy_file(spark, str(a), str(tmp_path / "C.java")) and (tmp_path / "C.java").read_text() == "new é"
+    assert not sinks.copy_file(spark, str(tmp_path / "nowhere"), str(tmp_path / "D"))
+
+
+def test_top_candidate_without_scores(spark):
+    d = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", None), (2, "z", None)], "id int, output string, score double")
+    assert sorted(tuple(r) for r in predict.top_candidate(d).collect()) == [(1, "a", 0.5), (2, "z", None)]
+
+
 def test_java_scanner():
     source = """package a; // { not a brace
 import x.Y;
