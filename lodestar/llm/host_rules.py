@@ -19,6 +19,8 @@ RULES = {
     "repeats": "100 * n_repeat_words > 20 * n_words",
     "word_length": "word_chars < 3 * n_words or word_chars > 10 * n_words",
 }
+#: The hash of the window of words w that begins at i.
+WINDOW_HASH = "xxhash64(w[i], w[i + 1], w[i + 2])"
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 #: A host has a verdict for a rule if its shrunk failure rate exceeds both.
 MIN_RATE, TIMES_MEAN = 0.25, 2.0
@@ -33,8 +35,8 @@ def words(text: Column) -> Column:
 def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "host")) -> DataFrame:
     """The columns in `keep` and the measured ones of each row; null text has no words.
 
-    A word is in a repeated window if one of the 3-word windows over it occurs twice or more in its text. Windows are
-    compared by 64-bit hashes.
+    A word is in a repeated window if one of the 3-word windows over it occurs twice or more in its text. 64-bit hashes
+    find windows that may be equal; their words decide.
     """
     d = docs.select(*keep, F.coalesce("text", F.lit("")).alias("t"))
     d = d.select(*keep, "t", words(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD)).alias("lines"))
@@ -42,11 +44,13 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "host")) -> Data
         *keep, F.size("w").cast("bigint").alias("n_words"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
         F.size("lines").cast("bigint").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        F.expr("case when size(w) >= 3 then transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) else array() end").alias("tri"),
+        F.expr(f"case when size(w) >= 3 then transform(sequence(0, size(w) - 3), i -> {WINDOW_HASH}) else array() end").alias("tri"), "w",
     )
     rest = [*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines"]
-    d = d.select(*rest, F.expr("case when size(array_distinct(tri)) < size(tri) then sort_array(transform(tri, (h, i) -> struct(h as h, i as p))) else array() end").alias("s"))
-    d = d.select(*rest, F.expr("sort_array(transform(filter(s, (e, k) -> coalesce(e.h = get(s, k - 1).h, false) or coalesce(e.h = get(s, k + 1).h, false)), e -> e.p))").alias("p"))
+    twice = "coalesce(e.{0} = get({1}, k - 1).{0}, false) or coalesce(e.{0} = get({1}, k + 1).{0}, false)"
+    d = d.select(*rest, "w", F.expr("case when size(array_distinct(tri)) < size(tri) then sort_array(transform(tri, (h, i) -> struct(h as h, i as p))) else array() end").alias("s"))
+    d = d.select(*rest, F.expr(f"sort_array(transform(filter(s, (e, k) -> {twice.format('h', 's')}), e -> struct(concat_ws(' ', w[e.p], w[e.p + 1], w[e.p + 2]) as g, e.p as p)))").alias("g"))
+    d = d.select(*rest, F.expr(f"sort_array(transform(filter(g, (e, k) -> {twice.format('g', 'g')}), e -> e.p))").alias("p"))
     return d.select(*rest, F.expr("aggregate(transform(p, (x, k) -> least(3, coalesce(get(p, k + 1) - x, 3))), 0L, (a, b) -> a + b)").alias("n_repeat_words"))
 
 
