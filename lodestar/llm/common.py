@@ -58,14 +58,14 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def join_counted(df: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
-    """Inner join with a table of one row a key, whose column n counts the key's rows in df (and is dropped): keys of more
-    than HEAVY rows, which are few, are broadcast and their rows stay where they are; the others are shuffled."""
+def join_counted(df: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """Inner or left join with a table of one row a key, whose column n counts the key's rows in df (and is dropped): keys of
+    more than HEAVY rows, which are few, are broadcast and their rows stay where they are; the others are shuffled."""
     right = cut(right)
     rare, heavy = right.where(F.col(n) <= HEAVY).drop(n), right.where(F.col(n) > HEAVY).drop(n)
     if heavy.isEmpty():
-        return df.join(rare, key)
-    return df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rare, key).unionByName(df.join(F.broadcast(heavy), key))
+        return df.join(rare, key, how)
+    return df.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rare, key, how).unionByName(df.join(F.broadcast(heavy), key))
 
 
 def pick(df: DataFrame, columns: dict[str, str], types: dict[str, str] | None = None) -> DataFrame:

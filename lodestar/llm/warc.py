@@ -21,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, shared_dir, small_batches
+from .common import cut, join_counted, pick, remove, shared_dir, small_batches
 
 SKIPPABLE_MAGIC = 0x184D2A5D
 #: Uncompressed bytes of records after which an archive is closed; bytes of records that train a dictionary, and its size.
 ARCHIVE_BYTES, TRAIN_BYTES, DICT_BYTES = 16 << 20, 2 << 20, 32 << 10
+#: Long records are sampled in pieces of so many bytes.
+PIECE_BYTES = 16 << 10
 LEVEL, DATE = 3, "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
@@ -68,15 +70,14 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 def train(records: list[bytes]):
-    """A dictionary from the first TRAIN_BYTES of records; the records themselves as raw content where there are too few to train."""
+    """A dictionary from pieces of records, spread evenly over all of them, TRAIN_BYTES in all at most; the pieces themselves
+    as raw content where there are too few to train."""
     import zstandard
 
-    some, size = [], 0
-    for r in records:
-        if size >= TRAIN_BYTES:
-            break
-        some.append(r[: 128 << 10])  # one very long record may not crowd out the others
-        size += len(some[-1])
+    every = max(1, -(-sum(map(len, records)) // TRAIN_BYTES))  # one piece of so many
+    pieces = (r[lo : lo + PIECE_BYTES] for r in records for lo in range(0, max(1, len(r)), PIECE_BYTES))
+    some = [p for i, p in enumerate(pieces) if i % every == 0]
+    size = sum(map(len, some))
     if len(some) >= 16:
         try:
             return zstandard.train_dictionary(min(DICT_BYTES, max(1024, size // 16)), some, k=256, d=8, f=18, accel=4, level=LEVEL)
@@ -118,16 +119,17 @@ def read_archive(stream) -> Iterator[bytes]:
 def with_types(df: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to. Digests alone are grouped; the pages join their digest's smallest page_id."""
     d = df.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    firsts = d.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = d.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return d.join(firsts, "digest", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    return join_counted(d, firsts, "digest", "n", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
 
 def write_archives(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """Write a record for each row into archives under `folder` (a URI that executors and driver share); returns one row
     per archive: path, records, bytes, raw_bytes.
 
-    Null html is an empty payload; null urls have no target header. Among equal payloads of at least min_bytes that with
+    Null html is an empty payload; null urls have no target header; characters that a header can't hold are percent-encoded
+    in the others, and are read back so. Among equal payloads of at least min_bytes that with
     the smallest id is the response; rows that repeat its id and payload are responses too, null ids revisit it (all are
     responses where every id is null). Empty tables write nothing. Further columns are not read.
     """
@@ -208,5 +210,8 @@ def archive_folder(df: DataFrame) -> str:
 
 
 def round_trip(df: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write, then read back without payloads."""
-    return read_archives(write_archives(df, archive_folder(df), min_bytes=min_bytes), df.schema["page_id"].dataType.simpleString(), payloads=False)
+    """Write, then read back without payloads; what was read is kept by a checkpoint, and the archives go."""
+    folder = archive_folder(df)
+    out = cut(read_archives(write_archives(df, folder, min_bytes=min_bytes), df.schema["page_id"].dataType.simpleString(), payloads=False))
+    remove(df.sparkSession, folder)
+    return out
