@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.pairing import with_row_index
 from .common import WORD, aliased, cut, pick, restored
 
 WEIGHTS, SHARE, MOST, SEED = (5, 2, 1), 1.5, 2, "mix-1"
@@ -24,28 +25,33 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     """Per source (columns s_null, s): source_size, target. Sources take the repeating weights in code point order, null last.
 
     Targets share `share` times all sizes by weight; those above `most` times their source's size stop there and the
-    excess goes to the rest by weight. That is target = min(cap, weight * level) with one level for all, found by one
-    pass over the sources sorted by cap / weight. Works on one row per source.
+    excess goes to the rest by weight. That is target = min(cap, weight * level) with one level for all: what the sources
+    below their caps share of what the others leave, found by rounds of one sum over all sources in which those that the
+    level lifts to their cap stop there. A level only rises, so a round that stops none is the last; it is the level of
+    the sources sorted by cap / weight. Works on one row per source, however many: they are numbered over ranges.
     """
-    per = sizes.groupBy("s_null", "s").agg(F.sum("size").alias("source_size"))
-    k = F.row_number().over(Window.orderBy("s_null", "s")) - 1
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(k, F.lit(len(weights))) + 1).cast("int")))
-    per = per.withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "s_null", "s")
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    onward = F.sum("weight").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("at", (F.sum("source_size").over(everything) * F.lit(float(share)) - before) / onward)
-    level = F.min(F.when(F.col("at") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "s_null", "s", "at"))).over(everything)["at"]
-    return per.withColumn("level", level).select("s_null", "s", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    per = with_row_index(sizes.groupBy("s_null", "s").agg(F.sum("size").alias("source_size")), "s_null", "s", name="k")
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("k", F.lit(len(weights))) + 1).cast("int")))
+    per = cut(per.withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    everything = float(per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share
+    level, stopped = 0.0, -1
+    while True:
+        at_cap = F.col("cap") < F.lit(level) * F.col("weight")
+        r = per.agg(F.sum(F.when(at_cap, 1).otherwise(0)).alias("n"), F.sum(F.when(at_cap, F.col("cap")).otherwise(0.0)).alias("caps"), F.sum(F.when(at_cap, 0.0).otherwise(F.col("weight"))).alias("rest")).first()
+        if not r["rest"]:  # all stop at their caps, or there are none
+            level = float("inf")
+            break
+        if r["n"] == stopped:
+            break
+        level, stopped = (everything - r["caps"]) / r["rest"], r["n"]
+    return per.select("s_null", "s", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """Per row: id, size (words), source_size, target, taken (words the mix takes, repeats counted), epochs (whole passes).
 
-    Null text has size 0. Null sources form one source, last in order. The key is a hash of seed and id (null ids as an
-    id of their own); rows with equal ids are ordered by size, so equal rows are interchangeable and reruns agree.
-    Empty tables give empty results; further columns are not read.
+    Null text has size 0. Null sources form one source, last in order. The key is a hash of seed, id (null ids as an id of
+    their own) and size; rows with equal ids and sizes are interchangeable, so reruns agree. Empty tables give empty results; further columns are not read.
     """
     d = cut(sized(pick(df, {"doc_id": id_col, "source": source_col, "text": text_col}), seed))
     d = dealt(d, weights, share, most)
@@ -53,11 +59,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def sized(d: DataFrame, seed: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    return d.select(
+    d = d.select(
         *keep, "doc_id", F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint").alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"),
     )
+    return d.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("size").cast("string")).cast("binary")))
 
 
 def dealt(d: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
@@ -100,7 +106,7 @@ def oracle_sql() -> str:
     case = " ".join(f"when {i} then {float(w)}" for i, w in enumerate(WEIGHTS))
     return rf"""
 with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
-             md5(concat('{SEED}:', coalesce(cast(doc_id as varchar), 'null'))) as key from documents),
+             md5(concat('{SEED}:', coalesce(cast(doc_id as varchar), 'null'), ':', cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as varchar))) as key from documents),
 per as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as k from d group by source),
 c as (select source, source_size, source_size * {float(MOST)}::double as cap, (case k % {len(WEIGHTS)} {case} end)::double as weight from per),
 a as (select *, (sum(source_size) over () * {SHARE}::double - coalesce(sum(cap) over (order by cap / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))

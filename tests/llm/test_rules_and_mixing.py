@@ -39,6 +39,13 @@ def test_measures(spark):
     assert not any(r["kept"] for r in got[:12])
 
 
+def test_equal_hashes_are_not_equal_windows(spark, monkeypatch):
+    monkeypatch.setattr(host_rules, "WINDOW_HASH", "cast(length(w[i]) as bigint)")
+    d = spark.createDataFrame([(i, t, None) for i, t in enumerate([*TEXTS, "a b c d e f a b c x y z d e f", "a b " * 30 + "c d"])], "doc_id bigint, text string, source string")
+    got = host_rules.apply_host_rules(d).orderBy("doc_id").collect()
+    assert [r["n_repeat_words"] for r in got] == [measures(t)[4] for t in [*TEXTS, "a b c d e f a b c x y z d e f", "a b " * 30 + "c d"]]
+
+
 def test_host_verdicts_and_clean_documents(spark):
     good = " ".join(f"word{i}" for i in range(60))
     bad = good + " ###### %%%%%%"
@@ -91,6 +98,23 @@ def test_mix_edges(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[10**k for k in range(9)] * 4, [5], [0, 0], [0, 7, 0], list(range(1, 80)), [1000] + [1] * 50])
+def test_targets_of_many_sources(spark, sizes):
+    d = spark.createDataFrame([(False, f"s{i:03d}", n) for i, n in enumerate(sizes)], "s_null boolean, s string, size bigint")
+    got = {r["s"]: r["target"] for r in mixing.source_targets(d).collect()}
+    want = level_targets({f"s{i:03d}": n for i, n in enumerate(sizes)})
+    assert all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want) and len(got) == len(sizes)
+
+
+def test_a_shared_id_is_spread(spark):
+    """Rows of one id, null or not, are dealt over slices, and the budget is cut as exactly."""
+    d = spark.createDataFrame([(None if i % 2 else 5, "w " * (1 + i % 97), "a" if i % 3 else "b") for i in range(2000)], "doc_id bigint, text string, source string")
+    keys = mixing.sized(d, "x").selectExpr("substring(key, 1, 3) as slice").groupBy("slice").count()
+    assert max(r["count"] for r in keys.collect()) < 100
+    total = sum(1 + i % 97 for i in range(2000))
+    assert abs(sum(r["taken"] for r in mixing.mix(d).collect()) - 1.5 * total) <= 2
+
+
 def test_repeated_documents_follow_the_mix(spark):
     d = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(300)], "doc_id bigint, text string, source string").withColumn("key", F.lit("clash"))
     times = Counter(r["doc_id"] for r in mixing.repeat_documents(d).collect())
