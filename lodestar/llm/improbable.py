@@ -13,12 +13,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, TimestampNTZType, TimestampType
 
 from .common import arrow_schema, pick, small_batches
 
@@ -183,41 +185,62 @@ def _long_features(group: list[bytes]) -> list[np.ndarray]:
     return [*out, h if len(h) else _whole(b)]
 
 
+def ordinal(d: DataFrame) -> Column:
+    """A double that ascends with doc_id, if not strictly: numbers as they are, other ids by the first six bytes of their
+    text; null ids are least. Fractions and dates are ordered as numbers."""
+    kind = d.schema["doc_id"].dataType
+    if isinstance(kind, NumericType):
+        x = F.col("doc_id").cast("double")
+    elif isinstance(kind, DateType):
+        x = F.unix_date("doc_id").cast("double")
+    elif isinstance(kind, (TimestampType, TimestampNTZType)):
+        x = F.col("doc_id").cast("timestamp").cast("double")
+    else:
+        x = F.conv(F.rpad(F.hex(F.substring(F.col("doc_id").cast("string").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.coalesce(x, F.lit(-1.7e308))
+
+
 def with_buckets(d: DataFrame, buckets: int) -> DataFrame:
-    """Deal rows over `buckets` ranges of doc_id; the first rows of each range also go to the range before (`ahead`), the very first to the last."""
+    """Deal rows over some `buckets` ranges of (doc_id, h), h a hash of the text; the first row of each range also goes to
+    the range before (`ahead`), the very first to the last. An id that fills several ranges is cut by h."""
     from pyspark.ml.feature import Bucketizer
 
-    d = d.withColumn("x", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.7e308)))
-    cuts = sorted(set(d.approxQuantile("x", [k / buckets for k in range(1, buckets)], 0.2 / buckets))) if buckets > 1 else []
-    cuts = [c for c in cuts if c > -1.7e308] or [0.0]  # it wants one cut at least
+    d = d.withColumn("x", ordinal(d)).withColumn("h", F.xxhash64("text"))
+    found = Counter(d.approxQuantile("x", [k / buckets for k in range(1, buckets)], 0.2 / buckets) if buckets > 1 else [])
+    cuts = sorted(found) or [0.0]  # it wants one cut at least
     d = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="x", outputCol="b").transform(d)
-    d = d.withColumn("b", F.col("b").cast("int"))
-    firsts = {r["b"]: r["x"] for r in d.groupBy("b").agg(F.min("x").alias("x")).collect()}  # one row a range
-    used = sorted(firsts)
-    if not used:
-        return d.select("doc_id", "text", F.lit(0).alias("b"), F.lit(False).alias("ahead"))
-    span = range(used[-1] + 1)
-    mins = F.array(*[F.lit(firsts.get(b, 0.0)) for b in span])
-    prev = F.array(*[F.lit(used[used.index(b) - 1] if b in firsts else 0) for b in span])
+    # a cut found k times is an id with rows for k ranges; it stands at the beginning of its own
+    wide = [(x, k) for x, k in found.items() if k > 1]
+    if wide:
+        d = d.join(F.broadcast(d.sparkSession.createDataFrame(wide, "x double, k int")), "x", "left")
+        part = F.least(F.col("k") - 1, F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * F.col("k")))
+        d = d.withColumn("b", F.col("b").cast("bigint") * buckets + F.coalesce(part, F.lit(buckets - 1).cast("bigint")))
+    else:
+        d = d.withColumn("b", F.col("b").cast("bigint"))
+    ranges = d.groupBy("b").agg(F.min(F.struct("x", "doc_id", "h")).alias("first"))  # one row a range, so are these windows
+    last = F.max("b").over(Window.partitionBy())
+    ranges = ranges.select("b", "first", F.coalesce(F.lag("b").over(Window.orderBy("b")), last).alias("prev"))
     here = F.struct(F.col("b").alias("b"), F.lit(False).alias("ahead"))
-    back = F.struct(F.element_at(prev, F.col("b") + 1).alias("b"), F.lit(True).alias("ahead"))
-    to = F.when(F.col("x") == F.element_at(mins, F.col("b") + 1), F.array(here, back)).otherwise(F.array(here))
-    return d.select("doc_id", "text", F.explode(to).alias("to")).select("doc_id", "text", "to.b", "to.ahead")
+    back = F.struct(F.col("prev").alias("b"), F.lit(True).alias("ahead"))
+    first = F.struct("x", "doc_id", "h").eqNullSafe(F.col("first"))
+    d = d.join(F.broadcast(ranges), "b").select("doc_id", "text", "h", F.explode(F.when(first, F.array(here, back)).otherwise(F.array(here))).alias("to"))
+    return d.select("doc_id", "text", "h", "to.b", "to.ahead")
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Null text counts as empty (an empty fingerprint; two of them are alike, 1.0). Ids are numbers; null ids stand before
-    all others. Rows with equal ids follow each other in order of their texts, so reruns agree; equal rows are each
-    other's next. Of one row, it is its own next. Empty tables give empty results; further columns are not read.
-    One shuffle of the texts, dealt by ranges of ids; the range heads are sent twice, nothing else is.
+    Null text counts as empty (an empty fingerprint; two of them are alike, 1.0). Ids are of any type with an order; null
+    ids stand before all others. Rows with equal ids follow each other in order of a hash of their texts (then of the
+    texts), so reruns agree; equal rows are each other's next. Of one row, it is its own next. Empty tables give empty
+    results; further columns are not read. One shuffle of the texts, dealt by ranges of ids; the range heads are sent
+    twice, nothing else is.
     """
     spark = df.sparkSession
     small_batches(spark)
     d = pick(df, {"doc_id": id_col, "text": text_col}).withColumn("text", F.coalesce("text", F.lit("")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = with_buckets(d, 4 * parts).repartition("b").sortWithinPartitions("b", "ahead", "doc_id", "text")
+    d = with_buckets(d, 4 * parts).repartition("b").sortWithinPartitions("b", "ahead", "doc_id", "h", "text")
     schema = arrow_schema(d, ["doc_id"], [("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,5 +1,6 @@
 """SimHash classes, near copies and improbable-feature digests against brute force."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -313,11 +314,84 @@ def test_features(monkeypatch):
     assert [list(map(int, h)) for h in improbable.grouped_features(raws)] == want
 
 
+def text_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_chain(text):
+    """The number of features, and the bits set in each filter of the chain."""
+    h = brute_features(text.encode())
+    return len(h), [{(x >> 11 * k) & 2047 for x in h[lo : lo + 160] for k in range(5)} for lo in range(0, len(h), 160)]
+
+
+def brute_likeness(a, b):
+    a, b = sorted((a, b), key=len)
+    if not a:
+        return float(not b)
+    best = []
+    for x in a:
+        each = []
+        for y in b:
+            chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+            each.append((len(x & y) - chance) / (most - chance) if most > chance else float(len(x & y) == most))
+        best.append(min(1.0, max(0.0, max(each))))
+    return sum(best) / len(best)
+
+
+def bits_of(digest):
+    n, _, code = digest.partition(":")
+    raw = base64.b64decode(code)
+    return int(n), [{8 * i + j for i, byte in enumerate(raw[lo : lo + 256]) for j in range(8) if byte >> (7 - j) & 1} for lo in range(0, len(raw), 256)]
+
+
+def test_fingerprints_and_likeness_of_the_tables(spark, sf, tmp_path):
+    """The query's whole result, over the table's shorter texts, a copy, and texts without a window."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect() if len(r["text"] or "") < 9000][:60]
+    rows += [(10**6, rows[3][1]), (10**6 + 1, rows[3][1]), (10**6 + 2, ""), (10**6 + 3, None), (10**6 + 4, "a" * 90)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op5_improbable_features(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    chains = [brute_chain(t or "") for _, t in rows]
+    assert any(len(c) > 1 for _, c in chains)
+    for i, (doc, text) in enumerate(rows):
+        text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
+        n = len(text) // 2
+        edited = text[: len(text) - n] + following[:n]
+        r, other = got[doc], brute_chain(edited)
+        assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert bits_of(r["fingerprint"]) == chains[i] and bits_of(r["edited_fingerprint"]) == other
+        assert abs(r["near_edited"] - brute_likeness(chains[i][1], other[1])) < 1e-9
+        assert abs(r["near_next"] - brute_likeness(chains[i][1], chains[(i + 1) % len(rows)][1])) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["string", "bigint", "decimal(20,2)", "date", "timestamp"])
+def test_order_of_any_ids(spark, kind):
+    """Each text's next is the next in order of ids, whatever their type, also where one id fills many ranges."""
+    ids = {"string": ["", "a", "a1", "b", "é", "zebra", "zebra2", None], "bigint": [-5, 0, 3, 2**62, 2**62 + 1, None], "decimal(20,2)": ["-1.50", "0.00", "0.01", None], "date": ["1999-01-01", "2020-02-03", None], "timestamp": ["1999-01-01 00:00:00", "2020-02-03 00:00:01", None]}[kind]
+    r = random.Random(3)
+    rows = [(str(i) if i is not None else None, f"text {k} " + "x" * r.randint(0, 9)) for k, i in enumerate(r.choices(ids, k=150))] + [(str(ids[0]), f"hot {k}") for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    seen = [(x["s"], x["text"]) for x in d.withColumn("s", F.col("doc_id").cast("string")).withColumn("h", F.xxhash64("text")).orderBy("doc_id", "h").collect()]
+    got = collections.Counter((str(x["s"]), x["edited_sha256"]) for x in improbable.fingerprint_edits(d.repartition(4)).withColumn("s", F.col("doc_id").cast("string")).collect())
+    want = collections.Counter()
+    for i, (s, t) in enumerate(seen):
+        n = len(t) // 2
+        want[str(s), hashlib.sha256((t[: len(t) - n] + seen[(i + 1) % len(seen)][1][:n]).encode()).hexdigest()] += 1
+    assert got == want
+
+
+def test_a_shared_id_is_cut_into_ranges(spark):
+    d = spark.createDataFrame([(None if k % 3 else k, f"t{k}") for k in range(3000)], "doc_id bigint, text string")
+    sizes = [x["count"] for x in improbable.with_buckets(d, 16).groupBy("b").count().collect()]
+    assert sum(sizes) == 3000 + len(sizes) and max(sizes) < 600
+
+
 def test_improbable_edges(spark):
     rows = [(5, "b" * 10 + " some words that are here, and others."), (1, "abc"), (1, "abd"), (None, "n"), (9, None), (7, ""), (3, "p q " * 9000)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_chars", F.lit("clash")).repartition(3)
     got = {(str(r["doc_id"]), r["n_chars"], r["edited_sha256"]): r for r in improbable.fingerprint_edits(d).collect()}
-    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, text_hash(x[1] or "")))
     want = set()
     for i, (k, t) in enumerate(order):
         t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
