@@ -46,10 +46,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder, of `parts` files at most where that is said: by a caller
+    that knows how many rows there may be, as many partitions of a few rows cost a file each."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -60,8 +61,8 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def join_counted(df: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
     """Inner or left join with a table of one row a key, whose column n counts the key's rows in df (and is dropped): keys of
-    more than HEAVY rows, which are few, are broadcast and their rows stay where they are; the others are shuffled."""
-    right = cut(right)
+    more than HEAVY rows, which are few, are broadcast and their rows stay where they are; the others are shuffled. right is
+    computed twice, so it should be cheap."""
     rare, heavy = right.where(F.col(n) <= HEAVY).drop(n), right.where(F.col(n) > HEAVY).drop(n)
     if heavy.isEmpty():
         return df.join(rare, key, how)

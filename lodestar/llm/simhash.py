@@ -28,6 +28,8 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 LARGE_GROUP, LEVELS = 4096, 3
 #: Rows that the linking step takes together.
 LINK_ROWS = 200_000
+#: Tables of links and classes have a partition for so many nodes, and LEAST_PARTS at least.
+PART_NODES, LEAST_PARTS = 50_000, 8
 _BLOCK = 1 << 16
 
 
@@ -254,11 +256,11 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, "u bigint, v bigint")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None, rounds: int = 50) -> DataFrame:
     """Connected components by alternating large and small stars: rows (node, root), root the least node; nodes without an
     edge are absent. Joins are by node; adaptive execution splits those of a node with very many neighbours."""
     small_batches(edges.sparkSession)
-    e = cut(forest(edges).distinct())
+    e = cut(forest(edges).distinct(), parts)
     for _ in range(rounds):
         # done when all edges lead to roots, and each node has one
         ends = e.select(F.col("u").alias("k"), F.lit(1).alias("down")).unionByName(e.select(F.col("v").alias("k"), F.lit(0).alias("down")))
@@ -270,14 +272,14 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         # small star: every node hands its lesser neighbours, and itself, to the least of them
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         hand = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(hand.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(hand.unionByName(small_low.select("u", F.col("m").alias("v"))).distinct(), parts)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id from rows (doc_id, fp): the least doc_id that links of `radius` bits or fewer reach."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    comp = components(near_links(distinct.select("fp"), radius))
+    comp = components(near_links(distinct.select("fp"), radius), max(LEAST_PARTS, distinct.count() // PART_NODES))
     roots = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
     found = join_counted(roots, least, "root", "m").select("fp", "component_id", "n")
@@ -492,13 +494,13 @@ def may_be_similar(a: bytes, b: bytes, na: int, nb: int, least: float) -> bool:
     return bool(np.minimum(x, y).sum() >= least / (1 + least) * (na + nb) - 1e-6)
 
 
-def similar(pairs: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
+def similar(pairs: DataFrame, df: DataFrame, k: int, least: float, parts: int | None = None) -> DataFrame:
     """The pairs whose texts' shingle sets have at least that Jaccard similarity. Counts by cell, a byte for two shingles or
     less, leave few pairs; the shingles of these are compared. Only texts of pairs are shingled."""
 
     def joined(pairs: DataFrame, describe: Callable[[np.ndarray], bytes]) -> DataFrame:
         """u, v, and for each of them n (its shingles) and what it is described by: columns na, a, nb, b."""
-        ids = cut(pairs.select(F.col("u").alias("_i")).unionByName(pairs.select(F.col("v").alias("_i"))).distinct())
+        ids = pairs.select(F.col("u").alias("_i")).unionByName(pairs.select(F.col("v").alias("_i"))).distinct()
 
         def make():
             def run(texts):
@@ -526,7 +528,7 @@ def similar(pairs: DataFrame, df: DataFrame, k: int, least: float) -> DataFrame:
         total = len(p) + len(q) - both
         return total == 0 or both >= least * total
 
-    some = cut(kept(joined(pairs, fine_cells), lambda r: may_be_similar(r[1], r[3], r[0], r[2], least)))
+    some = cut(kept(joined(pairs, fine_cells), lambda r: may_be_similar(r[1], r[3], r[0], r[2], least)), parts)
     return kept(joined(some, np.ndarray.tobytes), shared)
 
 
@@ -673,7 +675,7 @@ def prefix_pairs(lists: DataFrame, sketches: DataFrame, least: float) -> DataFra
 
 
 def with_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
-    """Semi- or anti-join with a stored set of ids (column _i): broadcast while it is small, else shuffled by id."""
+    """Semi- or anti-join with a set of ids (column _i) that is cheap to compute: broadcast while it is small, else shuffled by id."""
     right = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
     return df.join(right, F.col(id_col) == F.col("_i"), how)
 
@@ -694,16 +696,17 @@ def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"f{j}" for j in range(WIDE_WORDS)]
     nodes = cut(prints.groupBy("same").agg(F.min("doc_id").cast("bigint").alias("node"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in ("cells", *names)]))
     n = nodes.count()
-    links = cut(similar(cut(wide_pairs(nodes.select("node", *names), n, radius)), d, k, least))
-    comp = components(links)
+    parts = max(LEAST_PARTS, n // PART_NODES)
+    links = cut(similar(cut(wide_pairs(nodes.select("node", *names), n, radius), parts), d, k, least, parts), parts)
+    comp = components(links, parts)
     known = nodes.select("node").distinct().join(comp.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
-    roots = cut(known.select("node", F.coalesce("root", "node").alias("root")))
+    roots = cut(known.select("node", F.coalesce("root", "node").alias("root")), parts)
     lists = cut(prefix_lists(roots, n, d, k, least))
-    more = cut(similar(cut(prefix_pairs(lists, nodes.groupBy("node").agg(F.first("cells").alias("cells")), least)), d, k, least))
+    more = cut(similar(cut(prefix_pairs(lists, nodes.groupBy("node").agg(F.first("cells").alias("cells")), least), parts), d, k, least, parts), parts)
     if not more.isEmpty():  # what is linked now are classes
         by = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("u", "v"))
-        again = components(more.join(next(by), "u").join(next(by), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")))
-        roots = cut(roots.join(again.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root")))
+        again = components(more.join(next(by), "u").join(next(by), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v")), parts)
+        roots = cut(roots.join(again.select(F.col("node").alias("root"), F.col("root").alias("_r")), "root", "left").select("node", F.coalesce("_r", "root").alias("root")), parts)
     found = nodes.select("same", "node", "n").join(roots, "node").select("same", F.col("root").alias("component_id"), "n")
     return join_counted(prints.select("doc_id", "same"), found, "same", "n").select(F.col("doc_id").alias(id_col), "component_id")
 
@@ -711,11 +714,12 @@ def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of df without those whose id isn't the least of its class; rows with null ids stay. Of rows that repeat a kept
     id one stays: these ids are found among ids alone, and only their rows are compared."""
-    gone = cut(classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_i")).distinct())
-    twice = cut(classes.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_i")))
+    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_i")).distinct()
+    twice = classes.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_i"))
     kept = with_ids(df, gone, id_col, "left_anti")
     if twice.isEmpty():
         return kept
+    twice = cut(twice)
     first = Window.partitionBy(id_col).orderBy(F.xxhash64(*df.columns))
     repeats = with_ids(kept, twice, id_col, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return with_ids(kept, twice, id_col, "left_anti").unionByName(repeats)

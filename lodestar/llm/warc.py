@@ -119,7 +119,7 @@ def read_archive(stream) -> Iterator[bytes]:
 def with_types(df: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html and refers_to. Digests alone are grouped; the pages join their digest's smallest page_id."""
     d = df.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    firsts = d.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = cut(d.where(F.octet_length("html") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
     refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     return join_counted(d, firsts, "digest", "n", "left").select("page_id", "url", "html", refers.alias("refers_to"))
 
