@@ -11,26 +11,31 @@ their leading bits. A block's counts are summed over all chunks and handed back,
 a chunk's sums meet its tokens again, its texts are scored. So what is shuffled grows with the corpus, a few bytes a
 token; memory is that of a chunk or a block.
 
+Texts are read twice, for counts and for tokens, and chunks are named alike in both reads, by their place and a digest of
+their texts: a task that runs again makes the same ones, and tokens without their own sums are an error, not a score.
+
 A document's score is the mean over its tokens (its end is one) of the target's loss less the background's, in nats: the
 lower, the more it reads like the target.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, pick, remove, shared_dir, small_batches
+from .common import arrow_schema, cut, pick, small_batches
 
 #: Weight, in tokens, that the single words' share has in each pair's estimate.
 MU = 1.0
 #: Tokens of a chunk, at least, where a task has as many; bytes of text for each block of codes, and the least blocks.
-CHUNK_TOKENS, BLOCK_BYTES, MIN_BLOCKS = 4_000_000, 8 << 20, 256
+CHUNK_TOKENS, BLOCK_BYTES, MIN_BLOCKS = 1_500_000, 8 << 20, 256
+#: Tokens whose losses are worked out at once.
+STEP = 1 << 18
 #: Up to so many ids (8 bytes each) the target's ids are broadcast; beyond, the texts are shuffled to meet them.
 BROADCAST_IDS = 1 << 20
 BOUNDARY, SEED = b"\n", 0x10AD
@@ -89,48 +94,65 @@ def steps(now: np.ndarray, sizes: np.ndarray, boundary: int) -> tuple[np.ndarray
 
 def distinct_pairs(before: np.ndarray, now: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The codes of the distinct pairs, ascending, and which of them each token's pair is. codes: of the words."""
-    pairs, at = np.unique(before.astype(np.int64) * len(codes) + now, return_inverse=True)
+    key = before.astype(np.int64) * len(codes) + now
+    by = np.argsort(key, kind="stable").astype(np.int32 if len(key) < 1 << 31 else np.int64)
+    key = key[by]
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
+    pairs = key[new]
+    del key
     code = pair_codes(codes[pairs // len(codes)], codes[pairs % len(codes)])
     order = np.argsort(code, kind="stable")
-    place = np.empty(len(order), dtype=np.int64)
-    place[order] = np.arange(len(order))
-    return code[order], place[at]
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    at = np.empty(len(by), dtype=np.int32)
+    at[by] = place[np.cumsum(new, dtype=np.int32) - 1]
+    return code[order], at
 
 
 class Chunk:
-    """Texts on their way to blocks: their word numbers, ids, and the sides that count them."""
+    """Texts that are counted together: their word numbers, ids, and the sides that count them."""
 
     def __init__(self):
         self.words = Vocabulary({BOUNDARY: 0})
         self.numbers: list[np.ndarray] = []
         self.ids, self.sizes, self.sides = [], [], []
+        self.digest = hashlib.blake2b(digest_size=12)
         self.n = 0
 
     def add(self, doc_id, text: str | None, target: bool, background: bool) -> None:
+        raw = (text or "").encode()
+        self.digest.update(len(raw).to_bytes(8, "little") + raw)
         ws = tokens(text)
-        self.numbers.append(np.fromiter(map(self.words.__getitem__, ws), dtype=np.int32, count=len(ws)))
+        self.numbers.append(np.fromiter(map(self.words.__getitem__, ws), dtype=np.uint32, count=len(ws)))
         self.ids.append(doc_id)
         self.sizes.append(len(ws))
         self.sides.append((bool(background), bool(target)))
         self.n += len(ws) + 1
 
-    def rows(self, blocks: int) -> Iterator[tuple]:
-        """(block, words, pairs, ids, sizes): first what puts the texts together again, as block -1, then counts by block."""
+    def sorted(self) -> tuple[np.ndarray, np.ndarray, int]:
+        """The codes of the words, ascending; the words of all texts as places among these; the boundary's place."""
         from xxhash import xxh64_intdigest
 
         code = np.fromiter((xxh64_intdigest(w, SEED) for w in self.words), dtype=np.uint64, count=len(self.words))
         order = np.argsort(code, kind="stable")
         place = np.empty(len(order), dtype=np.uint32)
         place[order] = np.arange(len(order), dtype=np.uint32)
-        code = code[order]
-        sizes = np.array(self.sizes, dtype=np.int64)
-        flat = place[np.concatenate(self.numbers)]
-        boundary = int(place[0])
+        return code[order], place[np.concatenate(self.numbers)], int(place[0])
+
+    def whole(self) -> Iterator[tuple]:
+        """What puts the texts together again, as block -1: (block, words, pairs, ids, sizes)."""
+        code, flat, boundary = self.sorted()
         yield -1, planes(np.diff(code, prepend=np.uint64(0))) + boundary.to_bytes(8, "little"), planes(flat), self.ids, self.sizes
+
+    def counts(self, blocks: int) -> Iterator[tuple]:
+        """The same columns with the counts of each block's codes."""
+        code, flat, boundary = self.sorted()
+        sizes = np.array(self.sizes, dtype=np.int64)
         some = sizes > 0
         before, now = steps(flat, sizes[some], boundary)
         sides = np.repeat(np.array(self.sides, dtype=bool).reshape(-1, 2)[some], sizes[some] + 1, axis=0)
         pair, at = distinct_pairs(before, now, code)
+        del before, flat
         packed = []
         for codes, of in ((code, now), (pair, at)):
             n = [np.bincount(of[sides[:, s]], minlength=len(codes)).astype(np.uint32) for s in (0, 1)]
@@ -141,23 +163,29 @@ class Chunk:
                 yield b, w, p, None, None
 
 
-def count_chunks(d: DataFrame, blocks: int, path: str) -> None:
-    """Write the chunks of rows (doc_id, text, target, background) to `path`: whole=true holds their tokens, whole=false
-    their counts. A chunk's name is drawn where it is made, so the table, once written, is what counts."""
+def chunks(d: DataFrame, describe: Callable[[Chunk], Iterator[tuple]]) -> DataFrame:
+    """Rows (chunk, block, words, pairs, ids, sizes) that describe each chunk of rows (doc_id, text, target, background)."""
     id_type = d.schema["doc_id"].dataType.simpleString()
     ids = arrow_schema(d, ["doc_id"], []).field(0).type
-    schema = pa.schema([("chunk", pa.string()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("ids", pa.list_(ids)), ("sizes", pa.list_(pa.int64())), ("whole", pa.bool_())])
+    schema = pa.schema([("chunk", pa.string()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("ids", pa.list_(ids)), ("sizes", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, n = TaskContext.get().partitionId(), 0
+
+        def packed(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
         def done(c: Chunk) -> Iterator[pa.RecordBatch]:
-            name, held = uuid.uuid4().hex, []
-            for block, w, p, i, s in c.rows(blocks):
-                held.append((name, block, w, p, i, s, block < 0))
-                if block < 0 or len(held) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            name, held = f"{part}-{n}-{c.digest.hexdigest()}", []
+            for row in describe(c):
+                held.append((name, *row))
+                if len(held) == 256:
+                    yield packed(held)
                     held = []
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                yield packed(held)
 
         chunk = Chunk()
         for b in batches:
@@ -165,12 +193,11 @@ def count_chunks(d: DataFrame, blocks: int, path: str) -> None:
                 chunk.add(*row)
                 if chunk.n >= CHUNK_TOKENS:
                     yield from done(chunk)
-                    chunk = Chunk()
+                    chunk, n = Chunk(), n + 1
         if chunk.ids:
             yield from done(chunk)
 
-    ddl = f"chunk string, block bigint, words binary, pairs binary, ids array<{id_type}>, sizes array<bigint>, whole boolean"
-    d.select("doc_id", "text", "target", "background").mapInArrow(run, ddl).write.partitionBy("whole").option("compression", "none").parquet(path)
+    return d.select("doc_id", "text", "target", "background").mapInArrow(run, f"chunk string, block bigint, words binary, pairs binary, ids array<{id_type}>, sizes array<bigint>")
 
 
 def sum_blocks(parts: DataFrame) -> DataFrame:
@@ -221,14 +248,21 @@ def sum_blocks(parts: DataFrame) -> DataFrame:
 def losses(sizes: np.ndarray, flat: np.ndarray, code: np.ndarray, boundary: int, word_n: list[np.ndarray], pair_n: list[np.ndarray], v: int, n: list[int]) -> np.ndarray:
     """[2, texts]: the mean loss a token of each text under the background and the target model; texts have words."""
     before, now = steps(flat, sizes, boundary)
-    _, at = distinct_pairs(before, now, code)
-    starts = np.cumsum(sizes + 1) - (sizes + 1)
-    out = []
-    for s in (0, 1):
-        share = (word_n[s] + 1.0) / (n[s] + v + 1)
-        p = (pair_n[s][at] + MU * share[now]) / (word_n[s][before] + MU)
-        out.append(np.add.reduceat(-np.log(p), starts) / (sizes + 1))
-    return np.stack(out)
+    pairs, at = distinct_pairs(before, now, code)
+    if len(pair_n[0]) != len(pairs) or len(word_n[0]) != len(code):
+        raise ValueError("a chunk's sums are not those of its tokens: its input changed between two reads")
+    ends = np.cumsum(sizes + 1)
+    out, lo = np.empty((2, len(sizes))), 0
+    while lo < len(sizes):
+        begin = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, begin + STEP)))
+        part = slice(begin, int(ends[hi - 1]))
+        for s in (0, 1):
+            share = (word_n[s][now[part]] + 1.0) / (n[s] + v + 1)
+            p = (pair_n[s][at[part]] + MU * share) / (word_n[s][before[part]] + MU)
+            out[s, lo:hi] = np.add.reduceat(-np.log(p), ends[lo:hi] - (sizes[lo:hi] + 1) - begin) / (sizes[lo:hi] + 1)
+        lo = hi
+    return out
 
 
 def cross_entropy_difference(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target", background_col: str | None = None) -> DataFrame:
@@ -245,17 +279,10 @@ def cross_entropy_difference(df: DataFrame, id_col: str = "doc_id", text_col: st
     d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), flag(target_col).alias("target"), (flag(background_col) if background_col else F.lit(True)).alias("background"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(MIN_BLOCKS, -(-size // BLOCK_BYTES))
-    path = f"{shared_dir(spark).rstrip('/')}/lm-{uuid.uuid4().hex}"
-    count_chunks(d, blocks, path)
-    table = spark.read.schema(f"chunk string, block bigint, words binary, pairs binary, ids array<{d.schema['doc_id'].dataType.simpleString()}>, sizes array<bigint>, whole boolean").parquet(path)
-    sums = cut(sum_blocks(table.where("not whole")))
-    remove(spark, f"{path}/whole=false")
+    sums = cut(sum_blocks(chunks(d, lambda c: c.counts(blocks))))
     total = sums.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n0", "n1")]).first()
-    whole = table.where("whole").select("chunk", "block", "words", "pairs", "ids", "sizes")
-    both = whole.unionByName(sums.where("chunk is not null").select("chunk", "block", "words", "pairs"), allowMissingColumns=True)
+    both = chunks(d, Chunk.whole).unionByName(sums.where("chunk is not null").select("chunk", "block", "words", "pairs"), allowMissingColumns=True)
     out = score_chunks(both.repartition("chunk").sortWithinPartitions("chunk", "block"), arrow_schema(d, ["doc_id"], []).field(0).type, d.schema["doc_id"].dataType.simpleString(), total[0], list(total[1:]))
-    out = cut(out)
-    remove(spark, path)
     return out.withColumnRenamed("doc_id", id_col)
 
 
@@ -266,11 +293,12 @@ def score_chunks(rows: DataFrame, id_arrow: pa.DataType, id_type: str, v: int, n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(raws: list[bytes | None]) -> list[np.ndarray]:
             each = [from_planes(r, "u8", "u8") for r in raws if r]
-            return [np.concatenate([x[s] for x in each]).astype(float) if each else np.zeros(0) for s in (0, 1)]
+            return [np.concatenate([x[s] for x in each]) if each else np.zeros(0, dtype=np.uint64) for s in (0, 1)]
 
         def done(held: list[tuple]) -> pa.RecordBatch:
             _, block, words, pairs, ids, sizes = held[0]
-            assert block == -1, "a chunk's counts without its tokens"
+            if block != -1:
+                raise ValueError("a chunk's sums without its tokens: its input changed between two reads")
             code = np.cumsum(from_planes(words[:-8], "u8")[0], dtype=np.uint64)
             sizes = np.array(sizes, dtype=np.int64)
             some = sizes > 0

@@ -65,6 +65,24 @@ def test_scores_of_the_tables(spark, sf, monkeypatch, chunk, ids):
     same_scores(got, brute([t for k, t in docs.items() if k in good], list(docs.values()), docs))
 
 
+def test_losses_step_by_step(monkeypatch):
+    """Texts worked out a few at a time have the losses that they have at once."""
+    r = np.random.default_rng(2)
+    chunk = lm_scoring.Chunk()
+    for i in range(60):
+        chunk.add(i, " ".join(f"w{x}" for x in r.integers(0, 30, r.integers(1, 50))), i % 2 == 0, True)
+    code, flat, boundary = chunk.sorted()
+    sizes = np.array(chunk.sizes)
+    pairs, _ = lm_scoring.distinct_pairs(*lm_scoring.steps(flat, sizes, boundary), code)
+    counts = [[r.integers(0, 9, len(x)).astype(np.uint64) for _ in (0, 1)] for x in (code, pairs)]
+    want = lm_scoring.losses(sizes, flat, code, boundary, *counts, 40, [500, 300])
+    for step in (1, 10, 100):
+        monkeypatch.setattr(lm_scoring, "STEP", step)
+        assert np.allclose(lm_scoring.losses(sizes, flat, code, boundary, *counts, 40, [500, 300]), want)
+    with pytest.raises(ValueError, match="changed between two reads"):
+        lm_scoring.losses(sizes, flat, code, boundary, counts[0], [c[:-1] for c in counts[1]], 40, [500, 300])
+
+
 def test_models_are_distributions():
     """The shares of all words, the unseen one included, after each word sum to one on either side."""
     texts = ["a b a c", "b b d", "a"]
