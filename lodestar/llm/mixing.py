@@ -84,7 +84,8 @@ def dealt(d: DataFrame, weights: tuple[int, ...], share: float, most: int) -> Da
 def repeat_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = SEED) -> DataFrame:
     """The rows of df, all columns as they are, as often as the mix takes them: once for each whole epoch, and once more
     up to the document where the source's budget is cut (that one whole). Each source's cut is one key, joined back to
-    the rows by source, so no text is shuffled."""
+    the rows by source, so no text is shuffled. Rows without words, null texts too, come along with whole epochs only;
+    null ids and sources, repeated rows and empty tables are as in mix(); columns of any name pass through."""
     plain = pick(df, {"doc_id": id_col, "source": source_col, "text": text_col})
     at = F.struct("key", "size", "doc_id")
     taken = dealt(cut(sized(plain, seed)), weights, share, most)
