@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.oracle_sql(), "op8_host_rules": host_rules.oracle_sql()}
+    return {"op3_source_mixing": mixing.oracle_sql(), "op7_warc_dictionary": warc.oracle_sql(), "op8_host_rules": host_rules.oracle_sql()}

@@ -96,14 +96,14 @@ class Counts:
                 n += found.values()
             for w in list(vocabulary)[len(of) :]:
                 of.append([names.setdefault(f, len(names)) for f in expand(w)])
-            row, word, n = (np.array(x, dtype=np.int64) for x in (row, word, n))
+            row, word, n = (np.array(x, dtype=np.int32) for x in (row, word, n))
             self.word_rows.append((row, word, n))
             many = np.array([len(of[w]) for w in word], dtype=np.int64)
             feature = np.array([f for w in word for f in of[w]], dtype=np.int64)
-            key, at = np.unique(np.repeat(row, many) * (1 << 40) + feature, return_inverse=True)
-            parts.append((key >> 40, key & ((1 << 40) - 1), np.bincount(at, weights=np.repeat(n, many), minlength=len(key))))
+            key, at = np.unique(np.repeat(row, many).astype(np.int64) << 32 | feature, return_inverse=True)
+            parts.append(((key >> 32).astype(np.int32), key.astype(np.int32), np.bincount(at, weights=np.repeat(n, many), minlength=len(key)).astype(np.int32)))
         self.names, self.of, self.texts = list(names), of, len(texts)
-        self.text, self.feature, self.count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, dtype=np.int64)] * 3
+        self.text, self.feature, self.count = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, dtype=np.int32)] * 3
         self.words = self.per_text(np.ones(len(of)))
 
     def per_text(self, weight: np.ndarray) -> np.ndarray:

@@ -215,3 +215,17 @@ def round_trip(df: DataFrame, min_bytes: int = 0) -> DataFrame:
     out = cut(read_archives(write_archives(df, folder, min_bytes=min_bytes), df.schema["page_id"].dataType.simpleString(), payloads=False))
     remove(df.sparkSession, folder)
     return out
+
+
+def oracle_sql() -> str:
+    """The contract for DuckDB; base 32 by hand, four digits from five of hexadecimal."""
+    value = " + ".join(f"(instr('0123456789abcdef', substr(sha1(h), 5 * j + {k + 1}, 1)) - 1) * {16 ** (4 - k)}" for k in range(5))
+    digits = "concat(" + ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast((v >> {shift}) & 31 as integer) + 1, 1)" for shift in (15, 10, 5, 0)) + ")"
+    return f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first from p group by h),
+d as (select h, string_agg({digits}, '' order by j) as digest from (select h, j, cast({value} as bigint) as v from f, range(8) as r(j)) x group by h)
+select page_id, cast(strlen(h) as bigint) as payload_bytes, digest as payload_digest, case when page_id is distinct from first and first is not null then 'revisit' else 'response' end as record_type,
+       case when page_id is distinct from first then first end as refers_to
+from p join f using (h) join d using (h)
+"""
