@@ -59,6 +59,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder that lazy results still read when the driver ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def join_counted(df: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
     """Inner or left join with a table of one row a key, whose column n counts the key's rows in df (and is dropped): keys of
     more than HEAVY rows, which are few, are broadcast and their rows stay where they are; the others are shuffled. right is
