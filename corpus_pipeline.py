@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import host_rules, mixing, pieces, simhash, toxicity
-from lodestar.llm.common import cut, remove, shared_dir, table
+from lodestar.llm.common import cut, remove, remove_at_exit, shared_dir, table
 from lodestar.llm.queries import piece_model
 
 ORACLE_SQL = None
@@ -54,9 +54,18 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what each returns is written to the shared folder and read again, and goes when the next is there."""
+    """Apply the stages to documents; what each returns is written to the shared folder and read again, and goes when the
+    next is there. What the last returned is read lazily, so it goes when the driver ends.
+
+    Rows of documents: null and empty texts are not toxic, but fail the quality rules, as they have no words. Null sources
+    are one host and one source. Rows with null ids are never near copies of others and stay; of rows that repeat an id,
+    one stays; near copies keep the least id. Very long texts are worked through whole. An empty table gives an empty
+    result; further columns, of any name, pass through to the last stage, which returns ids and digests alone. Rows of
+    labels with nulls are not read; without labels nothing is toxic.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
