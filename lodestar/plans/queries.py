@@ -469,7 +469,7 @@ def pad_left_batch(spark, sf_dir):
     return d.select("id", "batch_id", _joined("input_ids"), _joined("labels", "labels"), _joined("attention_mask", "mask"))
 
 
-@query()
+@query("select id, cast(length(test_prefix) as integer) as n, true as same from cases", "cases")
 def tokenizer_round_trip(spark, sf_dir):
     t = K.CodePointTokenizer()
     d = K.encode(view(spark, sf_dir, "cases").select("id", "test_prefix"), "test_prefix", "ids", t, normalise=True)
@@ -647,7 +647,13 @@ def _sources(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.lit("p").alias("project"), F.expr("concat('src/C', p_partkey, '.java')").alias("relative_path"), F.expr(code).alias("source"))
 
 
-@query()
+NAME = "concat('  public String name(final List<String> a, int[] b) {', chr(10), '    return "
+
+
+@query(
+    f"select concat('src/C', p_partkey, '.java') as relative_path, 0 as seq, {NAME}\"}}') as content, 'name' as name, concat('C', p_partkey) as class, 'String' as return_type, '[{{\"type\":\"List\",\"name\":\"a\"}},{{\"type\":\"int\",\"name\":\"b\"}}]' as parameters from part"
+    " union all select concat('src/C', p_partkey, '.java'), 1, concat('  C', p_partkey, '(int size) { this.s = size; }'), concat('C', p_partkey), concat('C', p_partkey), concat('C', p_partkey), '[{\"type\":\"int\",\"name\":\"size\"}]' from part"
+)
 def java_methods(spark, sf_dir):
     m = J.java_methods(_sources(spark, sf_dir))
     return m.select("relative_path", "seq", "content", F.col("metadata.name").alias("name"), F.col("metadata.class").alias("class"), F.col("metadata.return_type").alias("return_type"), F.to_json("metadata.parameters").alias("parameters"))
@@ -659,7 +665,10 @@ def java_types(spark, sf_dir):
     return t.select("class", "relative_path", F.array_join("methods", ",").alias("methods"))
 
 
-@query()
+@query(
+    f"select concat('src/C', p_partkey, '.java') as relative_path, 0 as seq, {NAME}') as content, cast(78 + 2 * length(p_partkey::varchar) as integer) as start, cast(143 + 2 * length(p_partkey::varchar) as integer) as end from part"
+    " union all select concat('src/C', p_partkey, '.java'), 1, concat('  C', p_partkey, '(int size) { this.s = size;'), cast(45 + length(p_partkey::varchar) as integer), cast(75 + 2 * length(p_partkey::varchar) as integer) from part"
+)
 def method_context_slice(spark, sf_dir):
     m = J.java_methods(_sources(spark, sf_dir), slice_mode="legacy")
     return m.select("relative_path", "seq", "content", F.col("metadata.start_line_no").alias("start"), F.col("metadata.end_line_no").alias("end"))
