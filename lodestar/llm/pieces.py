@@ -187,16 +187,15 @@ class PrefixTableCodec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_loaded: dict[int, PrefixTableCodec] = {}
+_loaded: dict[bytes, PrefixTableCodec] = {}
 
 
 def codec(model: bytes) -> PrefixTableCodec:
     """One codec for each worker process, so that its caches serve task after task."""
-    key = hash(model)
-    if key not in _loaded:
+    if model not in _loaded:
         _loaded.clear()
-        _loaded[key] = PrefixTableCodec(model)
-    return _loaded[key]
+        _loaded[model] = PrefixTableCodec(model)
+    return _loaded[model]
 
 
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end: bool = True) -> DataFrame:
