@@ -51,7 +51,8 @@ class PrefixTableCodec:
         self.eos = sp.eos_id()
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
-            self.automaton.add_word(p, (i, len(p)))
+            if len(self.merged(p)) == 1:  # others are never a token
+                self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         if any(MARK in p.lstrip(MARK) for p in self.id):
             self.segments = lambda s: [s]
@@ -61,7 +62,6 @@ class PrefixTableCodec:
             letters, others = rf"[^\W_{odd}]+", rf"(?:(?![{MARK}{cut}])[\W_{odd}])+"
             self.segments = re.compile(f"{MARK}*(?:{letters}|{others})|{MARK}+" + (f"|[{cut}]" if cut else "")).findall
         self.pairs: dict[int, bool] = {}
-        self.own: dict[int, bool] = {}
         self.odd: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -91,12 +91,6 @@ class PrefixTableCodec:
             sym[at : at + 2] = [sym[at] + sym[at + 1]]
         return sym
 
-    def _whole(self, i: int) -> bool:
-        ok = self.own.get(i)
-        if ok is None:
-            ok = self.own[i] = len(self.merged(self.piece[i])) == 1
-        return ok
-
     def _fits(self, left: int, right: int) -> bool:
         """Is the pair the encoding of its concatenation? Negative numbers stand for characters outside the vocabulary."""
         if left >= 0 and right >= 0:
@@ -121,7 +115,7 @@ class PrefixTableCodec:
         """The last token and its length for each non-empty prefix of s."""
         last, width = [0] * len(s), [0] * len(s)
         done = -1
-        fits, whole = self.pairs, self._whole
+        known = self.pairs.get
 
         def unknown(upto: int) -> None:  # characters that are no piece themselves
             for k in range(done + 1, upto):
@@ -133,16 +127,14 @@ class PrefixTableCodec:
             if end > done + 1:
                 unknown(end)
             start = end - size
-            if start < 0:
-                ok = whole(i)
-            else:
+            if start >= 0:
                 prev = last[start]
-                ok = fits.get(prev << 20 | i) if prev >= 0 else None
+                ok = known(prev << 20 | i) if prev >= 0 else None
                 if ok is None:
                     ok = self._fits(prev, i)
-                ok = ok and whole(i)
-            if ok:
-                last[end], width[end], done = i, size, end
+                if not ok:
+                    continue
+            last[end], width[end], done = i, size, end
         unknown(len(s))
         return last, width
 
@@ -165,17 +157,14 @@ class PrefixTableCodec:
         cache = self.cache
         parts = self.segments(MARK + text.replace(" ", MARK))
         found = list(map(cache.get, parts))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    s = parts[k]
-                    ids = cache.get(s) or self.older.get(s) or self._segment(s)
-                    if len(s) <= CACHE_CHARS:
-                        if len(cache) >= CACHE_SEGMENTS // 2:  # two generations: what is met again stays
-                            self.older, cache = cache, {}
-                            self.cache = cache
-                        cache[s] = ids
-                    found[k] = ids
+        for k in [k for k, ids in enumerate(found) if ids is None]:
+            s = parts[k]
+            found[k] = ids = cache.get(s) or self.older.get(s) or self._segment(s)
+            if len(s) <= CACHE_CHARS:
+                if len(cache) >= CACHE_SEGMENTS // 2:  # two generations: what is met again stays
+                    self.older, cache = cache, {}
+                    self.cache = cache
+                cache[s] = ids
         out = list(chain.from_iterable(found))
         if end:
             out.append(self.eos)
