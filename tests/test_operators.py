@@ -1,11 +1,12 @@
 """Pairing, metrics, bug sets, injection, source scanning, predictors, sources, sinks and streams."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar import schemas
+from lodestar import schemas, session
 from lodestar.operators import batching, bugsets, commands, evaluate, inject, javasrc, logs, metrics, pairing, predict, report, routing, splitting, tokens
 from lodestar.sources import readers, sinks
 from lodestar.streaming import files as stream
@@ -177,6 +178,15 @@ def test_arrays_templates_and_files(spark, tmp_path):
     assert not sinks.copy_file(spark, str(tmp_path / "nowhere"), str(tmp_path / "D"))
 
 
+def test_a_cluster_needs_a_shared_folder():
+    """No temporary folder of one machine where executors have other disks."""
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        sc = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.cut(df)
+
+
 def test_top_candidate_without_scores(spark):
     d = spark.createDataFrame([(1, "b", 0.5), (1, "a", 0.5), (1, "c", None), (2, "z", None)], "id int, output string, score double")
     assert sorted(tuple(r) for r in predict.top_candidate(d).collect()) == [(1, "a", 0.5), (2, "z", None)]
