@@ -5,14 +5,16 @@ import collections
 import hashlib
 import html
 import io
+import pathlib
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import main_text, queries, warc
+from lodestar.llm import common, main_text, queries, warc
 
 
 def article_text(page):
@@ -150,6 +152,33 @@ def test_page_edges(spark):
     assert main_text.extract_main_text(d.limit(0)).count() == 0
 
 
+def test_a_cluster_needs_a_shared_folder():
+    sc = SimpleNamespace(master="yarn", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))
+
+
+def test_dictionaries_see_all_records(monkeypatch):
+    """The sample is spread over all records and all of a long one."""
+    import zstandard
+
+    seen = []
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, some, **_: seen.extend(some) or zstandard.ZstdCompressionDict(b"x" * 64, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+    monkeypatch.setattr(warc, "TRAIN_BYTES", 256 << 10)
+    records = [bytes([65 + i % 26]) * 4096 for i in range(78)] + [b"".join(bytes([97 + i]) * 16384 for i in range(26))]
+    warc.train(records)
+    letters = {p[:1] for p in seen}
+    assert sum(map(len, seen)) <= 2 * warc.TRAIN_BYTES and len([x for x in letters if x.isupper()]) >= 2 and len([x for x in letters if x.islower()]) >= 2
+    assert all(len(p) <= warc.PIECE_BYTES for p in seen)
+
+
+def test_round_trip_leaves_no_archives(spark, sf):
+    folder = pathlib.Path(common.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in folder.glob("warc-*")}
+    queries.op7_warc_dictionary(spark, sf).count()
+    assert {p.name for p in folder.glob("warc-*")} == before
+
+
 def test_archive_format():
     for records in ([b""], [b"x"], [warc.record(i, f"http://a/{i}", b"<p>some page</p>" * i, None) for i in range(300)]):
         raw = warc.archive(records)
