@@ -213,6 +213,43 @@ public class Outer<T> extends B {
     assert got[0]["body_raw"].endswith("return null; } }") and javasrc.scan("class A { ") == [] and javasrc.scan("") == []
 
 
+def test_java_grammar():
+    source = """@Deprecated package a.b;
+import static x.Y.*;
+@interface Mark { int level() default 1; String[] names() default {"{"}; }
+/* class Not { void no() {} */
+public final class Outer<T extends Comparable<? super T>> extends B<int[]> implements C, D {
+    private final Map<String, List<Integer>> f = new HashMap<>() {{ put("}", null); }}, g = null;
+    static final Runnable r = new Runnable() {
+        @Override
+        public void run() { class Local { int deep(int[] a[], final java.util.List<? extends T>... b) { return a.length; } } }
+    };
+    int[] sizes = {1, 2}, more[] = new int[][] {{1}, {2}};
+    { Object o = int.class; go(() -> { new Thread() { public void inner() {} }.start(); }, Outer.Inner::new); }
+    public <K, V extends K> @Mark(level = 2)
+    Outer(Outer<T> this, K k) throws E { super(); }
+    protected Outer.Inner<T>[] make(@Mark(names = {"(", ")"}) final int record, String sealed) { record = record + 1; return null; }
+    enum Color implements I { RED(1) { @Override int code() { return 2; } }, GREEN(2),; private Color(int c) { } int code() { return 1; } }
+    interface I { default int size() { return 0; } static <T> T of(T t) { return t; } int CONSTANT = f(1); }
+    record Point(int x, int y) { Point { if (x < y) throw new E(); } int sum() { return x + y; } }
+    sealed interface S permits Q {} non-sealed class Q implements S { Q() { this(1); } }
+    String text() { return \"\"\"
+        void not() { "quoted" }
+        \"\"\" + '{' + "\\\"{"; }
+}
+"""
+    got = [(r["name"], r["class"], r["return_type"], [(p["type"], p["name"]) for p in r["parameters"]]) for r in javasrc.scan(source)]
+    assert got == [
+        ("run", "Outer", "void", []), ("deep", "Local", "int", [("int", "a"), ("java", "b")]), ("inner", "Outer", "void", []),
+        ("make", "Outer", "Outer", [("int", "record"), ("String", "sealed")]), ("code", "Color", "int", []), ("code", "Color", "int", []),
+        ("size", "I", "int", []), ("of", "I", "T", [("T", "t")]), ("sum", "Point", "int", []), ("text", "Outer", "String", []),
+        ("Outer", "Outer", "Outer", [("K", "k")]), ("Color", "Outer", "Outer", [("int", "c")]), ("Q", "Q", "Q", []),
+    ]
+    for broken in ("class A { void f() { }", "class A { } }", "class A { void f( { } }", "class A { int = 3; }", "class A { void f() { ) } }", "void f() { }"):
+        assert javasrc.scan(broken) == [], broken
+    assert [r["name"] for r in javasrc.scan("class A {" + "{" * 200 + "}" * 200 + " void f() {} }")] == ["f"]
+
+
 def test_java_tables(spark):
     d = spark.createDataFrame([("p", "a/B.java", "class B {\n  int f() { return 1; }\n  int f(int x) { return x; }\n}"), ("p", "x.java", None)], "project string, relative_path string, source string")
     m = javasrc.java_methods(d)
