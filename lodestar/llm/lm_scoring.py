@@ -327,8 +327,11 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Ids of labels may repeat; documents with null ids are no target. Texts are shuffled only if the ids are too many."""
     good = pick(labels, {"doc_id": "doc_id", "quality": "quality", "toxic": "toxic"}).where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
     good = cut(good).withColumn("target", F.lit(True))
-    right = F.broadcast(good) if good.count() <= BROADCAST_IDS else good.hint("merge")
-    return pick(docs, {"doc_id": "doc_id", "text": "text"}).join(right, "doc_id", "left").select("doc_id", "text", "target")
+    d = pick(docs, {"doc_id": "doc_id", "text": "text"})
+    if good.count() <= BROADCAST_IDS:
+        return d.join(F.broadcast(good), "doc_id", "left").select("doc_id", "text", "target")
+    named = d.where("doc_id is not null").join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", "target")
+    return named.unionByName(d.where("doc_id is null").withColumn("target", F.lit(False)))  # null ids, all of one key, stay where they are
 
 
 def score_against_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
