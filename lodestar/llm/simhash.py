@@ -510,7 +510,8 @@ def similar(pairs: DataFrame, df: DataFrame, k: int, least: float, parts: int |
             return run
 
         each = map_texts(with_ids(df, ids, "doc_id", "left_semi"), make, [("n", "bigint", pa.int64()), ("same", "binary", pa.binary()), ("c", "binary", pa.binary())])
-        each = each.groupBy(F.col("doc_id").cast("bigint").alias("_i")).agg(F.max(F.struct("n", "same", "c")).alias("x")).select("_i", "x.n", "x.c")
+        # stored, so that both sides of the joins are plain shuffles: adaptive execution then splits the pairs of a hub
+        each = cut(each.groupBy(F.col("doc_id").cast("bigint").alias("_i")).agg(F.max(F.struct("n", "same", "c")).alias("x")).select("_i", "x.n", "x.c"), parts)
         a, b = (each.select(F.col("_i").alias(c), F.col("n").alias(f"n{x}"), F.col("c").alias(x)) for c, x in (("u", "a"), ("v", "b")))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "na", "a", "nb", "b")
 
