@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORE = -100
@@ -51,18 +51,24 @@ def with_batch(df: DataFrame, size: int, index: str = "row_idx") -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(index) / size))
 
 
+def with_longest(df: DataFrame, batch: str, **arrays: str) -> DataFrame:
+    """Rows with the sizes of their batch's longest arrays: a number a batch, joined back, so that arrays are not shuffled
+    where these are few enough to broadcast."""
+    longest = df.groupBy(batch).agg(*[F.max(F.size(c)).alias(n) for n, c in arrays.items()])
+    return df.join(longest, batch)
+
+
 def pad_right(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     """ids with 0, labels with -100, mask with 0, all to the longest ids of the batch."""
-    d = df.withColumn("_m", F.max(F.size("input_ids")).over(Window.partitionBy(batch)))
+    d = with_longest(df, batch, _m="input_ids")
     for c, v in (("input_ids", 0), ("labels", IGNORE), ("attention_mask", 0)):
         d = d.withColumn(c, F.concat(F.col(c), repeat(v, F.col("_m") - F.size(c))))
-    return d.drop("_m")
+    return d.select(*df.columns)
 
 
 def pad_left(df: DataFrame, batch: str = "batch_id") -> DataFrame:
     """ids and mask to the longest ids, labels to the longest labels of the batch."""
-    w = Window.partitionBy(batch)
-    d = df.withColumn("_m", F.max(F.size("input_ids")).over(w)).withColumn("_l", F.max(F.size("labels")).over(w))
+    d = with_longest(df, batch, _m="input_ids", _l="labels")
     for c, v, m in (("input_ids", 0, "_m"), ("attention_mask", 0, "_m"), ("labels", IGNORE, "_l")):
         d = d.withColumn(c, F.concat(repeat(v, F.col(m) - F.size(c)), F.col(c)))
-    return d.drop("_m", "_l")
+    return d.select(*df.columns)

@@ -51,7 +51,8 @@ STEPS = {
 TOKS = {
     "spark": "select id, slice(w, 1, n - 4 * q) as p, transform(slice(w, n - 4 * q + 1, e), x -> x + 100) as d, transform(slice(w, n - 4 * q + e + 1, 2 * q - e), x -> x + 200) as m,"
     " transform(slice(w, n - 2 * q + 1, q), x -> x + 300) as g, transform(slice(w, n - q + 1, q), x -> x + 400) as o"
-    " from (select *, if(id % 9 = 0, 0, q) as e from (select *, size(w) as n, cast(size(w) div 5 as int) as q from (select doc_id as id, transform(split(text, ' '), x -> length(x)) as w from documents)))",
+    " from (select *, if(id % 9 = 0, 0, q) as e from (select id, w, size(w) as n, cast(size(w) div 5 as int) as q from (select doc_id as id, text from documents)"
+    " lateral view inline(array(named_struct('w', transform(split(text, ' '), x -> length(x))))) t as w))",  # generated, so that a filter on the parts doesn't split the text again for each of them
     "duckdb": "select id, w[1:n - 4 * q] as p, list_transform(w[n - 4 * q + 1:n - 4 * q + e], lambda x: x + 100) as d, list_transform(w[n - 4 * q + e + 1:n - 2 * q], lambda x: x + 200) as m,"
     " list_transform(w[n - 2 * q + 1:n - q], lambda x: x + 300) as g, list_transform(w[n - q + 1:n], lambda x: x + 400) as o"
     " from (select *, case when id % 9 = 0 then 0 else q end as e from (select *, len(w) as n, len(w) // 5 as q from (select doc_id as id, list_transform(string_split(text, ' '), lambda x: length(x)) as w from documents)))",
