@@ -336,7 +336,7 @@ def java_methods(files: DataFrame, parser: Parser = scan, slice_mode: str = "fix
 
 def java_types(methods: DataFrame) -> DataFrame:
     """class, relative_path, methods (names in order, overloads kept) and first_seq, the order types were met in."""
-    named = F.array_sort(F.collect_list(F.struct("seq", F.col("metadata.name").alias("name"))))
+    named = F.sort_array(F.collect_list(F.struct("seq", F.col("metadata.name").alias("name"))))
     d = methods.groupBy("project", F.col("metadata.class").alias("class"), "relative_path").agg(named.alias("n"), F.min("seq").alias("first_seq"))
     return d.select("project", "class", "relative_path", F.transform("n", lambda x: x["name"]).alias("methods"), "first_seq")
 
