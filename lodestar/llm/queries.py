@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, improbable, lm_scoring, main_text, mixing, pieces, simhash, token_counts, toxicity, warc
+from . import hash_tree, host_rules, importance, improbable, lm_scoring, main_text, mixing, periodic, pieces, simhash, token_counts, toxicity, warc
 from .common import table
 
 
@@ -58,9 +58,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_tree.shard_documents(table(spark, sf_dir, "documents"), hash_tree.layout(16)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op12_importance_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.with_planted_repeats(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_cross_entropy_difference, op2_simhash_pivots, op3_source_mixing, op4_host_suffix_array, op5_improbable_features, op6_piece_codec, op7_warc_dictionary, op8_host_rules, op9_ordinal_toxicity, op10_token_counts)}
+    found = (
+        op1_cross_entropy_difference, op2_simhash_pivots, op3_source_mixing, op4_host_suffix_array, op5_improbable_features, op6_piece_codec, op7_warc_dictionary,
+        op8_host_rules, op9_ordinal_toxicity, op10_token_counts, op11_hash_tree, op12_importance_postings, op13_periodic_runs,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": mixing.oracle_sql(), "op7_warc_dictionary": warc.oracle_sql(), "op8_host_rules": host_rules.oracle_sql()}
+    return {"op3_source_mixing": mixing.oracle_sql(), "op7_warc_dictionary": warc.oracle_sql(), "op8_host_rules": host_rules.oracle_sql(), "op11_hash_tree": hash_tree.oracle_sql(), "op12_importance_postings": importance.oracle_sql()}
