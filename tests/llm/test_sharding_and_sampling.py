@@ -239,8 +239,15 @@ def test_very_long_texts():
     assert periodic.words_and_runs("spam " * 300_000)[1] == [(0, 300_000, 1)]
     part = " ".join(f"w{i}" for i in range(20_000))
     assert periodic.words_and_runs(f"x {part} {part} {part} {part} y")[1] == [(1, 80_000, 20_000)]
-    r = random.Random(1)
-    assert periodic.words_and_runs(" ".join(r.choice("ab") for _ in range(20_000)))[1] == []
+    ids = np.random.default_rng(1).integers(0, 2, 20_000)
+    want = []
+    for q in range(1, len(ids) // 3 + 1):  # every lag, scanned whole
+        edge = np.flatnonzero(np.diff(np.r_[0, (ids[:-q] == ids[q:]).astype(int), 0]))
+        for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            part = ids[lo : hi + q]
+            if len(part) >= max(24, 3 * q) and not any((part[:-d] == part[d:]).all() for d in range(1, q)):
+                want.append((lo, len(part), q))
+    assert periodic.find_runs(ids) == sorted(want) != []
 
 
 def test_query_on_the_tables(spark, sf):
