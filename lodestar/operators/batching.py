@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pairing import CHUNK, in_chunks
+
 IGNORE = -100
 
 
@@ -51,9 +53,20 @@ def with_batch(df: DataFrame, size: int, index: str = "row_idx") -> DataFrame:
     return df.withColumn("batch_id", F.floor(F.col(index) / size))
 
 
+def batched(df: DataFrame, size: int, *keys: str) -> DataFrame:
+    """Rows in order of the keys with row_idx and batch_id: batches of `size` consecutive rows, the last one shorter. Rows lie
+    by chunk of whole batches (column _chunk), so what is done by batch from here on shuffles nothing."""
+    return with_batch(in_chunks(df, *keys, chunk=size * max(1, CHUNK // size)), size)
+
+
 def with_longest(df: DataFrame, batch: str, **arrays: str) -> DataFrame:
-    """Rows with the sizes of their batch's longest arrays: a number a batch, joined back, so that arrays are not shuffled
-    where these are few enough to broadcast."""
+    """Rows with the sizes of their batch's longest arrays. Rows that lie by chunk of whole batches (batched()) stay where they
+    are; for others a number a batch is joined back, so that arrays are not shuffled where these are few enough to broadcast."""
+    if "_chunk" in df.columns:
+        whole = Window.partitionBy("_chunk", batch)
+        for n, c in arrays.items():
+            df = df.withColumn(n, F.max(F.size(c)).over(whole))
+        return df
     longest = df.groupBy(batch).agg(*[F.max(F.size(c)).alias(n) for n, c in arrays.items()])
     return df.join(longest, batch)
 

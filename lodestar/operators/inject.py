@@ -14,6 +14,9 @@ from ..session import ship
 
 # The patterns below decide what is replaced.
 
+#: A test method's beginning, of which inject_by_name() knows the name.
+HEAD = re.compile(r"@Test[^\n]*\n\s*public void (\w+)")
+
 
 def inject_by_number(content: Column, test_id: Column, oracle: Column) -> Column:
     """Append the oracle before the first closing brace of public void test<id>()."""
@@ -65,27 +68,88 @@ def located(predictions: DataFrame, meta: DataFrame, windows: bool = False, orde
     return d.select("project", "pred_seq", path.alias("file_path"), part(F.col("test_name"), "::", 1).alias("test_name"), "prediction")
 
 
+def method_pieces(content: str) -> list[tuple[str | None, str]] | None:
+    """A file in pieces, in order: (name, text) of each test method from its @Test to its first closing brace, and (None, text)
+    of what lies between. None where two methods overlap, so that they cannot be rewritten apart."""
+    pieces, at = [], 0
+    for m in HEAD.finditer(content):
+        opened = content.find("{", m.end())
+        closed = content.find("}", opened) if opened >= 0 else -1
+        if closed < 0:
+            continue
+        if m.start() < at:
+            return None
+        pieces += [(None, content[at : m.start()]), (m[1], content[m.start() : closed + 1])]
+        at = closed + 1
+    return [*pieces, (None, content[at:])]
+
+
 def inject_fold(files: DataFrame, predictions: DataFrame, strict: bool = True) -> DataFrame:
     """project, file_path, content, n_injected: each file rewritten by its predictions one after another, in order of
-    pred_seq. Files and predictions meet by project and path; tables without a column project are of one project, null.
-
-    Files (project, file_path, content) without a prediction stay as they are; predictions without a file are dropped. A
-    file's predictions are folded in one task; different files are independent.
+    pred_seq (then of the prediction). Files and predictions meet by project and path; tables without a column project are of
+    one project, null.
+
+    Files (project, file_path, content; null content is empty) without a prediction stay as they are, predictions without a
+    file or a method's name are dropped. A file is cut into its test methods in one pass; a method meets its own predictions by name and is folded alone,
+    so neither a file nor what is predicted for it is one task's work. Where that could differ from a fold over the whole
+    file (methods that overlap, names that are no words, oracles that hold a test, names that match longer ones) the whole
+    file is folded.
     """
     ship(files.sparkSession)
+    left, right = (d if "project" in d.columns else d.withColumn("project", F.lit(None).cast("string")) for d in (files, predictions))
+    key = F.struct(F.col("project").isNull().alias("none"), F.coalesce("project", F.lit("")).alias("project"), "file_path")
+    left = left.select(key.alias("_file"), "project", "file_path", "content", F.xxhash64("content").alias("_version"))
+    right = right.where(F.col("test_name").isNotNull()).select(key.alias("_file"), "test_name", F.struct("pred_seq", "prediction").alias("p"))
+    if not strict:
+        return _fold_files(left, right, strict)
+
+    @F.pandas_udf("array<struct<at: int, name: string, first: boolean, text: string>>")
+    def cut_up(contents: pd.Series) -> pd.Series:
+        def one(c: str | None) -> list[dict] | None:
+            pieces, seen, out = method_pieces(c or ""), set(), []
+            for k, (name, text) in enumerate(pieces or []):
+                out.append({"at": k, "name": name, "first": name not in seen, "text": text})
+                seen.add(name)
+            return out if pieces is not None else None
+
+        return pd.Series([one(c) for c in contents])
+
+    @F.pandas_udf("struct<text: string, n: bigint>")
+    def fold(texts: pd.Series, names: pd.Series, todo: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, name, oracles in zip(texts, names, todo, strict=True):
+            n = 0
+            for oracle in oracles if oracles is not None else ():
+                new = inject_by_name(text, name, oracle)
+                n, text = n + (new != text), new
+            rows.append((text, n))
+        return pd.DataFrame(rows, columns=["text", "n"])
+
+    odd = right.where(~F.coalesce(F.col("test_name"), F.lit("")).rlike(r"(?U)\A\w+\z") | F.coalesce(F.col("p.prediction"), F.lit("")).contains("@Test")).select("_file").distinct()
+    d = left.withColumn("pieces", cut_up("content"))
+    whole = d.where(F.col("pieces").isNull()).select("_file").unionByName(odd)
+    apart = d.join(whole, "_file", "left_anti").withColumn("_id", F.struct("_file", "_version")).select("_id", "_file", "project", "file_path", F.inline("pieces"))
+    todo = right.groupBy("_file", F.col("test_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["prediction"]).alias("todo"))
+    apart = apart.join(todo, ["_file", "name"], "left").withColumn("new", fold("text", "name", "todo"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new.text"))), lambda p: p["text"]), "")
+    apart = apart.groupBy("_id").agg(F.first("project").alias("project"), F.first("file_path").alias("file_path"), text.alias("content"), F.sum(F.when(F.col("first"), F.col("new.n")).otherwise(0)).alias("n_injected")).drop("_id")
+    return apart.unionByName(_fold_files(left.join(whole, "_file", "left_semi"), right.join(whole, "_file", "left_semi"), strict))
+
+
+def _fold_files(left: DataFrame, right: DataFrame, strict: bool) -> DataFrame:
+    """Whole files and their predictions, a file a group."""
 
     def fold(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        todo = right.sort_values("pred_seq", kind="stable") if len(right) else right
-        for content in left["content"]:
-            n = 0
+        todo = right.sort_values(["pred_seq", "prediction"], kind="stable") if len(right) else right
+        for project, path, content in zip(left["project"], left["file_path"], left["content"], strict=True):
+            n, content = 0, content or ""
             for name, oracle in zip(todo["test_name"], todo["prediction"], strict=True):
                 new = inject_by_name(content, name, oracle, strict)
                 n += new != content
                 content = new
-            rows.append((*key, content, n))
+            rows.append((project, path, content, n))
         return pd.DataFrame(rows, columns=["project", "file_path", "content", "n_injected"])
 
-    left, right = (d if "project" in d.columns else d.withColumn("project", F.lit(None).cast("string")) for d in (files, predictions))
-    left = left.select("project", "file_path", "content")
-    return left.groupBy("project", "file_path").cogroup(right.groupBy("project", "file_path")).applyInPandas(fold, "project string, file_path string, content string, n_injected bigint")
+    right = right.select("_file", "test_name", "p.pred_seq", "p.prediction")
+    return left.groupBy("_file").cogroup(right.groupBy("_file")).applyInPandas(fold, "project string, file_path string, content string, n_injected bigint")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.targets import exact_match
+from .scans import prefix_scan
 
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
@@ -85,10 +86,9 @@ def loss_buckets(steps: DataFrame, every: int = 200) -> DataFrame:
 
 
 def running_best(accuracies: DataFrame) -> DataFrame:
-    """epoch, accuracy, best_before, saved: an epoch is saved if it is strictly better than all before, and than 0. One task,
-    as an epoch is one row, and their order is what this is about."""
-    before = F.coalesce(F.max("accuracy").over(Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return accuracies.withColumn("best_before", before).withColumn("saved", F.col("accuracy") > F.col("best_before"))
+    """epoch, accuracy, best_before, saved: an epoch is saved if it is strictly better than all before, and than 0."""
+    d = prefix_scan(accuracies, ["epoch"], {"best_before": ("max", "accuracy")}, inclusive=False).withColumn("best_before", F.coalesce("best_before", F.lit(0.0)))
+    return d.withColumn("saved", F.col("accuracy") > F.col("best_before"))
 
 
 def distinct_matches(df: DataFrame, key: str = "id", prediction: str = "prediction", target: str = "target") -> DataFrame:

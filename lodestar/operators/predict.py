@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -112,15 +114,59 @@ def predict_timed(df: DataFrame, make: Callable[[], Predictor], out: str = "pred
 
 
 def predict_resumable(df: DataFrame, make: Callable[[], Predictor], path: str, key: str = "id", parts: int = 10, **names: str) -> DataFrame:
-    """Predictions kept as they are made: rows (key, prediction) are appended to `path` in `parts` parts by a hash of the key,
-    and a run that starts again does only the keys that are not there. Returns df with what is stored."""
-    from ..sources.readers import exists
-
+    """Predictions kept as they are made, so that a run that was killed goes on where it was. Returns df with what is stored.
+
+    df is read once: its rows whose keys the folder does not hold yet are laid out in `parts` parts by a hash of the key, under
+    <path>/<run>/open/part=N, which counts from the moment it is whole. Each part is then read alone, predicted, written
+    beside, and published by renaming its folder to <path>/<run>/done/part=N: the names are the ledger. A run that starts
+    again first finishes parts that an earlier one left open, and reads no more of them than these. Of rows with equal keys
+    one is predicted; null is a key. Names of columns in `names` as in predict_column().
+    """
     spark = df.sparkSession
+    fs = Folder(spark, path)
+    runs = [r for r in fs.names() if fs.has(f"{r}/open/_SUCCESS")]
     schema = df.select(key).withColumn("prediction", F.lit("")).schema
-    for k in range(parts):
-        todo = df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k)
-        if exists(spark, path):
-            todo = todo.join(spark.read.schema(schema).parquet(path).select(key), key, "left_anti")
-        predict_column(todo, make, **names).select(key, "prediction").write.mode("append").parquet(path)
-    return df.join(spark.read.schema(schema).parquet(path).dropDuplicates([key]), key)
+    staged = [spark.read.schema(df.schema).parquet(f"{path}/{r}/open") for r in runs]
+    new = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(parts)))
+    if staged:
+        held = reduce(DataFrame.unionByName, [d.select(F.col(key).alias("_held")) for d in staged])
+        new = new.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti")
+    run = f"run-{len(fs.names()):06d}-{uuid.uuid4().hex[:8]}"
+    new.withColumnRenamed("_part", "part").write.partitionBy("part").parquet(f"{path}/{run}/open")
+    for r in [*runs, run]:
+        done = set(fs.names(f"{r}/done"))
+        for part in sorted(n for n in fs.names(f"{r}/open") if n.startswith("part=") and n not in done):
+            todo = spark.read.schema(df.schema).parquet(f"{path}/{r}/open/{part}").dropDuplicates([key])
+            beside = f"{r}/writing/{part}-{uuid.uuid4().hex[:8]}"
+            predict_column(todo, make, **names).select(key, "prediction").write.parquet(f"{path}/{beside}")
+            fs.publish(beside, f"{r}/done/{part}")
+    kept = [spark.read.schema(schema).parquet(f"{path}/{r}/done/{n}") for r in [*runs, run] for n in fs.names(f"{r}/done")]
+    if not kept:
+        return df.withColumn("prediction", F.lit(None).cast("string")).limit(0)
+    kept = reduce(DataFrame.unionByName, kept).withColumnRenamed(key, "_held")
+    return df.join(kept, F.col(key).eqNullSafe(F.col("_held"))).drop("_held")
+
+
+class Folder:
+    """Names and renames below a folder of any store that Spark can write to."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.root, self._fs = path, self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._path(f"{self.root}/{name}" if name else self.root)
+
+    def has(self, name: str = "") -> bool:
+        return self._fs.exists(self._at(name))
+
+    def names(self, name: str = "") -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(name))) if self.has(name) else []
+
+    def publish(self, name: str, to: str) -> None:
+        """Rename a folder, unless another run has published it before."""
+        self._fs.mkdirs(self._at(to).getParent())
+        if self.has(to) or not self._fs.rename(self._at(name), self._at(to)):
+            self._fs.delete(self._at(name), True)
+            if not self.has(to):
+                raise OSError(f"cannot publish {to}")

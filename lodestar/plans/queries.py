@@ -105,9 +105,8 @@ def inner_join_documents_labels(spark, sf_dir):
     return P.key_join(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-def _numbered(spark, sf_dir):
-    docs = P.with_row_index(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
-    return docs, P.with_row_index(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id"), "label_id")
+def _docs_and_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
 
 
 NUMBERED = "with d as (select row_number() over (order by doc_id) - 1 as row_idx, doc_id, lang, n_chars from documents), l as (select row_number() over (order by doc_id) - 1 as row_idx, doc_id as label_id, quality, toxic from labels) "
@@ -115,26 +114,27 @@ NUMBERED = "with d as (select row_number() over (order by doc_id) - 1 as row_idx
 
 @query(NUMBERED + "select * from d join l using (row_idx)")
 def positional_pair_truncating(spark, sf_dir):
-    docs, labels = _numbered(spark, sf_dir)
-    return P.positional(docs, labels, "truncate")
+    docs, labels = _docs_and_labels(spark, sf_dir)
+    return P.zip_sorted(docs, ["doc_id"], labels, ["label_id"], "truncate")
 
 
 @query(NUMBERED + "select * from d join l using (row_idx) where row_idx < 100")
 def positional_pair_min(spark, sf_dir):
-    docs, labels = _numbered(spark, sf_dir)
-    return P.positional(P.head(docs, 100), P.head(labels, 100), "min")
+    docs, labels = _docs_and_labels(spark, sf_dir)
+    return P.head(P.zip_sorted(docs, ["doc_id"], labels, ["label_id"], "min"), 100)
 
 
 @query(NUMBERED + ", e as (select row_idx, n_chars + 1 as next_chars from d) select * from d join e using (row_idx)")
 def positional_pair_strict(spark, sf_dir):
-    docs, _ = _numbered(spark, sf_dir)
-    return P.positional(docs, docs.select("row_idx", (F.col("n_chars") + 1).alias("next_chars")), "strict")
+    docs, _ = _docs_and_labels(spark, sf_dir)
+    other = docs.select(F.col("doc_id").alias("_id"), (F.col("n_chars") + 1).alias("next_chars"))
+    return P.zip_sorted(docs, ["doc_id"], other, ["_id"], "strict").drop("_id")
 
 
 @query(NUMBERED + "select l.row_idx, label_id, quality, toxic, doc_id, lang, n_chars from l left join d using (row_idx)")
 def positional_pair_left_driven(spark, sf_dir):
-    docs, labels = _numbered(spark, sf_dir)
-    return P.positional(labels, docs, "left")
+    docs, labels = _docs_and_labels(spark, sf_dir)
+    return P.zip_sorted(labels, ["label_id"], docs, ["doc_id"], "left")
 
 
 @query("select c_custkey as user_id, c_mktsegment, event_id, event_type from customer join (select *, row_number() over (partition by user_id order by event_id) as n from events) e on c_custkey = user_id and n = 1")
@@ -317,7 +317,17 @@ def inject_oracle_named(spark, sf_dir):
     return I.inject_named(d, "content", "name", "prediction").select("id", "content")
 
 
-@query()
+TEST_ORACLE = "case when prediction is null or prediction in ('', 'exception') then '' else concat(chr(10), prediction, case when suffix(prediction, ';') then '' else ';' end) end"
+
+
+@query(
+    f"with o as (select project, id, concat('t', id % 7) as name, {TEST_ORACLE} as oracle, max(id) over (partition by project, id % 7) as last from preds), m as (select project, name, count(*) as n,"
+    " string_agg(concat(case when id = last then oracle else regexp_replace(oracle, 'assert\\w*\\([^;]*\\);', '', 'g') end, chr(10)), '' order by id) as tail from o group by project, name),"
+    " f as (select distinct project, concat('t', i) as name, i from preds, unnest(range(7)) t(i)),"
+    " b as (select project, n, i, concat('@Test', chr(10), '  public void ', name, '() {', chr(10), '    ', case when tail is null then concat('assertTrue(b);', chr(10), '  }') else concat(chr(10), '  ', tail, '}') end) as body from f left join m using (project, name))"
+    " select cast(null as varchar) as project, concat(project, '.java') as file_path, concat('class T {', chr(10), string_agg(body, chr(10) order by i), chr(10), '}') as content, cast(sum(coalesce(n, 0)) as bigint) as n_injected from b group by b.project",
+    "preds",
+)
 def inject_project_fold(spark, sf_dir):
     preds = view(spark, sf_dir, "preds")
     meta = preds.select("id", F.expr("concat('src/test/java/', project, '.java')").alias("file_path"), F.expr("concat('T::t', id % 7)").alias("test_name"))
@@ -446,7 +456,7 @@ NUMBERED_EXAMPLES = EXAMPLES + ", n as (select *, (row_number() over (order by i
 
 
 def _batched(spark, sf_dir):
-    return B.with_batch(P.with_row_index(_examples(spark, sf_dir), "id"), 8)
+    return B.batched(_examples(spark, sf_dir), 8, "id")
 
 
 @query(
@@ -481,7 +491,7 @@ def tokenizer_round_trip(spark, sf_dir):
 
 @query("with n as (select doc_id, row_number() over (order by doc_id) - 1 as row_idx, cast(floor(count(*) over () * 0.05::double) as bigint) as k from documents) select doc_id, row_idx, case when row_idx < k then 'test' when row_idx < 2 * k then 'valid' else 'train' end as split from n")
 def split_5_5_90(spark, sf_dir):
-    return S.split(P.with_row_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id"))
+    return S.split(P.with_row_index(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", total="total"), "total").drop("total")
 
 
 @query("select d.doc_id, lang, quality from documents d join labels l on d.doc_id = l.doc_id order by d.doc_id limit 50")
@@ -492,7 +502,8 @@ def head_after_join(spark, sf_dir):
 
 @query(NUMBERED + "select row_idx, doc_id, quality from d join l using (row_idx) where row_idx < 50")
 def head_before_join(spark, sf_dir):
-    docs, labels = _numbered(spark, sf_dir)
+    docs, labels = _docs_and_labels(spark, sf_dir)
+    docs, labels = P.with_row_index(docs.select("doc_id"), "doc_id"), P.with_row_index(labels.select("label_id", "quality"), "label_id")
     return P.positional(P.head(docs, 50), P.head(labels, 50), "min").select("row_idx", "doc_id", "quality")
 
 
