@@ -20,6 +20,7 @@ from ..operators import metrics as M
 from ..operators import pairing as P
 from ..operators import predict as D
 from ..operators import routing as R
+from ..operators import search as H
 from ..operators import splitting as S
 from ..operators import tokens as K
 from .views import duck, table, view
@@ -653,6 +654,35 @@ def predict_error_empty(spark, sf_dir):
     return D.predict_column(view(spark, sf_dir, "cases"), Failing).select("id", "prediction", "target")
 
 
+#: Searches: the cases whose id is divisible by this, each in all cases.
+ASKED = 20
+SIMILAR = (
+    f"t as (select id, unnest(list_distinct(regexp_extract_all(test_prefix, '{H.TOKEN}'))) as token from cases), w as (select token, 1 + floor(1000 * ln((select count(*) from cases where len(regexp_extract_all(test_prefix, '{H.TOKEN}')) > 0)::double / count(*)::double))::bigint as weight from t group by token),"
+    f" tw as materialized (select id, token, weight from t join w using (token)), total as (select id, sum(weight) as total from tw group by id), pairs as (select q.id as query, d.id as id, sum(d.weight) as common from tw q join tw d using (token) where q.id % {ASKED} = 0 and q.id <> d.id group by q.id, d.id),"
+    " s as (select query, p.id, common::double / (a.total + b.total - common)::double as similarity from pairs p join total a on a.id = query join total b on b.id = p.id),"
+    " r as (select s.query, row_number() over (partition by s.query order by similarity desc, s.id) as rank, s.id, target as value, similarity from s join cases c on c.id = s.id where similarity >= 0.3)"
+)
+
+
+def _case_index(spark, sf_dir):
+    cases = view(spark, sf_dir, "cases").select("id", "test_prefix", "target")
+    return cases, H.build(cases, depth=4)
+
+
+@query(f"with {SIMILAR} select query, cast(rank as integer) as rank, id, value, similarity from r where rank <= 3", "cases")
+def search_similar_prefixes(spark, sf_dir):
+    """The three most similar other cases of every case whose id is divisible by 20, in all cases."""
+    cases, index = _case_index(spark, sf_dir)
+    return H.search(index, cases.where(F.col("id") % ASKED == 0), k=3, others=True)
+
+
+@query(f"with {SIMILAR} select c.id, coalesce(value, '') as prediction, target from cases c left join (select query, value from r where rank = 1) on query = c.id where c.id % {ASKED} = 0", "cases")
+def predict_search_based(spark, sf_dir):
+    """Each of these cases gets the oracle of the most similar other one."""
+    cases, index = _case_index(spark, sf_dir)
+    return H.predict_by_search(cases.where(F.col("id") % ASKED == 0), index, others=True).select("id", "prediction", "target")
+
+
 def _sources(spark, sf_dir):
     code = "concat('package x;', chr(10), 'public class C', p_partkey, ' {', chr(10), '  // class Not {', chr(10), '  C', p_partkey, '(int size) { this.s = size; }', chr(10), '  public String name(final List<String> a, int[] b) {', chr(10), '    return \"}\" + a;', chr(10), '  }', chr(10), '}')"
     return table(spark, sf_dir, "part").select(F.lit("p").alias("project"), F.expr("concat('src/C', p_partkey, '.java')").alias("relative_path"), F.expr(code).alias("source"))
