@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import batching as B
 from ..operators import bugsets as U
 from ..operators import evaluate as E
+from ..operators import generate as N
 from ..operators import inject as I
 from ..operators import javasrc as J
 from ..operators import logs as G
@@ -683,6 +684,38 @@ def predict_search_based(spark, sf_dir):
     return H.predict_by_search(cases.where(F.col("id") % ASKED == 0), index, others=True).select("id", "prediction", "target")
 
 
+def _beam_sql() -> str:
+    """The beam search of generate.py, a step after another."""
+    toks = f"regexp_extract_all(coalesce({{}}, ''), '{H.TOKEN}')"
+    n, end = N.ORDER - 1, N.END
+    ctes = [
+        f"b0 as materialized (select id, p[-{n}:] as p, list_concat(p[-{n}:], o, ['{end}']) as s from (select id, {toks.format('test_prefix')} as p, {toks.format('target')} as o from cases))",
+        "b1 as (select s, unnest(range(len(p) + 1, len(s) + 1)) as j from b0)",
+        f"b2 as (select s, j, unnest(range(0, 1 + least({n}, j - 1))) as size from b1)",
+        "b3 as (select size, array_to_string(s[j - size:j - 1], ' ') as context, s[j] as token, count(*) as n from b2 group by all)",
+        f"m as materialized (select size, context, token, floor(1000 * ln(n::double / sum(n) over (partition by size, context)::double))::bigint as gain from b3 qualify row_number() over (partition by size, context order by n desc, token) <= {N.BEAMS})",
+        "g0 as materialized (select distinct array_to_string(p, ' ') as start, '' as tokens, p as last, 0::bigint as score, false as done from b0)",
+    ]
+    for k in range(1, N.MAX_NEW + 1):
+        ctes.append(
+            f"l{k} as materialized (select g.*, coalesce((select max(m.size) from m where m.size > 0 and m.size <= len(g.last) and m.context = array_to_string(g.last[len(g.last) - m.size + 1:], ' ')), 0) as size from g{k - 1} g where not done)"
+        )
+        ctes.append(
+            f"g{k} as materialized (select * from (select start, case when tokens = '' then token else concat(tokens, ' ', token) end as tokens, list_concat(last, [token])[-{n}:] as last, score + gain + {N.BACKOFF} * (len(last) - l.size) as score, token = '{end}' as done"
+            f" from l{k} l join m on m.size = l.size and m.context = case when l.size = 0 then '' else array_to_string(last[len(last) - l.size + 1:], ' ') end union all select start, tokens, last, score, done from g{k - 1} where done)"
+            f" qualify row_number() over (partition by start order by score desc, tokens) <= {N.BEAMS})"
+        )
+    ctes.append(f"r as (select start, regexp_replace(tokens, '(^| ){end}$', '') as output, score::double / len(string_split(tokens, ' '))::double as score from g{N.MAX_NEW})")
+    return f"with {', '.join(ctes)} select id, cast(row_number() over (partition by id order by score desc, output) as integer) as rank, output, score from b0 join r on array_to_string(p, ' ') = start"
+
+
+@query(_beam_sql(), "cases")
+def generate_beams(spark, sf_dir):
+    """Five beams for every case, in order of their scores, by a model of all cases."""
+    d = view(spark, sf_dir, "cases").select("id", *[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(H.TOKEN), F.lit(0)).alias(n) for c, n in (("test_prefix", "prompt"), ("target", "output"))])
+    return N.generate(d, N.train(d))
+
+
 def _sources(spark, sf_dir):
     code = "concat('package x;', chr(10), 'public class C', p_partkey, ' {', chr(10), '  // class Not {', chr(10), '  C', p_partkey, '(int size) { this.s = size; }', chr(10), '  public String name(final List<String> a, int[] b) {', chr(10), '    return \"}\" + a;', chr(10), '  }', chr(10), '}')"
     return table(spark, sf_dir, "part").select(F.lit("p").alias("project"), F.expr("concat('src/C', p_partkey, '.java')").alias("relative_path"), F.expr(code).alias("source"))
