@@ -8,6 +8,7 @@ import io
 import pathlib
 import random
 import re
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -46,11 +47,11 @@ def test_broken_and_odd_markup():
         "<body class='home with-sidebar'><article><p title=don't>kept</p></article></body>",
         "<div class=ad>never closed<article><p>still here</p></article>",
         "<article><p>main</p></article><section class='comments'><article><p>a reader</p></article></section>",
-        "<main><p>in main</p><div role='navigation'>menu</div></main><p>outside</p>",
+        "<main><p>in main</p><div role='navigation'>menu</div></main><p>outside, unique</p>",
         "<a " + 'b="c" ' * 3000,
         "<article><p>a < b and c > d</p><p>x" + "<b>" * 2000 + "y</article>",
     ])
-    assert got[:4] == ["kept", "still here", "main", "in main"] and got[5] == "a < b and c > d\nxy"
+    assert got[:4] == ["kept", "still here", "main", "in main\noutside, unique"] and got[5] == "a < b and c > d\nxy"
 
 
 def shared_by_brute_force(pages, width):
@@ -125,6 +126,37 @@ def test_runs_decide_where_markup_does_not():
     assert main_text.main_texts(near) == [re.sub("</p><p>", "\n", p)[3:-4] for p in near], "copies are no boilerplate of each other"
 
 
+def test_unique_text_stays_and_repeated_text_goes(monkeypatch):
+    own = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(20)]
+    menu = "<ul><li>Home and news of all kinds<li>Sports<li>Weather and the traffic in town today, hour by hour</ul>"
+    titled = [f"<body><h1>Storm {i}</h1><p>By A. Writer {i}</p><div>Follow us</div><article><p>{t} <math><mi>x{i}</mi><mo>=</mo></math></p></article></body>" for i, t in enumerate(own)]
+    want = [f"Storm {i}\nBy A. Writer {i}\n{t} x{i}=" for i, t in enumerate(own)]
+    assert main_text.main_texts(titled) == want, "titles outside of the article stay, what every page says goes"
+    for head in ("<main>", '<div class="content-wrapper">', '<div id="main-container">', '<div class="wrapper">', "<div>"):
+        pages = [f"<body>{head}{menu}<h1>Title {i}</h1><p>{t}</p></body>" for i, t in enumerate(own)]
+        assert main_text.main_texts(pages) == [f"Title {i}\n{t}" for i, t in enumerate(own)], head
+    monkeypatch.setattr(main_text, "covered", lambda hit, block, place, sizes: np.zeros(len(sizes), dtype=np.int64))
+    assert main_text.main_texts(titled) != want, "runs decide"
+
+
+def test_many_half_repeated_blocks():
+    shared = " ".join(f"s{k}" for k in range(40))
+    pages = ["".join(f"<p>{shared} {' '.join(f'p{i}b{b}t{k}' for k in range(12))}</p>" for b in range(8000)) for i in range(2)]
+    suffixes = main_text.Suffixes()
+    name, block, place, sizes = suffixes.of("", [t for t, _, _ in main_text.parsed(pages[0])])
+    hit = np.arange(len(name)) % 3 > 0
+    hit[: len(sizes)] = False
+    began = time.perf_counter()
+    got = main_text.covered(hit, block, place, sizes)
+    assert time.perf_counter() - began < 1 and len(got) == 8000
+    for b in (0, 1, 4567, 7999):
+        held, mine = set(), [(p, h) for x, p, h in zip(block[8000:], place[8000:], hit[8000:], strict=True) if x == b]
+        for k, (p, h) in enumerate(mine):
+            if h:
+                held |= set(range(p, max(mine[k + 1][0], p + 8) if k + 1 < len(mine) and mine[k + 1][1] else p + 8))
+        assert got[b] == len(held)
+
+
 def test_class_names_break_ties_only():
     own = [" ".join(f"p{i}w{j}" for j in range(20)) for i in range(3)]
     pages = [f"<article><p>{t}</p><div class='social-history'>{t[::-1]}</div><div class='share-buttons'>Share this page with all the friends you have</div><div class=share>x {i}</div></article><div class='my-ad'>{t}</div>" for i, t in enumerate(own)]
