@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import aliased, map_texts, pick, restored
@@ -178,13 +178,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = SAMPLE_ROW
     of max_bytes is passed over. Toxic texts of which none fits are an error, as no model could find any, and so are others.
 
     Labels without an id or a toxic flag, and null texts, are no rows; of labels that repeat an id the most toxic counts;
-    rows of docs that repeat an id are rows each. Empty texts are rows without a feature; empty tables give no rows."""
+    of rows of docs that repeat an id the one whose text has the least hash counts, so the driver sees max_rows rows at most.
+    Empty texts are rows without a feature; empty tables give no rows."""
     lab = pick(labels, {"doc_id": "doc_id", "toxic": "toxic"}).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     lab = lab.withColumn("h", F.xxhash64("doc_id"))
     half = max_rows // 2
     some = [lab.where(F.col("toxic") > 0 if side else F.col("toxic") <= 0).orderBy("h", "doc_id").limit(half) for side in (False, True)]
     chosen = some[0].unionByName(some[1])  # at most max_rows rows of three numbers
     got = pick(docs, {"doc_id": "doc_id", "text": "text"}).join(F.broadcast(chosen), "doc_id").where("text is not null").select("text", "toxic", "h", "doc_id")
+    first = Window.partitionBy("h", "doc_id").orderBy(F.xxhash64("text"), "text")
+    got = got.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")  # cut to the first before it is shuffled, and again after
     out, size, unseen = [], 0, set()
     for r in got.orderBy("h", "doc_id", "text").toLocalIterator():
         n = len(r["text"].encode())
