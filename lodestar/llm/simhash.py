@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, map_texts, pick, small_batches
+from .common import aliased, cut, join_counted, map_texts, pick, restored, small_batches
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Groups beyond this many distinct fingerprints are split by further bands; so many levels at most.
@@ -312,6 +312,8 @@ BROADCAST_IDS = 1 << 20
 ORDER_DOCUMENTS, ORDER_SHINGLES = 10_000, 1 << 18
 #: Posting lists up to this size are paired many at a time.
 SMALL_LIST = 64
+#: Rows of a shingle's list in one block: more are dealt over blocks, each two of which are a task's work.
+LIST_ROWS = 4096
 #: Counts of a set's shingles by the last bits of their hashes, a byte each, bound what two sets share.
 CELLS = 128
 
@@ -565,9 +567,10 @@ def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], least: float)
 
 
 def list_pairs(m: np.ndarray, held: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes from rows (shingle, node, root, size << 32 | place), their cells beside them, sorted by shingle: those
-    of one shingle that have different roots, but for pairs whose sizes, or what follows the shingle in them, or cells rule
-    the similarity out. A pair that passes does so at the first shingle it shares, so none is lost."""
+    """Pairs of nodes from rows (list, node, root, size << 32 | place, side), their cells beside them, sorted by list: those
+    of one list that have different roots, but for pairs whose sizes, or what follows the shingle in them, or cells rule
+    the similarity out. A pair that passes does so at the first shingle it shares, so none is lost. A list is the rows of a
+    shingle (side -1), or two blocks of them (sides 0 and 1) of which one meets the other."""
     starts = np.flatnonzero(np.concatenate(([True], m[1:, 0] != m[:-1, 0])))
     sizes = np.diff(np.concatenate((starts, [len(m)])))
     size, after = m[:, 3] >> 32, (m[:, 3] >> 32) - (m[:, 3] & 0xFFFFFFFF)
@@ -577,7 +580,7 @@ def list_pairs(m: np.ndarray, held: np.ndarray, least: float) -> Iterator[tuple[
         """Which of these pairs may be similar."""
         s, t = size[a], size[b]
         least_both = least / (1 + least) * (s + t) - 1e-6
-        ok = np.flatnonzero((m[a, 2] != m[b, 2]) & (np.minimum(s, t) >= least * np.maximum(s, t) - 1e-6) & (np.minimum(after[a], after[b]) >= least_both))
+        ok = np.flatnonzero((m[a, 2] != m[b, 2]) & ((m[a, 4] < 0) | (m[a, 4] != m[b, 4])) & (np.minimum(s, t) >= least * np.maximum(s, t) - 1e-6) & (np.minimum(after[a], after[b]) >= least_both))
         for lo in range(0, len(ok), 1 << 16):
             i = ok[lo : lo + (1 << 16)]
             both = np.minimum(held[a[i]], held[b[i]]).sum(axis=1, dtype=np.int64)
@@ -643,7 +646,21 @@ def prefix_lists(roots: DataFrame, n: int, df: DataFrame, k: int, least: float)
     return texts.select("text", "node", "root").mapInArrow(deal, ddl).repartition("h").sortWithinPartitions("h").mapInArrow(run, ddl)
 
 
-def prefix_pairs(lists: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
+def split_lists(lists: DataFrame, block: int) -> DataFrame:
+    """Rows (h, node, root, at, side): lists of more than `block` rows are dealt over blocks by node, and each two blocks of a
+    list are a list of their own, so that a shingle that a template gives to any number of texts is tried by many tasks."""
+    large = cut(lists.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > block).select("h", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    if large.isEmpty():
+        return lists.withColumn("side", F.lit(-1).cast("bigint"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    d = lists.join(large, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    d = d.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    side = F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0).otherwise(1).cast("bigint")
+    h = F.when(F.col("blocks") > 1, F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("h"))
+    return d.select(h.alias("h"), "node", "root", "at", side.alias("side"))
+
+
+def prefix_pairs(lists: DataFrame, sketches: DataFrame, least: float, block: int = LIST_ROWS) -> DataFrame:
     """Pairs (u, v) of nodes with different roots, among them all whose similarity is `least` or more, from the rows of
     prefix_lists() and the cells of each node."""
     small_batches(lists.sparkSession)
@@ -651,8 +668,8 @@ def prefix_pairs(lists: DataFrame, sketches: DataFrame, least: float) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for b in batches:
-                m = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], axis=1)
-                yield m, np.frombuffer(b"".join(b.column(4).to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
+                m = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(5)], axis=1)
+                yield m, np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
 
         def link(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
             m, held = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -671,7 +688,7 @@ def prefix_pairs(lists: DataFrame, sketches: DataFrame, least: float) -> DataFra
         if parts:
             yield from link(parts)
 
-    rows = lists.join(sketches, "node").select("h", "node", "root", "at", "cells")
+    rows = split_lists(lists, block).join(sketches, "node").select("h", "node", "root", "at", "side", "cells")
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
@@ -714,13 +731,15 @@ def near_copy_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of df without those whose id isn't the least of its class; rows with null ids stay. Of rows that repeat a kept
-    id one stays: these ids are found among ids alone, and only their rows are compared."""
+    id one stays: these ids are found among ids alone, and only their rows are compared. Columns may have any names."""
     gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_i")).distinct()
     twice = classes.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias("_i"))
-    kept = with_ids(df, gone, id_col, "left_anti")
+    d, back = aliased(df)
+    key = next(n for n, c in back.items() if c == id_col)
+    kept = with_ids(d, gone, key, "left_anti")
     if twice.isEmpty():
-        return kept
+        return restored(kept, back)
     twice = cut(twice)
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*df.columns))
-    repeats = with_ids(kept, twice, id_col, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return with_ids(kept, twice, id_col, "left_anti").unionByName(repeats)
+    first = Window.partitionBy(key).orderBy(F.xxhash64(*back))
+    repeats = with_ids(kept, twice, key, "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return restored(with_ids(kept, twice, key, "left_anti").unionByName(repeats), back)

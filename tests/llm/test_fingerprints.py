@@ -271,6 +271,20 @@ def test_every_pair_at_the_similarity(spark):
     assert got == {k: k - k % 2 for k in text}
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_split_lists_give_the_same_pairs(spark, block):
+    """One list of many texts, and short ones: every pair of different roots that sizes allow, whatever the blocks."""
+    size = {i: 10 + i % 4 for i in range(400)}
+    rows = [(7, i, i % 300, size[i] << 32) for i in range(400)] + [(8, i, i, size[i] << 32) for i in range(0, 400, 40)]
+    lists = spark.createDataFrame(rows, "h bigint, node bigint, root bigint, at bigint").repartition(5)
+    dense = bytes([255]) * simhash.CELLS
+    sketches = spark.createDataFrame([(i, bytearray(dense)) for i in range(400)], "node bigint, cells binary")
+    got = {(r["u"], r["v"]) for r in simhash.prefix_pairs(lists, sketches, 0.8, block).collect()}
+    assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if i % 300 != j % 300 and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) - 1e-6}
+    split = simhash.split_lists(lists, block)
+    assert split.groupBy("h").count().agg(F.max("count")).first()[0] <= (400 if block > 400 else 3 * block)
+
+
 def test_fingerprint_of_distinct_shingles():
     words = [f"w{i}" for i in range(304)]
     once, often = " ".join(words + words[:8]), " ".join(words + 9 * words[:8])

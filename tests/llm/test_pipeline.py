@@ -4,13 +4,14 @@ import hashlib
 import math
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 import sentencepiece
 
 import corpus_pipeline
 from lodestar.llm import queries, toxicity
-from lodestar.llm.common import table
+from lodestar.llm.common import shared_dir, table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -147,9 +148,9 @@ def test_stages_return_documents(spark, sf):
 def test_nulls_repeats_and_extra_columns(spark, sf):
     """Null ids, texts and sources, repeated rows, columns named like computed ones, and a text of a million words."""
     docs = table(spark, sf, "documents").limit(30)
-    odd = docs.unionByName(docs.limit(5)).selectExpr("case when doc_id % 7 = 0 then null else doc_id end as doc_id", "case when doc_id % 5 = 0 then null else text end as text", "lang", "case when doc_id % 3 = 0 then null else source end as source", "n_chars", "1 as size", "'x' as host", "2 as toxic")
+    odd = docs.unionByName(docs.limit(5)).selectExpr("case when doc_id % 7 = 0 then null else doc_id end as doc_id", "case when doc_id % 5 = 0 then null else text end as text", "lang", "case when doc_id % 3 = 0 then null else source end as source", "n_chars", "1 as size", "'x' as host", "2 as toxic", "3 as _i", "4 as _n", "5 as `a.b`")
     long = " ".join(f"{i:x}z" for i in range(1_000_000))
-    odd = odd.unionByName(spark.createDataFrame([(10**9, long, "en", "src0", len(long), 1, "x", 2)], odd.schema)).cache()
+    odd = odd.unionByName(spark.createDataFrame([(10**9, long, "en", "src0", len(long), 1, "x", 2, 3, 4, 5)], odd.schema)).cache()
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, odd, sf)
@@ -167,6 +168,10 @@ def test_nulls_repeats_and_extra_columns(spark, sf):
 
 
 def test_folders_of_a_run_go(spark, sf):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("pipeline-*"))
     out = corpus_pipeline.run(spark, sf)
     n = out.count()
+    (mine,) = set(folder.glob("pipeline-*")) - before
+    assert [p.name for p in mine.iterdir()] == [str(len(corpus_pipeline.STAGES) - 1)], "only what the last stage returned is there"
     assert n and corpus_pipeline.run(spark, sf).count() == n
