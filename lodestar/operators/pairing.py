@@ -15,7 +15,7 @@ CHUNK, MOST_CHUNKS = 512, 1 << 18
 HEAVY_SHARE, MOST_PARTS = 0.02, 64
 
 
-def with_row_index(df: DataFrame, *keys: str, name: str = "row_idx", total: str | None = None) -> DataFrame:
+def with_row_index(df: DataFrame, *keys: str, name: str = "row_idx", total: str | None = None, narrow: bool = False) -> DataFrame:
     """Consecutive numbers from 0 in order of the keys, without bringing the rows to one task; total: a column with the number
     of all rows.
 
