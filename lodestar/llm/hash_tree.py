@@ -115,7 +115,7 @@ def shard_documents(df: DataFrame, tree: Tree, id_col: str = "doc_id", text_col:
     d = descend(descend(d, grown(tree), "key", "grown_shard"), tree, "key")
     # the number of a row splits equal rows over ranges; the checkpoint holds it fast
     d = cut(d.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "region", "rack", "shard", "grown_shard", F.monotonically_increasing_id().alias("nr")))
-    d = with_row_index(d, "shard", "doc_id", "size", "text_crc32", "nr", name="place")
+    d = with_row_index(d, "shard", "doc_id", "size", "text_crc32", "nr", name="place", narrow=True)
     first = d.groupBy("shard").agg(F.min("place").alias("first"))  # a row a shard of the tree
     d = d.join(F.broadcast(first), "shard").withColumn("slot", F.col("place") - F.col("first"))
     return d.select(F.col("doc_id").alias(id_col), "size", "text_crc32", "law", "region", "rack", "shard", "slot", "grown_shard")

@@ -190,7 +190,7 @@ def resample(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     d = d.withColumn("out", F.col("n_features") < 2 * min_words - 1).withColumn("down", -F.col("score")).withColumn("no_id", F.col("doc_id").isNull())
     d = cut(d.select("doc_id", "n_features", "weight", "score", "out", "down", "no_id", "h", "copy"))
     drawn = d.where("not out").count() * percent // 100
-    d = with_row_index(d, "out", "down", "no_id", "doc_id", "h", "copy", name="place")
+    d = with_row_index(d, "out", "down", "no_id", "doc_id", "h", "copy", name="place", narrow=True)
     return d.select(F.col("doc_id").alias(id_col), "n_features", "weight", "score", F.when(~F.col("out") & (F.col("place") < drawn), F.col("place") + 1).alias("rank"))
 
 

@@ -30,7 +30,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     level lifts to their cap stop there. A level only rises, so a round that stops none is the last; it is the level of
     the sources sorted by cap / weight. Works on one row per source, however many: they are numbered over ranges.
     """
-    per = with_row_index(sizes.groupBy("s_null", "s").agg(F.sum("size").alias("source_size")), "s_null", "s", name="k")
+    per = with_row_index(sizes.groupBy("s_null", "s").agg(F.sum("size").alias("source_size")), "s_null", "s", name="k", narrow=True)
     per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("k", F.lit(len(weights))) + 1).cast("int")))
     per = cut(per.withColumn("cap", F.col("source_size") * F.lit(float(most))))
     everything = float(per.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]) * share
