@@ -28,19 +28,32 @@ def with_row_index(df: DataFrame, *keys: str, name: str = "row_idx", total: str
     return in_chunks(df, *keys, name=name, total=total).drop("_chunk")
 
 
+def _ranged(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The rows sorted over ranges and kept, with their range (_p) and place (_at)."""
+    return cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftrightunsigned("_at", 33))
+
+
+def _placed(d: DataFrame, ranges: DataFrame, name: str) -> DataFrame:
+    return d.join(F.broadcast(ranges), "_p").withColumn(name, F.col("_b") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_b")
+
+
 def _sorted(df: DataFrame, keys: tuple[str, ...], name: str, total: str | None = None) -> DataFrame:
     """Rows sorted over ranges are numbered where they are; the counts of the ranges before are added: a table of one row a
     range, so small that it is broadcast."""
-    return _numbered(df, keys, name, total)[0]
+    d = _ranged(df, keys)
+    ranges = d.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_p", before.alias("_b"), *([F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(total)] if total else []))
+    return _placed(d, ranges, name)
 
 
-def _numbered(df: DataFrame, keys: tuple[str, ...], name: str, total: str | None = None) -> tuple[DataFrame, int]:
-    d = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftrightunsigned("_at", 33))
-    counts = sorted((r["_p"], r["n"]) for r in d.groupBy("_p").agg(F.count("*").alias("n")).collect())  # one a range
+def _numbered(df: DataFrame, keys: tuple[str, ...], name: str) -> tuple[DataFrame, int]:
+    """_sorted(), and the number of rows, which the driver then knows: from the counts, one a range."""
+    d = _ranged(df, keys)
+    counts = sorted((r["_p"], r["n"]) for r in d.groupBy("_p").agg(F.count("*").alias("n")).collect())
     before = [0, *accumulate(n for _, n in counts)]
     ranges = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_p bigint, _b bigint")
-    d = d.join(F.broadcast(ranges), "_p").withColumn(name, F.col("_b") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_b")
-    return (d.withColumn(total, F.lit(before[-1]).cast("bigint")) if total else d), before[-1]
+    return _placed(d, ranges, name), before[-1]
 
 
 def in_chunks(df: DataFrame, *keys: str, name: str = "row_idx", total: str | None = None, chunk: int = CHUNK) -> DataFrame:
