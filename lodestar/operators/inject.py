@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import part, quote_replacement
-from ..session import ship
+from ..session import cut, ship
 
 
 # The patterns below decide what is replaced.
@@ -127,13 +127,16 @@ def inject_fold(files: DataFrame, predictions: DataFrame, strict: bool = True) -
 
     odd = right.where(~F.coalesce(F.col("test_name"), F.lit("")).rlike(r"(?U)\A\w+\z") | F.coalesce(F.col("p.prediction"), F.lit("")).contains("@Test")).select("_file").distinct()
     d = left.withColumn("pieces", cut_up("content"))
-    whole = d.where(F.col("pieces").isNull()).select("_file").unionByName(odd)
-    apart = d.join(whole, "_file", "left_anti").withColumn("_id", F.struct("_file", "_version")).select("_id", "_file", "project", "file_path", F.inline("pieces"))
+    whole = cut(d.where(F.col("pieces").isNull()).select("_file").unionByName(odd))
+    none = whole.isEmpty()
+    apart = (d if none else d.join(whole, "_file", "left_anti")).withColumn("_id", F.struct("_file", "_version")).select("_id", "_file", "project", "file_path", F.inline("pieces"))
     todo = right.groupBy("_file", F.col("test_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["prediction"]).alias("todo"))
-    apart = apart.join(todo, ["_file", "name"], "left").withColumn("new", fold("text", "name", "todo"))
+    # dealt by number: by bytes a few small methods would be one task, though each may have many predictions
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = apart.join(todo, ["_file", "name"], "left").repartition(tasks, "_file", "name", "at").withColumn("new", fold("text", "name", "todo")).where(F.col("new").isNotNull())  # without the filter each field would fold anew
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "new.text"))), lambda p: p["text"]), "")
     apart = apart.groupBy("_id").agg(F.first("project").alias("project"), F.first("file_path").alias("file_path"), text.alias("content"), F.sum(F.when(F.col("first"), F.col("new.n")).otherwise(0)).alias("n_injected")).drop("_id")
-    return apart.unionByName(_fold_files(left.join(whole, "_file", "left_semi"), right.join(whole, "_file", "left_semi"), strict))
+    return apart if none else apart.unionByName(_fold_files(left.join(whole, "_file", "left_semi"), right.join(whole, "_file", "left_semi"), strict))
 
 
 def _fold_files(left: DataFrame, right: DataFrame, strict: bool) -> DataFrame:
