@@ -8,8 +8,10 @@ tokens and V the words of the vocabulary, a text being its words between two bou
 No word or pair is left out, at any corpus size, and no count reaches the driver. Tasks count chunks of texts: each
 distinct word and pair of a chunk is a 64-bit code with its counts, sorted and packed, and codes are dealt over blocks by
 their leading bits. A block's counts are summed over all chunks and handed back, in the order in which they came. Where
-a chunk's sums meet its tokens again, its texts are scored. So what is shuffled grows with the corpus, a few bytes a
-token; memory is that of a chunk or a block.
+a chunk's sums meet its tokens again, its texts are scored. Beyond FAN chunks this takes levels: a team of chunks is merged
+block by block, its sums are dealt over finer blocks and meet those of other teams there, and the totals come back by the
+same way. Each level has as many rows as chunks times the blocks of one, so what is shuffled grows with the corpus, a few
+bytes a token and level (two up to 100 TB); memory is that of a chunk or of a block of one team, which are as large.
 
 Texts are read twice, for counts and for tokens, and chunks are named alike in both reads, by their place and a digest of
 their texts: a task that runs again makes the same ones, and tokens without their own sums are an error, not a score.
@@ -34,6 +36,8 @@ from .common import arrow_schema, cut, pick, small_batches
 MU = 1.0
 #: Tokens of a chunk, at least, where a task has as many; bytes of text for each block of codes, and the least blocks.
 CHUNK_TOKENS, BLOCK_BYTES, MIN_BLOCKS = 1_500_000, 8 << 20, 256
+#: Chunks whose counts are summed at one level, and blocks that one level deals codes over, at most.
+FAN = 4096
 #: Tokens whose losses are worked out at once.
 STEP = 1 << 18
 #: Up to so many ids (8 bytes each) the target's ids are broadcast; beyond, the texts are shuffled to meet them.
@@ -200,51 +204,126 @@ def chunks(d: DataFrame, describe: Callable[[Chunk], Iterator[tuple]]) -> DataFr
     return d.select("doc_id", "text", "target", "background").mapInArrow(run, f"chunk string, block bigint, words binary, pairs binary, ids array<{id_type}>, sizes array<bigint>")
 
 
-def sum_blocks(parts: DataFrame) -> DataFrame:
+def rows_by(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """The rows that follow each other with equal values in their first columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and row[:width] != held[0][:width]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def merged(raws: list[bytes | None], kind: str) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray | None]]:
+    """The distinct codes of packed counts (of this type), their sums on both sides, and where each one's codes are among them."""
+    each = [from_planes(r, "u8", kind, kind) if r else None for r in raws]
+    there = [x for x in each if x is not None]
+    if not there:
+        return np.zeros(0, dtype=np.uint64), [np.zeros(0, dtype=np.uint64)] * 2, each
+    codes, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in there]), return_inverse=True)
+    n = [np.bincount(at, weights=np.concatenate([x[s] for x in there])).astype(np.uint64) for s in (1, 2)]
+    own, lo = [], 0
+    for x in each:
+        own.append(at[lo : lo + len(x[0])] if x is not None else None)
+        lo += len(x[0]) if x is not None else 0
+    return codes, n, own
+
+
+def sum_blocks(parts: DataFrame, kind: str = "u4") -> DataFrame:
     """chunk, block, words, pairs: the sums over all chunks of a block's counts, in the order in which the chunk has the
     codes. Rows without a chunk have the number of words (v) and the tokens of both sides (n0, n1) of a block."""
     schema = pa.schema([("chunk", pa.string()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("v", pa.int64()), ("n0", pa.int64()), ("n1", pa.int64())])
 
-    def summed(raws: list[bytes | None]) -> tuple[list[bytes | None], int, list[int]]:
-        each = [from_planes(r, "u8", "u4", "u4") if r else None for r in raws]
-        there = [x for x in each if x is not None]
-        if not there:
-            return raws, 0, [0, 0]
-        codes, at = np.unique(np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in there]), return_inverse=True)
-        n = [np.bincount(at, weights=np.concatenate([x[s] for x in there])).astype(np.uint64) for s in (1, 2)]
-        out, lo = [], 0
-        for x in each:
-            own = at[lo : lo + len(x[0])] if x is not None else None
-            out.append(planes(n[0][own], n[1][own]) if x is not None else None)
-            lo += len(own) if x is not None else 0
-        return out, int(np.count_nonzero(n[0] + n[1])), [int(x.sum()) for x in n]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(block: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-            chunks = [c for c, _, _ in held]
-            words, v, n = summed([w for _, w, _ in held])
-            pairs, _, _ = summed([p for _, _, p in held])
+        for held in rows_by(batches, 1):
+            block, chunks, words, pairs = held[0][0], *([r[i] for r in held] for i in (1, 2, 3))
+            _, n, of_words = merged(words, kind)
+            _, m, of_pairs = merged(pairs, kind)
+            total = (int(np.count_nonzero(n[0] + n[1])), *(int(x.sum()) for x in n))
             for a in range(0, len(held), 256):
                 some = slice(a, a + 256)
+                packed = [[planes(x[0][o], x[1][o]) if o is not None else None for o in own[some]] for x, own in ((n, of_words), (m, of_pairs))]
                 k = len(chunks[some])
-                yield pa.RecordBatch.from_arrays([pa.array(chunks[some]), pa.array([block] * k), pa.array(words[some], pa.binary()), pa.array(pairs[some], pa.binary()), *[pa.nulls(k, pa.int64())] * 3], schema=schema)
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, block, None, None, v, *n), schema, strict=True)], schema=schema)
-
-        held, last = [], None
-        for b in batches:
-            for block, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and block != last:
-                    yield from done(last, held)
-                    held = []
-                held.append(tuple(rest))
-                last = block
-        if held:
-            yield from done(last, held)
+                yield pa.RecordBatch.from_arrays([pa.array(chunks[some], pa.string()), pa.array([block] * k), *(pa.array(x, pa.binary()) for x in packed), *[pa.nulls(k, pa.int64())] * 3], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((None, block, None, None, *total), schema, strict=True)], schema=schema)
 
     parts = parts.select("block", "chunk", "words", "pairs").repartition("block").sortWithinPartitions("block")
     return parts.mapInArrow(run, "chunk string, block bigint, words binary, pairs binary, v bigint, n0 bigint, n1 bigint")
 
 
+PACKED = pa.schema([("chunk", pa.string()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())])
+
+
+def merge_teams(parts: DataFrame, kind: str, blocks: int) -> DataFrame:
+    """Rows like those of chunks, for each (team, block): its chunks' counts as one, dealt over so many (finer) blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in rows_by(batches, 2):
+            split: dict[int, list[bytes | None]] = {}
+            for side in (0, 1):
+                codes, n, _ = merged([r[2 + side] for r in held], kind)
+                of = block_of(codes, blocks)
+                begins = np.flatnonzero(np.diff(of, prepend=-1))
+                for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(of)], strict=True):
+                    split.setdefault(int(of[a]), [None, None])[side] = planes(np.diff(codes[a:b], prepend=np.uint64(0)), n[0][a:b], n[1][a:b])
+            name, found = f"{held[0][0]}.{held[0][1]}", sorted(split.items())
+            for a in range(0, len(found), 256):
+                yield pa.RecordBatch.from_pylist([{"chunk": name, "block": b, "words": w, "pairs": p} for b, (w, p) in found[a : a + 256]], schema=PACKED)
+
+    parts = parts.select("team", "block", "words", "pairs").repartition("team", "block").sortWithinPartitions("team", "block")
+    return parts.mapInArrow(run, "chunk string, block bigint, words binary, pairs binary")
+
+
+def hand_back(parts: DataFrame, kind: str, sums: DataFrame) -> DataFrame:
+    """chunk, block, words, pairs: each chunk's sums, from those of the teams that merge_teams() made of the same parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in rows_by(batches, 1):
+            tops, own = [r for r in held if r[2] is None], [r for r in held if r[2] is not None]
+            block, out = int(held[0][0].split(".")[1]), []
+            for side in (3, 4):
+                codes, _, at = merged([r[side] for r in own], kind)
+                each = [from_planes(r[side], "u8", "u8") for r in tops if r[side]]
+                n = [np.concatenate([x[s] for x in each]) if each else codes for s in (0, 1)]
+                if len(n[0]) != len(codes):
+                    raise ValueError("a team's sums are not those of its chunks")
+                out.append([(n, o) for o in at])
+            for a in range(0, len(own), 256):
+                packed = [[planes(n[0][o], n[1][o]) if o is not None else None for n, o in x[a : a + 256]] for x in out]
+                k = len(packed[0])
+                yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in own[a : a + 256]], pa.string()), pa.array([block] * k), *(pa.array(x, pa.binary()) for x in packed)], schema=PACKED)
+
+    below = parts.select(F.concat_ws(".", "team", "block").alias("name"), F.lit(-1).cast("bigint").alias("place"), "chunk", "words", "pairs")
+    above = sums.select(F.col("chunk").alias("name"), F.col("block").alias("place"), F.lit(None).cast("string").alias("chunk"), "words", "pairs")
+    both = above.unionByName(below).repartition("name").sortWithinPartitions("name", "place")
+    return both.mapInArrow(run, "chunk string, block bigint, words binary, pairs binary")
+
+
+def fan_of(chunks: int) -> int:
+    """Chunks that meet at a level: all, up to FAN; else alike at each of as few levels as do."""
+    levels = 1
+    while FAN**levels < chunks:
+        levels += 1
+    fan = round(chunks ** (1 / levels))
+    return fan if fan**levels >= chunks else fan + 1
+
+
+def corpus_sums(parts: DataFrame, chunks: int, blocks: int, fan: int, kind: str = "u4") -> tuple[DataFrame, list[int]]:
+    """What sum_blocks() says of each chunk, and its three numbers of the corpus, by levels of `fan`. parts: the rows of some
+    `chunks` chunks (an estimate sizes the teams, no more) by so many blocks. They are written once, as they are read twice."""
+    if chunks <= fan:
+        sums = cut(sum_blocks(parts, kind))
+        total = sums.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n0", "n1")]).first()
+        return sums.where("chunk is not null").select("chunk", "block", "words", "pairs"), list(total)
+    teams = -(-chunks // fan)
+    parts = cut(parts.select("chunk", "block", "words", "pairs", F.expr(f"pmod(xxhash64(chunk), {teams})").alias("team")))
+    sums, total = corpus_sums(merge_teams(parts, kind, blocks * fan), teams, blocks * fan, fan, "u8")
+    return hand_back(parts, kind, sums), total
+
+
 def losses(sizes: np.ndarray, flat: np.ndarray, code: np.ndarray, boundary: int, word_n: list[np.ndarray], pair_n: list[np.ndarray], v: int, n: list[int]) -> np.ndarray:
     """[2, texts]: the mean loss a token of each text under the background and the target model; texts have words."""
     before, now = steps(flat, sizes, boundary)
@@ -278,11 +357,12 @@ def cross_entropy_difference(df: DataFrame, id_col: str = "doc_id", text_col: st
     flag = lambda c: F.coalesce(F.col(f"`{c}`").cast("boolean"), F.lit(False))
     d = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), flag(target_col).alias("target"), (flag(background_col) if background_col else F.lit(True)).alias("background"))
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(MIN_BLOCKS, -(-size // BLOCK_BYTES))
-    sums = cut(sum_blocks(chunks(d, lambda c: c.counts(blocks))))
-    total = sums.where("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("v", "n0", "n1")]).first()
-    both = chunks(d, Chunk.whole).unionByName(sums.where("chunk is not null").select("chunk", "block", "words", "pairs"), allowMissingColumns=True)
-    out = score_chunks(both.repartition("chunk").sortWithinPartitions("chunk", "block"), arrow_schema(d, ["doc_id"], []).field(0).type, d.schema["doc_id"].dataType.simpleString(), total[0], list(total[1:]))
+    some = max(1, -(-size // BLOCK_BYTES))
+    fan = fan_of(some)
+    blocks = max(MIN_BLOCKS, fan) if some <= fan else fan
+    sums, (v, *n) = corpus_sums(chunks(d, lambda c: c.counts(blocks)), some, blocks, fan)
+    both = chunks(d, Chunk.whole).unionByName(sums, allowMissingColumns=True)
+    out = score_chunks(both.repartition("chunk").sortWithinPartitions("chunk", "block"), arrow_schema(d, ["doc_id"], []).field(0).type, d.schema["doc_id"].dataType.simpleString(), v, n)
     return out.withColumnRenamed("doc_id", id_col)
 
 
@@ -309,14 +389,7 @@ def score_chunks(rows: DataFrame, id_arrow: pa.DataType, id_type: str, v: int, n
             cols = [pa.array(x, pa.float64(), mask=~some) for x in (ce[1], ce[0], ce[1] - ce[0])]
             return pa.RecordBatch.from_arrays([pa.array(ids, id_arrow), pa.array(sizes), *cols], schema=schema)
 
-        held: list[tuple] = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[0] != held[0][0]:
-                    yield done(held)
-                    held = []
-                held.append(row)
-        if held:
+        for held in rows_by(batches, 1):
             yield done(held)
 
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, ce_target double, ce_background double, ce_diff double")
@@ -324,14 +397,15 @@ def score_chunks(rows: DataFrame, id_arrow: pa.DataType, id_type: str, v: int, n
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and target: true where a row of labels calls the document good and not toxic (a null toxic is not).
-    Ids of labels may repeat; documents with null ids are no target. Texts are shuffled only if the ids are too many."""
+    Ids of labels may repeat; documents with null ids are no target. Texts are shuffled only if the ids are too many, and then
+    written once: a shuffle brings rows of one id in any order, and scoring reads its texts twice."""
     good = pick(labels, {"doc_id": "doc_id", "quality": "quality", "toxic": "toxic"}).where("doc_id is not null and quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").distinct()
     good = cut(good).withColumn("target", F.lit(True))
     d = pick(docs, {"doc_id": "doc_id", "text": "text"})
     if good.count() <= BROADCAST_IDS:
         return d.join(F.broadcast(good), "doc_id", "left").select("doc_id", "text", "target")
     named = d.where("doc_id is not null").join(good.hint("merge"), "doc_id", "left").select("doc_id", "text", "target")
-    return named.unionByName(d.where("doc_id is null").withColumn("target", F.lit(False)))  # null ids, all of one key, stay where they are
+    return cut(named.unionByName(d.where("doc_id is null").withColumn("target", F.lit(False))))  # null ids, all of one key, stay where they are
 
 
 def score_against_labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,9 +18,10 @@ def brute(target, background, docs):
     one = [collections.Counter(w for d in x for w in d[1:]) for x in sides]
     two = [collections.Counter(p for d in x for p in zip(d, d[1:], strict=False)) for x in sides]
     v = len(one[0].keys() | one[1].keys())
+    total = [x.total() for x in one]
 
     def loss(s, a, w):
-        share = (one[s][w] + 1) / (one[s].total() + v + 1)
+        share = (one[s][w] + 1) / (total[s] + v + 1)
         return -math.log((two[s][a, w] + lm_scoring.MU * share) / (one[s][a] + lm_scoring.MU))
 
     out = {}
@@ -65,6 +66,46 @@ def test_scores_of_the_tables(spark, sf, monkeypatch, chunk, ids):
     same_scores(got, brute([t for k, t in docs.items() if k in good], list(docs.values()), docs))
 
 
+def test_levels_of_sums(spark, sf, monkeypatch):
+    """With few chunks a level, several levels give what one gives, and none has many more rows than the first."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 900)
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(lm_scoring, "FAN", 4)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] == 1 and not r["toxic"]}
+    calls, real = [], lm_scoring.merge_teams
+
+    def counted(parts, kind, blocks):
+        out = lm_scoring.cut(real(parts, kind, blocks))
+        calls.append((parts.select("chunk").distinct().count(), parts.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(lm_scoring, "merge_teams", counted)
+    got = {r["doc_id"]: r for r in queries.op1_cross_entropy_difference(spark, sf).collect()}
+    same_scores(got, brute([t for k, t in docs.items() if k in good], list(docs.values()), docs))
+    assert len(calls) >= 2 and all(max(a, b) <= 3 * calls[0][1] for _, a, b in calls)
+
+
+@pytest.mark.parametrize("chunks, fan", [(1, 1), (4096, 4096), (4097, 65), (1 << 24, 4096), ((1 << 24) + 1, 257), (12_500_000, 3536)])
+def test_fan_of_levels(chunks, fan):
+    """One level while FAN chunks suffice, then the least levels, all alike."""
+    assert lm_scoring.fan_of(chunks) == fan
+
+
+def test_rows_of_one_id_keep_their_order(spark, monkeypatch):
+    """Where texts are shuffled to meet the target's ids, chunks of many rows of one id are the same in each read."""
+    monkeypatch.setattr(lm_scoring, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(lm_scoring, "CHUNK_TOKENS", 50)
+    d = spark.range(0, 600, numPartitions=8).selectExpr("id % 3 as doc_id", "concat('word', id % 7, ' other', id) as text")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    both = lm_scoring.labelled(d, labels)
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()  # a written table
+    read = [sorted(r["chunk"] for r in lm_scoring.chunks(both.withColumn("background", F.lit(True)), lm_scoring.Chunk.whole).select("chunk").collect()) for _ in range(3)]
+    assert len(read[0]) > 3 and read[0] == read[1] == read[2]
+    got = lm_scoring.score_against_labelled(d, labels).collect()
+    assert len(got) == 600 and all(r["n_tokens"] == 2 and r["ce_diff"] is not None for r in got)
+
+
 def test_losses_step_by_step(monkeypatch):
     """Texts worked out a few at a time have the losses that they have at once."""
     r = np.random.default_rng(2)
