@@ -73,7 +73,6 @@ def inject_all(a, spark) -> None:
     files = files.select("project", F.regexp_replace("relative_path", r"^.*\Qtest/java/\E", "").alias("file_path"), F.col("source").alias("content"))
     if a.meta.endswith(".csv"):
         meta = readers.load_csv(spark, a.meta, schemas.META_LLM).withColumn("at", F.monotonically_increasing_id())
-        meta = meta.crossJoin(F.broadcast(preds.select("project").distinct()))  # one name a folder of predictions
     else:
         meta = readers.load_project_meta(spark, a.meta)
     inject.inject_fold(files, inject.located(preds, meta, order="at")).write.mode("overwrite").parquet(a.output)

@@ -53,14 +53,17 @@ def inject_named(df: DataFrame, content: str, name: str, oracle: str, out: str =
 
 def located(predictions: DataFrame, meta: DataFrame, windows: bool = False, order: str | None = None) -> DataFrame:
     """project, pred_seq, file_path, test_name, prediction of predictions whose id has a meta row of the same project; the
-    path below test/java/, with backslashes where asked. Tables without a column project are of one project, null.
+    path below test/java/, with backslashes where asked. Predictions without a column project are of one project, null;
+    meta rows without it speak for all projects.
 
     Of several meta rows of an id the first counts: by column `order`, or by their place in the files read, which is
     only sure within one file (meta rows of one project are one file)."""
     from .pairing import first_match
 
-    p, m = (d if "project" in d.columns else d.withColumn("project", F.lit(None).cast("string")) for d in (predictions, meta))
-    key = F.struct(F.coalesce("project", F.lit("")).alias("project"), F.col("id").cast("bigint").alias("id"))
+    m = meta
+    p = predictions if "project" in predictions.columns else predictions.withColumn("project", F.lit(None).cast("string"))
+    project = [F.coalesce("project", F.lit("")).alias("project")] if "project" in meta.columns else []
+    key = F.struct(*project, F.col("id").cast("bigint").alias("id"))
     m = m.select(key.alias("_k"), "file_path", "test_name", (F.col(order) if order else F.monotonically_increasing_id()).alias("_m"))
     d = first_match(p.withColumn("_k", key), m, "_k", "_m").drop("_m", "_k")
     path = part(F.regexp_replace("file_path", r"\\", "/"), "test/java/", 1)

@@ -24,12 +24,24 @@ def cut(df: DataFrame) -> DataFrame:
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="lodestar-"))
+    checkpoints_go(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_going: set[str] = set()
 _shipped: set[str] = set()
 
 
+def checkpoints_go(spark: SparkSession) -> None:
+    """The folder that Spark keeps this application's checkpoints in, which no other can read, goes when the driver ends."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir()
+    if folder and folder not in _going:
+        _going.add(folder)
+        p = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors, once per application, so that workers need no installation of it."""
     app, root = spark.sparkContext.applicationId, Path(__file__).resolve().parent

@@ -111,6 +111,9 @@ def test_injection_keeps_projects_apart(spark):
     preds = spark.createDataFrame([(p, 1, 1, f"only{p}") for p in "xy"] + [("x", 9, 2, "none")], "project string, id bigint, pred_seq bigint, prediction string")
     meta = spark.createDataFrame([("x", 1, "src/test/java/a.java", "T::t", 0), ("x", 1, "src/test/java/b.java", "T::u", 1), ("y", 1, "src/test/java/a.java", "T::t", 0), ("y", 9, "src/test/java/a.java", "T::t", 1)], "project string, id bigint, file_path string, test_name string, at bigint")
     found = inject.located(preds, meta, order="at")
+    shared = inject.located(preds, meta.where("project = 'x'").drop("project"), order="at")  # one meta table for all projects
+    assert shared.count() == preds.join(meta.where("project = 'x'").select("id").distinct(), "id", "left_semi").count() > 0
+    assert "CartesianProduct" not in (plan := shared._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
     assert sorted((r["project"], r["file_path"], r["prediction"]) for r in found.collect()) == [("x", "a.java", "onlyx"), ("y", "a.java", "onlyy")]
     got = {r["project"]: r for r in inject.inject_fold(files, found).collect()}
     assert all(f"only{p};" in got[p]["content"] and got[p]["content"].startswith(f"// {p}") and got[p]["content"].count("only") == 1 for p in "xy")

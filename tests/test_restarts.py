@@ -1,6 +1,8 @@
 """Runs that are killed and start again: predictions by part, commands by lease."""
 
 import os
+import subprocess
+import sys
 import time
 from pathlib import Path
 
@@ -92,3 +94,15 @@ def test_claims_without_a_result(tmp_path):
     assert leases.once(("p", None), 0.3, dict)["returncode"] == -1 and time.time() - began < 5
     assert leases.once(("p", ""), 1, lambda: {"x": 1}) == {"x": 1} == leases.once(("p", ""), 1, lost)
     assert commands.Leases(str(tmp_path), rerun_lost=True).once(("p", None), 0.1, lambda: {"x": 2}) == {"x": 2}
+
+
+def test_checkpoints_go_with_the_driver(tmp_path):
+    """What an application cut its lineage with is gone when it has ended, and the folder of others stays."""
+    (tmp_path / "other").mkdir()
+    code = "from lodestar.session import cut, session\ns = session(spark__checkpoint__dir=DIR, spark__master='local[1]', spark__ui__enabled='false')\nassert cut(s.range(5)).count() == 5\nimport os\nassert len(os.listdir(DIR)) == 2\ns.stop()\n"
+    subprocess.run([sys.executable, "-c", f"DIR = {str(tmp_path)!r}\n{code}"], check=True, timeout=120)
+    for _ in range(60):
+        if os.listdir(tmp_path) == ["other"]:
+            break
+        time.sleep(0.5)
+    assert os.listdir(tmp_path) == ["other"]
