@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import checkpoints_go, ship
 
 #: What separates words in every contract of this subpackage: blank, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,8 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder, of `parts` files at most where that is said: by a caller
-    that knows how many rows there may be, as many partitions of a few rows cost a file each."""
+    that knows how many rows there may be, as many partitions of a few rows cost a file each. Its files go when the driver ends."""
     shared_dir(df.sparkSession)
+    checkpoints_go(df.sparkSession)
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
