@@ -16,6 +16,8 @@ from ..session import cut, ship
 
 #: A test method's beginning, of which inject_by_name() knows the name.
 HEAD = re.compile(r"@Test[^\n]*\n\s*public void (\w+)")
+#: What an injected oracle replaces.
+OLD = re.compile(r"assert\w*\([^;]*\);"), re.compile(r"fail\([^)]*\);")
 
 
 def inject_by_number(content: Column, test_id: Column, oracle: Column) -> Column:
@@ -32,15 +34,50 @@ def inject_by_name(content: str, name: str, oracle: str | None, strict: bool = T
 
     def rewritten(m: re.Match) -> str:
         body = m["body"]
-        for old in (r"assert\w*\([^;]*\);", r"fail\([^)]*\);"):
-            body = re.sub(old, "", body)
-        if not oracle or oracle == "exception":
-            return body + "\n}"
-        return f"{body}\n{oracle}" + ("" if oracle.endswith(";") else ";") + "\n}"
+        for old in OLD:
+            body = old.sub("", body)
+        return body + appended(oracle) + "}"
 
     return method.sub(rewritten, content)
 
 
+def appended(oracle: str | None) -> str:
+    """What stands before the closing brace once this oracle is injected."""
+    if not oracle or oracle == "exception":
+        return "\n"
+    return f"\n{oracle}" + ("" if oracle.endswith(";") else ";") + "\n"
+
+
+def inject_in_order(text: str, name: str, oracles: list[str | None]) -> tuple[str, int]:
+    """A piece of method_pieces() after inject_by_name() with each oracle in turn, and how many of them changed it.
+
+    What has neither an assertion nor a fail call in it stays as it is from then on, whatever follows on a new line, so only
+    the rest is looked at again. Where a head, or an oracle with a closing brace, could change what the method is, each
+    oracle is injected by itself."""
+    m = HEAD.match(text)
+    opened = text.find("{", m.end()) + 1 if m else 0
+    marks = ("assert", "fail(")
+    n = 0
+    if not opened or any(x in text[:opened] for x in marks) or any("}" in (o or "") for o in oracles):
+        for oracle in oracles:
+            new = inject_by_name(text, name, oracle)
+            n, text = n + (new != text), new
+        return text, n
+    settled, rest = [text[:opened]], text[opened:-1]
+    for oracle in oracles:
+        new = rest
+        for old in OLD:
+            new = old.sub("", new)
+        end = appended(oracle)
+        n += new + end != rest
+        if any(x in new for x in marks):
+            rest = new + end
+        else:
+            settled.append(new)
+            rest = end
+    return "".join([*settled, rest, "}"]), n
+
+
 def inject_named(df: DataFrame, content: str, name: str, oracle: str, out: str = "content", strict: bool = True) -> DataFrame:
     ship(df.sparkSession)
 
@@ -119,13 +156,7 @@ def inject_fold(files: DataFrame, predictions: DataFrame, strict: bool = True) -
 
     @F.pandas_udf("struct<text: string, n: bigint>")
     def fold(texts: pd.Series, names: pd.Series, todo: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text, name, oracles in zip(texts, names, todo, strict=True):
-            n = 0
-            for oracle in oracles if oracles is not None else ():
-                new = inject_by_name(text, name, oracle)
-                n, text = n + (new != text), new
-            rows.append((text, n))
+        rows = [inject_in_order(text, name, list(oracles)) if oracles is not None else (text, 0) for text, name, oracles in zip(texts, names, todo, strict=True)]
         return pd.DataFrame(rows, columns=["text", "n"])
 
     odd = right.where(~F.coalesce(F.col("test_name"), F.lit("")).rlike(r"(?U)\A\w+\z") | F.coalesce(F.col("p.prediction"), F.lit("")).contains("@Test")).select("_file").distinct()

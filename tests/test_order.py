@@ -165,3 +165,21 @@ def test_many_predictions_of_one_file(spark):
     preds = spark.range(4000).selectExpr("'f' as file_path", "id as pred_seq", "concat('t', id % 200) as test_name", "concat('assertEquals(', id, ', a);') as prediction")
     got = inject.inject_fold(files, preds).first()
     assert got["n_injected"] == 4000 and all(f"assertEquals({3800 + i}, a);" in got["content"] for i in range(200)) and got["content"].count("assert") == 200
+
+
+def test_oracles_in_order_equal_one_by_one():
+    """A method's oracles in one pass give what injecting each by itself gives."""
+    r = random.Random(11)
+    some = ["assertTrue(a);", "assertEquals(a, f(b))", "fail(x);", "fail(", "assert", "assertX(", ")", "f(b);", "asassert(a);sert(b);", "ert(c);", "fa", "il(y);", ";", "", None, "exception", "{", "x = 1", "}", "if (a) { b(); }", "asser", "é();"]
+    heads = ["@Test\n  public void t() {", "@Test(timeout = 5)\npublic void t() throws E {", "@Test // assertTrue(\n public void t() {", "@Test\npublic void t() } x {"]
+    fast = 0
+    for _ in range(4000):
+        body = "".join(r.choice(["\n", " ", ""]) + (r.choice(some) or "").replace("}", "") for _ in range(r.randint(0, 4)))
+        text, oracles = r.choice(heads) + body + "}", [r.choice(some) for _ in range(r.randint(0, 7))]
+        want, n = text, 0
+        for o in oracles:
+            new = inject.inject_by_name(want, "t", o)
+            want, n = new, n + (new != want)
+        assert inject.inject_in_order(text, "t", oracles) == (want, n), (text, oracles)
+        fast += not any("}" in (o or "") for o in oracles)
+    assert fast > 1000
