@@ -1,10 +1,10 @@
 """Main text of web pages with a suffix array over each host's pages.
 
 A page is split into blocks of visible text, each with its place in the markup. The token streams of all pages of a host
-make one sparse suffix array: of the suffixes of a block those are kept that begin at a token chosen by content, so that
-two blocks that share a run of MIN_RUN + SPARSE tokens or more, or are equal, keep the same ones. Suffixes are named by
-prefix doubling up to their first MIN_RUN tokens, with names that are the same in every task: arrays built apart, each
-sorted by name, are merged by name over all tasks, however large a host is, and say which runs stand on distinct pages.
+make one suffix array, with a suffix at every token, so every run of MIN_RUN tokens or more that two pages share is seen, as
+are equal blocks of any length. Suffixes are named by prefix doubling up to their first MIN_RUN tokens, with names that are
+the same in every task: arrays built apart, each sorted by name, are merged by name over all tasks, however large a host is,
+and say which runs stand on distinct pages. Names that no page asks for, as they stand in articles only, are left out first.
 
 Covered boilerplate goes and unique runs stay:
 
@@ -31,6 +31,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,12 @@ from .common import arrow_schema, cut, pick, small_batches
 
 #: Tokens by which suffixes are sorted, a power of two: the shortest run that counts as repeated.
 MIN_RUN = 8
-#: One suffix is kept of so many that follow each other (a power of two), or more.
-SPARSE = 16
+#: Tokens from one suffix to the next: each begins one.
+SPARSE = 1
 #: A block goes if at least this share of its tokens is covered.
 COVERED_SHARE = 0.8
-#: Suffixes that a task gathers before it hands them on; repeated names up to so many (8 bytes each) are broadcast, more
-#: are joined to the pages by a shuffle.
+#: Suffixes that a task gathers before it hands them on; names, asked or repeated, up to so many (8 bytes each) are
+#: broadcast, more are met by a shuffle.
 FLUSH, BROADCAST_NAMES = 500_000, 4_000_000
 
 #: Quotes count behind an equals sign only; possessive, so that broken markup costs no second look.
@@ -187,14 +188,14 @@ class Codes(dict):
 
 
 class Suffixes:
-    """Names of the kept suffixes of blocks, by host; tokens met again are not hashed again."""
+    """Names of the suffixes of blocks, by host; tokens met again are not hashed again."""
 
     def __init__(self):
         self.known = Codes()
 
     def of(self, host: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """names, the block and the place in it of each kept suffix (-1: the block as a whole), and the number of tokens of
-        each block."""
+        """names, the block and the place in it of each suffix of MIN_RUN tokens or more (-1: the block as a whole), and the
+        number of tokens of each block."""
         from xxhash import xxh64_intdigest
 
         words = [t.split(" ") for t in texts]
@@ -215,35 +216,20 @@ class Suffixes:
             name[: n - width] = mix(name[: n - width], name[width:])
             width *= 2
         name = mix(name, np.full(n, seed, dtype=np.uint64))
-        # a suffix is kept if it is the least of some SPARSE that follow each other in its block, or of all where there are fewer
-        last = begins + size - MIN_RUN
-        runs = np.maximum(last - begins + 2 - SPARSE, 1)
         block = np.repeat(np.arange(len(size)), size)
-        best, end = np.arange(n), last[block]
-        width = 1
-        while width < SPARSE:
-            other = best[np.minimum(np.arange(n) + width, end)]
-            best = np.where(name[other] < name[best], other, best)
-            width *= 2
-        keep = np.unique(best[np.repeat(begins - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))])
+        keep = np.flatnonzero(np.arange(n) <= (begins + size - MIN_RUN)[block])
         block = block[keep]
         return np.concatenate((whole, name[keep])), np.concatenate((np.arange(len(whole)), some[block])), np.concatenate((np.full(len(whole), -1), keep - begins[block])), sizes
 
 
 def covered(repeated: np.ndarray, block: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Tokens of each block that repeated suffixes cover: all where the block is repeated as a whole, else MIN_RUN from each
-    suffix and what lies between two that follow each other. Suffixes come in order of block and place, as of() gives them, so
-    one pass over all blocks does."""
+    suffix. One pass over all blocks does."""
     whole = repeated[: len(sizes)]
     base = np.cumsum(sizes) - sizes
-    of, on = block[len(sizes) :], repeated[len(sizes) :]
-    at = base[of] + place[len(sizes) :]
-    follows = np.zeros(len(of), dtype=bool)
-    follows[:-1] = on[:-1] & on[1:] & (of[:-1] == of[1:])
-    ends = at + MIN_RUN
-    ends[:-1] = np.where(follows[:-1], np.maximum(at[1:], ends[:-1]), ends[:-1])
+    at = (base[block[len(sizes) :]] + place[len(sizes) :])[repeated[len(sizes) :]]
     n = int(sizes.sum())
-    marks = np.bincount(at[on], minlength=n + 1) - np.bincount(ends[on], minlength=n + 1)
+    marks = np.bincount(at, minlength=n + 1) - np.bincount(at + MIN_RUN, minlength=n + 1)
     upto = np.concatenate(([0], np.cumsum(np.cumsum(marks)[:n] > 0)))
     return np.where(whole, sizes, upto[base + sizes] - upto[base])
 
@@ -251,7 +237,7 @@ def covered(repeated: np.ndarray, block: np.ndarray, place: np.ndarray, sizes: n
 def main_text(found: list[tuple[str, int, bool]], shared: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> str:
     """The blocks that stay, joined. shared: for some of a page's blocks, tokens that other pages cover, and tokens."""
     article = any(z >= 3 and not d for _, z, d in found)
-    open_ = [i for i, (_, z, d) in enumerate(found) if z < 3 or d]  # neither markup nor place has decided these
+    open_ = [i for i, x in enumerate(found) if undecided(x)]
     if not open_:
         return "\n".join(t for t, _, _ in found)
     n_covered, sizes = shared([found[i][0] for i in open_])
@@ -268,17 +254,19 @@ def main_text(found: list[tuple[str, int, bool]], shared: Callable[[list[str]],
     return "\n".join(t for i, (t, _, _) in enumerate(found) if not drop.get(i, False))
 
 
+def among(known: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Which names are in the ascending array."""
+    if not len(known):
+        return np.zeros(len(name), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, name), len(known) - 1)] == name
+
+
 def known_names(repeated: np.ndarray, suffixes: Suffixes, host: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
     """What main_text() asks for, given the ascending names of repeated suffixes."""
 
     def shared(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         name, block, place, sizes = suffixes.of(host, texts)
-        if len(repeated):
-            at = np.minimum(np.searchsorted(repeated, name), len(repeated) - 1)
-            hit = repeated[at] == name
-        else:
-            hit = np.zeros(len(name), dtype=bool)
-        return covered(hit, block, place, sizes), sizes
+        return covered(among(repeated, name), block, place, sizes), sizes
 
     return shared
 
@@ -294,9 +282,14 @@ def main_texts(pages: list[str], host: str = "") -> list[str]:
     return [main_text(b, known_names(repeated, suffixes, host)) for b in found]
 
 
-def repeated_names(pages: DataFrame) -> DataFrame:
-    """name: the kept suffixes that stand on two distinct pages of a host, or more. Of each the least and the largest page
-    key is gathered: where these differ, pages do."""
+def undecided(block: tuple[str, int, bool]) -> bool:
+    """Runs decide on this block, neither markup nor place."""
+    return block[1] < 3 or block[2]
+
+
+def named(pages: DataFrame, of: Callable[[tuple[str, int, bool]], bool], known: Broadcast | None = None) -> DataFrame:
+    """Rows (name, lo, hi): the suffixes of such blocks, of each the least and the largest key of a task's pages that have it;
+    with known, an ascending array, only names in it."""
     schema = pa.schema([("name", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +308,12 @@ def repeated_names(pages: DataFrame) -> DataFrame:
         for b in batches:
             for url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 host, page = host_of(url), page or ""
-                name = np.unique(suffixes.of(host, [t for t, _, _ in parsed(page)])[0])
+                texts = [x[0] for x in parsed(page) if of(x)]
+                if not texts:
+                    continue
+                name = np.unique(suffixes.of(host, texts)[0])
+                if known is not None:
+                    name = name[among(known.value, name)]
                 if len(name):
                     held.append((name, np.full(len(name), page_key(host, page), dtype=np.int64)))
                     size += len(name)
@@ -325,8 +323,32 @@ def repeated_names(pages: DataFrame) -> DataFrame:
         if held:
             yield array()
 
-    found = pages.select("url", "html").mapInArrow(run, "name bigint, lo bigint, hi bigint")
-    return found.groupBy("name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("name")
+    return pages.select("url", "html").mapInArrow(run, "name bigint, lo bigint, hi bigint")
+
+
+def sent_names(names: DataFrame) -> Broadcast:
+    return names.sparkSession.sparkContext.broadcast(np.sort(names.select("name").toArrow().column(0).to_numpy().view(np.uint64)))
+
+
+def repeated_names(pages: DataFrame) -> DataFrame:
+    """name: the suffixes that some page asks for and that stand on two distinct pages of a host, or more. Of each the least
+    and the largest page key is gathered: where these differ, pages do. What is asked on one page only may stand in the
+    articles of others."""
+
+    def met(d: DataFrame) -> DataFrame:
+        return cut(d.groupBy("name").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+
+    asked = met(named(pages, undecided))
+    once = asked.where("lo = hi")
+    n = once.count()
+    if not n:
+        return asked.select("name")
+    rest = met(named(pages, lambda x: not undecided(x), sent_names(once) if n <= BROADCAST_NAMES else None))
+    rest = rest.select("name", F.col("lo").alias("least"), F.col("hi").alias("most"))
+    if rest.count() <= BROADCAST_NAMES // 4:
+        rest = F.broadcast(rest)
+    elsewhere = once.join(rest, "name").where("least <> lo or most <> hi")
+    return asked.where("lo <> hi").select("name").unionByName(elsewhere.select("name"))
 
 
 def own_names(pages: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -337,7 +359,7 @@ def own_names(pages: DataFrame, repeated: DataFrame) -> DataFrame:
         for b in batches:
             for url, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 host, page = host_of(url), page or ""
-                name = np.unique(suffixes.of(host, [t for t, z, d in parsed(page) if z < 3 or d])[0]).view(np.int64)
+                name = np.unique(suffixes.of(host, [x[0] for x in parsed(page) if undecided(x)])[0]).view(np.int64)
                 if len(name):
                     yield pa.RecordBatch.from_pydict({"key": np.full(len(name), page_key(host, page), dtype=np.int64), "name": name})
 
@@ -350,7 +372,8 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Null html is an empty page. Null urls, and urls without a host, form one host. Ids pass through, nulls and repeats
     included, one row out per row in. Empty tables give empty results; further columns are not read. Pages are parsed
-    twice, for the runs and for the texts, so that none is shuffled unless the repeated names are too many to broadcast.
+    twice, for the runs and for the texts, or three times where one page alone asks for some run, so that none is shuffled
+    unless the repeated names are too many to broadcast.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -359,7 +382,7 @@ def extract_main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "ur
     schema = arrow_schema(d, ["page_id", "url"], [("text", pa.string()), ("n_chars", pa.int64())])
     ddl = f"page_id {d.schema['page_id'].dataType.simpleString()}, url {d.schema['url'].dataType.simpleString()}, text string, n_chars bigint"
     if repeated.count() <= BROADCAST_NAMES:
-        sent = spark.sparkContext.broadcast(np.sort(repeated.toArrow().column(0).to_numpy().view(np.uint64)))
+        sent = sent_names(repeated)
     else:
         sent = None
 

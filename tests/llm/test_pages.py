@@ -139,6 +139,19 @@ def test_unique_text_stays_and_repeated_text_goes(monkeypatch):
     assert main_text.main_texts(titled) != want, "runs decide"
 
 
+@pytest.mark.parametrize("names", [4_000_000, 0])
+def test_every_run_of_eight_tokens_counts(spark, monkeypatch, names):
+    monkeypatch.setattr(main_text, "BROADCAST_NAMES", names)
+    pages, want = [], []
+    for j in range(40):
+        run, text = " ".join(f"r{j}t{k}" for k in range(8)), [" ".join(f"p{j}q{i}w{k}" for k in range(20)) for i in range(2)]
+        pages += [f"<div>a{j} {run} b{j}</div><article>{text[0]}</article>", f"<article>{text[1]} {run} c{j}</article><div>d{j} {run[:-1]}</div>"]
+        want += [text[0], f"{text[1]} {run} c{j}\nd{j} {run[:-1]}"]
+    assert main_text.main_texts(pages) == want, "8 of 10 tokens are covered, by an article of another page too; 7 are no run"
+    d = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(5)
+    assert [r["text"] for r in main_text.extract_main_text(d).orderBy("page_id").collect()] == want
+
+
 def test_many_half_repeated_blocks():
     shared = " ".join(f"s{k}" for k in range(40))
     pages = ["".join(f"<p>{shared} {' '.join(f'p{i}b{b}t{k}' for k in range(12))}</p>" for b in range(8000)) for i in range(2)]
