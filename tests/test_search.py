@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -50,6 +51,39 @@ def test_search_is_exact(spark, monkeypatch, least, k, others, block):
     assert sorted(map(tuple, got.collect()), key=str) == plain(corpus, queries, k, least, others)
 
 
+def test_terms_and_tables_too_many_to_be_sent(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 8)
+    monkeypatch.setattr(search, "MOST_TERMS", 40)
+    monkeypatch.setattr(search, "SMALL", 0)
+    corpus = [(i, t, f"o{i}") for i, t in enumerate([None, *["same thing here"] * 9, *[f"int a = f({i}); fail(x);" for i in range(80)], *texts(2, 200, 60)])]
+    queries = [(i, t) for i, t, _ in corpus if i % 5 == 0] + [(-1, "never seen")]
+    index = search.build(spark.createDataFrame(corpus, "id int, test_prefix string, target string"), least=0.2)
+    assert index.terms.where("not frequent").count() > 0 and index.terms.where("frequent").count() > 0
+    got = search.search(index, spark.createDataFrame(queries, "id int, test_prefix string"), k=3, others=True)
+    assert sorted(map(tuple, got.collect()), key=str) == plain(corpus, queries, 3, 0.2, True)
+
+
+def test_templates_move_few_bytes_a_row(spark):
+    """In proportion to the rows, and not several times the text: a token of each of them was moved with its set's name."""
+    moved = []
+    for n in (5_000, 20_000):
+        code = "concat('try { op(', id, '); fail(\"x\"); } catch(E e) { }')"
+        rows = spark.range(n).selectExpr("id", f"if(id % 4 = 0, {code}, concat('int a = f(', id, ');')) as test_prefix", "'exception' as target")
+        before = shuffled(spark)
+        found = search.search(search.build(rows), rows.where("id % 20 = 0"), k=3, others=True)
+        assert found.where("rank = 3").count() >= n // 20
+        moved.append((shuffled(spark) - before) / n)
+    assert moved[1] < 150 and moved[1] < 1.2 * moved[0]
+
+
+def shuffled(spark):
+    """Bytes shuffled by the session so far, once its listeners have caught up."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    time.sleep(1)
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
 def test_predictions_and_edges(spark):
     corpus = spark.createDataFrame([(1, "a b c", "x;"), (2, "a b d", "y;"), (3, None, "z;")], "id int, test_prefix string, target string")
     index = search.build(corpus, depth=2)
