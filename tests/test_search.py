@@ -76,6 +76,15 @@ def test_templates_move_few_bytes_a_row(spark):
     assert moved[1] < 150 and moved[1] < 1.2 * moved[0]
 
 
+def test_predictions_move_few_bytes_a_row(spark):
+    n = 10_000
+    rows = spark.range(n).selectExpr("id", "if(id % 4 = 0, concat('try { op(', id, '); fail(\"x\"); } catch(E e) { }'), concat('int a = f(', id, ');')) as test_prefix", "'exception' as target")
+    before = shuffled(spark)
+    got = search.predict_by_search(rows.where("id % 20 = 0"), search.build(rows), others=True)
+    assert got.where("prediction = 'exception'").count() == n // 20
+    assert (shuffled(spark) - before) / n < 250
+
+
 def shuffled(spark):
     """Bytes shuffled by the session so far, once its listeners have caught up."""
     sc = spark.sparkContext._jsc.sc()
