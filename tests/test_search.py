@@ -85,6 +85,33 @@ def test_predictions_move_few_bytes_a_row(spark):
     assert (shuffled(spark) - before) / n < 250
 
 
+def test_many_queries_move_few_sets_of_the_index(spark, monkeypatch):
+    """The index was moved whole, thrice, where queries were too many to be broadcast."""
+    n = 20_000
+    rows = spark.range(n).selectExpr("id", "if(id % 4 = 0, concat('try { op(', id, '); fail(\"x\"); } catch(E e) { }'), concat('int a = f(', id, ');')) as test_prefix", "'exception' as target")
+    index = search.build(rows)
+    monkeypatch.setattr(search, "SMALL", 900)  # queries are 1,000
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        got = search.predict_by_search(rows.where("id % 20 = 0"), index, others=True)
+        assert got.where("prediction = 'exception'").count() == n // 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert (shuffled(spark) - before) / n < 50
+
+
+def test_among_keeps_what_keys_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(search, "SMALL", 10)
+    d = spark.range(20_000).selectExpr("id", "concat('t', id) as token", "array(id) as more")
+    keys = d.where("id % 20 = 0").unionByName(d.where("id % 40 = 0")).select("token")
+    got = search._among(d, keys, "token")
+    assert got.columns == d.columns and got.where("id % 20 = 0").count() == 1_000 and got.count() < 4_000
+    assert search._among(d, keys.limit(5), "token").count() <= 5
+    monkeypatch.setattr(search, "SIEVE", 0)
+    assert search._among(d, keys, "token").where("id % 20 = 0").count() == 1_000
+
+
 def shuffled(spark):
     """Bytes shuffled by the session so far, once its listeners have caught up."""
     sc = spark.sparkContext._jsc.sc()
