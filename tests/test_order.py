@@ -1,8 +1,11 @@
 """Row numbers, chunks, zips, skewed joins, batches, running values and injection, against plain Python."""
 
 import random
+import subprocess
+import sys
 
 import pytest
+from conftest import DATA, rows_of
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as X
@@ -121,6 +124,19 @@ def test_running_best(spark):
     assert [r["saved"] for r in metrics.running_best(d).orderBy("epoch").collect()] == [False, True, False, False, True]
 
 
+def test_running_best_as_an_application_begins(duck, tmp_path):
+    """The columns of an application's first query have numbers as low as those by which Spark compares arguments of lambdas."""
+    sf, out = f"{DATA}/sf0.1", f"{tmp_path}/out"
+    code = "import __spark_entry__ as e\nfrom lodestar.session import session\ns = session(spark__master='local[2]', spark__ui__enabled='false', spark__sql__shuffle__partitions='4')\n"
+    subprocess.run([sys.executable, "-c", f"{code}e.queries()['running_best_checkpoint'](s, {sf!r}).write.parquet({out!r})\ns.stop()\n"], check=True, timeout=120)
+    con = duck.cursor()
+    con.sql(f"create temp view events as select * from '{sf}/events.parquet'")
+    import __spark_entry__ as e
+
+    got, want = con.sql(f"select * from '{out}/*.parquet'"), con.sql(e.oracle_sql()["running_best_checkpoint"])
+    assert rows_of(got.columns, got.fetchall()) == rows_of(want.columns, want.fetchall())
+
+
 def test_line_offsets_of_equal_keys(spark):
     d = spark.createDataFrame([(1, "a\nbé\n"), (1, "xyz\n\nq"), (1, "a\nbé\n"), (2, None), (3, "")], "id int, t string")
     got = sorted(tuple(r) for r in X.line_offsets(d, "t", "id").collect())
